@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nearcopy
-from .common import table
+from . import bpe, nearcopy, orcids
+from .common import stage_path, table
 
 ORACLE: dict[str, str] = {}
 
@@ -15,6 +16,20 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopy.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as ORC and read back."""
+    path = stage_path(spark, "token-ids")
+    orcids.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return orcids.token_digests(spark, path)
+
+
+def op9_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' token ids and of the texts decoded from them."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op4_order_minhash": op4_order_minhash,
+    "op7_orc_token_ids": op7_orc_token_ids,
+    "op9_bpe_rounds": op9_bpe_rounds,
 }
