@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, nearcopy, orcids
+from . import bpe, licences, nearcopy, orcids, quality, urlrules
 from .common import stage_path, table
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_licence_digests": licences.SQL, "op8_rare_token_urls": urlrules.SQL}
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopy.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents and whole lines that are a known licence text or notice."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as ORC and read back."""
     path = stage_path(spark, "token-ids")
@@ -23,13 +28,26 @@ def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.token_digests(spark, path)
 
 
+def op8_rare_token_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page urls."""
+    return urlrules.judged(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' token ids and of the texts decoded from them."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents and what the learnt decision list keeps."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_order_minhash": op4_order_minhash,
+    "op6_licence_digests": op6_licence_digests,
     "op7_orc_token_ids": op7_orc_token_ids,
+    "op8_rare_token_urls": op8_rare_token_urls,
     "op9_bpe_rounds": op9_bpe_rounds,
+    "op10_decision_lists": op10_decision_lists,
 }
