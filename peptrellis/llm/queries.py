@@ -5,17 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licences, nearcopy, orcids, quality, urlrules
+from . import bpe, decontaminate, licences, nearcopy, orcids, quality, secrets, toxicity, urlrules
 from .common import stage_path, table
 
 ORACLE: dict[str, str] = {"op6_licence_digests": licences.SQL, "op8_rare_token_urls": urlrules.SQL}
 
 
+def op1_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or an edited or partial copy of one."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity grades of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of exact and near copies among all documents."""
     return nearcopy.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All secret candidates of all documents and the forest's verdicts."""
+    return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents and whole lines that are a known licence text or notice."""
     return licences.scan(table(spark, sf_dir, "documents"))
@@ -44,7 +60,10 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rare_seed_alignment": op1_rare_seed_alignment,
+    "op2_ordinal_severity": op2_ordinal_severity,
     "op4_order_minhash": op4_order_minhash,
+    "op5_forest_secrets": op5_forest_secrets,
     "op6_licence_digests": op6_licence_digests,
     "op7_orc_token_ids": op7_orc_token_ids,
     "op8_rare_token_urls": op8_rare_token_urls,

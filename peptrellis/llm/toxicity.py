@@ -1,8 +1,8 @@
 """Toxicity: a cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = sigmoid(w.x - theta_k), k = 0..2, one weight vector for all thresholds, theta_0 < theta_1 < theta_2. Features:
-log(1 + occurrences) of words that tell the labelled classes apart. Grade 0: labelled clean. Labelled toxic texts get grade 1, 2 or
-3 by the share of their words that are marks of toxic texts (words of odds of at least MARK_ODDS for toxic), cut at its terciles.
+log(1 + occurrences) of words, and of beginnings of words, that tell the labelled classes apart. Grade 0: labelled clean. Labelled toxic texts get grade 1, 2 or
+3 by the share of their features that are marks of toxic texts (words of odds of at least MARK_ODDS for toxic), cut at its terciles.
 """
 
 from __future__ import annotations
@@ -14,22 +14,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, FlatTexts, hash_runs, map_texts, staged
+from .common import LETTERS, LOWER, FlatTexts, hash_runs, map_texts, mix, staged
 from .decontaminate import Among, drop_rows
 
 GRADES = 4
 #: Labelled rows that the model is fitted on at most: those with the least hash of their id.
 FIT_ROWS = 20_000
 #: Words taken as features at most, the most telling ones; and the labelled texts that must hold each.
-VOCABULARY, MIN_TEXTS = 2048, 5
+VOCABULARY, MIN_TEXTS = 3000, 5
+#: Features whose odds for the classes differ less say nothing on their own.
+TELLING = 4.0
 MARK_ODDS = 20.0
-STEPS, RATE, RIDGE = 400, 0.1, 2e-6
+#: Bytes of the word beginnings that are features too: inflected forms share them.
+PREFIXES = (4, 6)
+STEPS, RATE, RIDGE = 400, 0.1, 1e-5
 REJECT = 0.5
 
 
-def words_of(flat: FlatTexts) -> tuple[np.ndarray, np.ndarray]:
+def features_of(flat: FlatTexts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of the first PREFIXES bytes of longer words, and the row of each; rows ascend."""
+    data = LOWER[flat.data]
     starts, ends, first = flat.runs(LETTERS)
-    return hash_runs(LOWER[flat.data], starts, ends), first
+    row = np.repeat(np.arange(flat.n), np.diff(first))
+    kinds, rows = [hash_runs(data, starts, ends)], [row]
+    for k in PREFIXES:
+        long = ends - starts > k
+        kinds.append(mix(hash_runs(data, starts[long], starts[long] + k) + np.uint64(k)))
+        rows.append(row[long])
+    h, row = np.concatenate(kinds), np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return h[order], row[order]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,19 +58,20 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.among = Among(self.words)
+
     def above(self, flat: FlatTexts) -> np.ndarray:
         """P(grade > k) of each row (rows x thresholds)."""
-        h, first = words_of(flat)
-        row, feature, x = sparse(Among(self.words), h, first)
+        row, feature, x = sparse(self.among, *features_of(flat))
         z = np.bincount(row, self.weights[feature] * x, minlength=flat.n)
         return _sigmoid(z[:, None] - self.thresholds[None, :])
 
 
-def sparse(among: Among, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse(among: Among, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, log(1 + occurrences)) of the members of `among`."""
     at, k = among.find(h)
-    row = np.searchsorted(first, at, "right") - 1
-    cells, n = np.unique(row * max(len(among.values), 1) + k, return_counts=True)
+    cells, n = np.unique(row[at] * max(len(among.values), 1) + k, return_counts=True)
     return cells // max(len(among.values), 1), cells % max(len(among.values), 1), np.log1p(n)
 
 
@@ -88,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def bags(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
-        h, first = words_of(flat)
+        h, row = features_of(flat)
+        first = np.searchsorted(row, np.arange(flat.n + 1))
         lists = [np.unique(h[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
         cuts = pa.array(np.cumsum([0, *(len(u) for u, _ in lists)]), pa.int32())
         counts = pa.array(np.concatenate([x[1] for x in lists] or [np.zeros(0)]).astype(np.int32))
@@ -102,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
     spread = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g")).where(F.col("b") + F.col("g") >= MIN_TEXTS)
     odds = ((F.col("b") + 0.5) / (bad - F.col("b") + 0.5)) / ((F.col("g") + 0.5) / (good - F.col("g") + 0.5))
     gap = F.abs(F.col("b") / bad - F.col("g") / good) / F.sqrt((F.col("b") + F.col("g")) / (bad + good))
-    telling = spread.select("word", odds.alias("odds"), gap.alias("gap")).orderBy(F.desc("gap"), "word").limit(VOCABULARY).collect()
+    telling = spread.select("word", odds.alias("odds"), gap.alias("gap")).where((F.col("odds") >= TELLING) | (F.col("odds") <= 1 / TELLING)).orderBy(F.desc("gap"), "word").limit(VOCABULARY).collect()
     words = np.array([r.word for r in telling], np.int64).view(np.uint64)
     marking = np.array([r.word for r in telling if r.odds >= MARK_ODDS], np.int64).view(np.uint64)
     order = np.argsort(words)
