@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, nearcopy, orcids, quality, secrets, toxicity, urlrules
+from . import bpe, decontaminate, licences, lm, nearcopy, orcids, quality, secrets, toxicity, urlrules
 from .common import stage_path, table
 
 ORACLE: dict[str, str] = {"op6_licence_digests": licences.SQL, "op8_rare_token_urls": urlrules.SQL}
@@ -22,6 +22,11 @@ def op2_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the unigram base and the recurrent model."""
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of exact and near copies among all documents."""
     return nearcopy.near_duplicates(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rare_seed_alignment": op1_rare_seed_alignment,
     "op2_ordinal_severity": op2_ordinal_severity,
+    "op3_gru_lm": op3_gru_lm,
     "op4_order_minhash": op4_order_minhash,
     "op5_forest_secrets": op5_forest_secrets,
     "op6_licence_digests": op6_licence_digests,
