@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .functions import queries as _descriptors  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
