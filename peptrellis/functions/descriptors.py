@@ -164,9 +164,11 @@ def isoelectric_point() -> Column:
 
 def physchem(df: DataFrame, ph: float = 7.4) -> DataFrame:
     """df (with sequence) and length, molecular_weight, net_charge, hydrophobicity, hydrophobic_moment, amphipathicity,
-    instability_index, n_oxidation, n_deamidation, disulfide_category."""
+    instability_index, n_oxidation, n_deamidation, disulfide_category. Doubles are rounded to nine decimals, so that a threshold
+    judges a sum the same whatever the order of its terms."""
+    exact = lambda c: F.round(c, 9)
     return df.withColumns({
-        "length": length(), "molecular_weight": molecular_weight(), "net_charge": net_charge(ph), "hydrophobicity": hydrophobicity(),
-        "hydrophobic_moment": moment(), "amphipathicity": amphipathicity(), "instability_index": instability(),
+        "length": length(), "molecular_weight": exact(molecular_weight()), "net_charge": exact(net_charge(ph)), "hydrophobicity": exact(hydrophobicity()),
+        "hydrophobic_moment": exact(moment()), "amphipathicity": exact(amphipathicity()), "instability_index": exact(instability()),
         "n_oxidation": count_of("MCW"), "n_deamidation": F.size(motif_positions(("NG", "NS"))), "disulfide_category": disulfide_category(),
     })

@@ -28,11 +28,11 @@ def physchem(table: str = "peptides", residues: str = "residues", name: str = "p
     FROM {residues} JOIN {WIDE} w USING (aa) GROUP BY id),
 {name}_pairs AS (SELECT a.id, sum(coalesce(w, {S.DIWV_DEFAULT})) AS w, count(*) FILTER (a.aa = 'N' AND b.aa IN ('G', 'S')) AS deam
     FROM {residues} a JOIN {residues} b ON a.id = b.id AND b.pos = a.pos + 1 LEFT JOIN {diwv} d ON d.pair = a.aa || b.aa GROUP BY a.id),
-{name} AS (SELECT p.id, p.sequence, n AS length, mass - (n - 1) * {S.WATER} AS molecular_weight,
-    q + 1 / (1 + pow(10, {ph} - ({_CASE("left(sequence, 1)", S.PK_N_TERM_OF, S.PK_N_TERM)}))) - 1 / (1 + pow(10, ({_CASE("right(sequence, 1)", S.PK_C_TERM_OF, S.PK_C_TERM)}) - {ph})) AS net_charge,
-    h AS hydrophobicity, sqrt(s * s + c * c) / n AS hydrophobic_moment,
-    CASE WHEN ah > 0 THEN least(1.0, greatest(0.0, sqrt(s * s + c * c) / n / ah)) ELSE 0.0 END AS amphipathicity,
-    CASE WHEN n < 2 THEN 0.0 ELSE coalesce(x.w, 0) * 10.0 / n END AS instability_index,
+{name} AS (SELECT p.id, p.sequence, n AS length, round(mass - (n - 1) * {S.WATER}, 9) AS molecular_weight,
+    round(q + 1 / (1 + pow(10, {ph} - ({_CASE("left(sequence, 1)", S.PK_N_TERM_OF, S.PK_N_TERM)}))) - 1 / (1 + pow(10, ({_CASE("right(sequence, 1)", S.PK_C_TERM_OF, S.PK_C_TERM)}) - {ph})), 9) AS net_charge,
+    round(h, 9) AS hydrophobicity, round(sqrt(s * s + c * c) / n, 9) AS hydrophobic_moment,
+    round(CASE WHEN ah > 0 THEN least(1.0, greatest(0.0, sqrt(s * s + c * c) / n / ah)) ELSE 0.0 END, 9) AS amphipathicity,
+    round(CASE WHEN n < 2 THEN 0.0 ELSE coalesce(x.w, 0) * 10.0 / n END, 9) AS instability_index,
     length(sequence) - length(translate(sequence, 'MCW', '')) AS n_oxidation, coalesce(deam, 0) AS n_deamidation,
     length(sequence) - length(replace(sequence, 'C', '')) AS cys,
     CASE WHEN cys = 0 THEN 'none' WHEN cys % 2 = 1 THEN 'flag' WHEN cys = 2 THEN 'low' WHEN cys = 4 THEN 'medium' ELSE 'high' END AS disulfide_category
