@@ -1 +1 @@
-
+"""End-to-end compositions of the operators."""

@@ -4,4 +4,5 @@ from __future__ import annotations
 
 from .functions import queries as _descriptors  # noqa: F401
 from .operators import gate_queries as _gates  # noqa: F401
+from .operators import rank_queries as _rank  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

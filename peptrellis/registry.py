@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: Added before rounding, so that no value lies on the tie of six decimals, where engines round apart.
-NUDGE = 3.3e-8
+NUDGE = 3.3333e-8
 
 
 def query(name: str, sql: str | None = None):
