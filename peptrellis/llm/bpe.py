@@ -23,7 +23,7 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPA
 #: No token crosses from a character that isn't white space to one that is: such chunks are encoded on their own.
 CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Chunks that a worker remembers; then it starts anew. Bounds its memory, not the result.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Longer chunks are not remembered.
 LONG_CHUNK = 64
 
@@ -134,6 +134,18 @@ class Bpe:
         return raw
 
 
+_loaded: dict[int, Bpe] = {}
+
+
+def _model(text: str) -> Bpe:
+    """The model of a tokenizers file's text; a worker keeps the last one for its next tasks."""
+    key = hash(text)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Bpe(text)
+    return _loaded[key]
+
+
 def tokenizer_text(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -145,15 +157,13 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
     docs needs a text column; a null text is empty and has no ids. Other columns are dropped.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
-    held: list[Bpe] = []
 
     def rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
-        if not held:
-            held.append(Bpe(spec.value))
-        ids = held[0].encode([t or "" for t in part.column("text").to_pylist()])
+        model = _model(spec.value)
+        ids = model.encode([t or "" for t in part.column("text").to_pylist()])
         flat_ids = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
         cuts = np.cumsum([0, *(len(i) // 4 for i in ids)])
-        texts = [held[0].decode(flat_ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        texts = [model.decode(flat_ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.record_batch({k: part.column(k) for k in keep} | {"ids_bytes": pa.array(ids, pa.binary()), "decoded": pa.array(texts, pa.binary()).cast(pa.string())})
 
     picked = docs.select(*keep, "text")
@@ -164,12 +174,9 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
-    held: list[Bpe] = []
 
     def rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
-        if not held:
-            held.append(Bpe(spec.value))
-        model = held[0]
+        model = _model(spec.value)
         ids = model.encode([t or "" for t in part.column("text").to_pylist()])
         texts = [model.decode(np.frombuffer(i, "<u4").astype(np.int64)) for i in ids]
         return pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids], "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in texts]})

@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles; bounds a Python worker's memory.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Rows of whole documents that travel to a Python worker at once; bounds the Arrow buffers on both sides.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -135,9 +137,18 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(at)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send BATCH_ROWS rows at a time to Python, if the session allows more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch, FlatTexts], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
     """mapInArrow over parts of bounded bytes; f gets the part and its texts."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, FlatTexts, hash_runs, slices, staged
+from .common import LOWER, NON_SPACE, FlatTexts, hash_runs, slices, small_batches, staged
 
 HIDDEN, CLASSES, VOCABULARY, WINDOW, LANES = 16, 24, 1535, 16, 512
 FREQUENT = 1 << 20
@@ -401,6 +401,7 @@ def scored(docs: DataFrame) -> DataFrame:
     base's. Repeated rows stay, and count as often in training.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     counts = staged(count_words(docs), "counts")
     words = collect_words(counts)
     params = train(docs, words) if words else None

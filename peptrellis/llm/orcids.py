@@ -16,14 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, slices
+from .common import CHUNK_BYTES, slices, small_batches
 
 SCHEMA = "doc_id long, shard int, at long, ids array<int>"
 OPTIONS = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 #: Words between ASCII white space are encoded on their own (no token of a word-level vocabulary crosses white space).
 ASCII_SPACE = re.compile("[ \\t\\n\\r]+")
 #: Words that a worker remembers; then it starts anew. Bounds its memory, not the result.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 LONG_WORD = 64
 
 
@@ -57,6 +57,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.array([end_id], "<u4").tobytes()
+    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
