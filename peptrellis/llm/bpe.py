@@ -15,17 +15,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import FlatTexts, map_texts
+from .common import FlatTexts, Remembered, map_texts
 
 #: Unicode white space, and the published pre-tokenisation pattern of byte-level BPE over it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: No token crosses from a character that isn't white space to one that is: such chunks are encoded on their own.
 CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Chunks that a worker remembers; then it starts anew. Bounds its memory, not the result.
+#: Chunks that a worker remembers in a generation.
 REMEMBERED = 120_000
-#: Longer chunks are not remembered.
-LONG_CHUNK = 64
 
 
 def byte_chars() -> list[str]:
@@ -59,8 +57,7 @@ class Bpe:
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.split = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.seen = Remembered(REMEMBERED)
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word (not empty)."""
@@ -98,29 +95,16 @@ class Bpe:
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         parts = [PIECES.findall(c) for c in chunks]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        new = list({p for ps in parts for p in ps if p not in self.pieces})
-        if new:
-            for p, ids in zip(new, self.merge([p.encode("utf-8") for p in new]), strict=True):
-                self.pieces[p] = ids.astype("<u4").tobytes()
-        return {c: b"".join(map(self.pieces.__getitem__, ps)) for c, ps in zip(chunks, parts, strict=True)}
+        new = list({p for ps in parts for p in ps})
+        ids = {p: i.astype("<u4").tobytes() for p, i in zip(new, self.merge([p.encode("utf-8") for p in new]), strict=True)}
+        return {c: b"".join(map(ids.__getitem__, ps)) for c, ps in zip(chunks, parts, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Special tokens' strings in a text become their ids."""
         split = [re.split(f"({self.split})", t) if self.split and any(s in t for s in self.special) else [t] for t in texts]
-        rows = [[CHUNKS.findall(p) if not k % 2 else p for k, p in enumerate(s)] for s in split]
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        seen = self.chunks
-        new = {c for r in rows for p in r if isinstance(p, list) for c in p if c not in seen}
-        own = self._learn(list(new)) if new else {}
-        seen.update({c: v for c, v in own.items() if len(c) <= LONG_CHUNK})
-        out = []
-        for r in rows:
-            one = [b"".join([seen[c] if c in seen else own[c] for c in p]) if isinstance(p, list) else np.uint32(self.special[p]).astype("<u4").tobytes() for p in r]
-            out.append(one[0] if len(one) == 1 else b"".join(one))
-        return out
+        parts = [p for s in split for p in s[::2]]
+        ids = iter(self.seen.values([CHUNKS.findall(p) for p in parts], self._learn))
+        return [b"".join(np.uint32(self.special[p]).tobytes() if k % 2 else next(ids) for k, p in enumerate(s)) for s in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of the ids; bytes that are no UTF-8 become U+FFFD."""

@@ -161,3 +161,32 @@ def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch, FlatTexts], pa.RecordB
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Remembered:
+    """Values of strings in two generations: when the younger is full it becomes the older one, whose entries come back on use.
+
+    Bounds a worker's memory, not the result; frequent strings stay. Strings over `long` characters are forgotten after each use.
+    """
+
+    def __init__(self, most: int, long: int = 64):
+        self.most, self.long = most, long
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def values(self, rows: list[list[str]], make: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        """The joined values of each row; make gives those of strings that are not remembered."""
+        new = self.new
+        missing = set().union(*rows).difference(new)
+        back = missing.intersection(self.old)
+        new.update({w: self.old[w] for w in back})
+        missing -= back
+        if missing:
+            new.update(make(list(missing)))
+        out = [b"".join(map(new.__getitem__, r)) for r in rows]
+        for w in missing:
+            if len(w) > self.long:
+                del new[w]
+        if len(new) > self.most:
+            self.old, self.new = new, {}
+        return out

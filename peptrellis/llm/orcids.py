@@ -6,7 +6,6 @@ shard) and ids. Readers take stripes in parallel; statistics, row indexes and Bl
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,40 +15,59 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, slices, small_batches
+from .common import CHUNK_BYTES, Remembered, slices, small_batches
 
 SCHEMA = "doc_id long, shard int, at long, ids array<int>"
 OPTIONS = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
-#: Words between ASCII white space are encoded on their own (no token of a word-level vocabulary crosses white space).
-ASCII_SPACE = re.compile("[ \\t\\n\\r]+")
-#: Words that a worker remembers; then it starts anew. Bounds its memory, not the result.
+#: Words that a worker remembers in a generation.
 REMEMBERED = 150_000
-LONG_WORD = 64
+#: Words are encoded in joined texts of so many, with the separator between that none of them holds.
+JOINED, SEPARATOR = 200, "|"
 
 
 class WordEncoder:
-    """The tokenizers library over words, each distinct word once. For tokenizers whose normaliser and pre-tokeniser drop white space."""
+    """The tokenizers library over words between ASCII white space, each distinct word once. For tokenizers whose normaliser and
+    pre-tokeniser drop white space, so that no token crosses it."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_str(spec), {"": b""}
+        self.tokenizer, self.seen = Tokenizer.from_str(spec), Remembered(REMEMBERED)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.mark = self._ids([SEPARATOR])[0]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _make(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if SEPARATOR not in w] if len(self.mark) == 1 else []
+        other = [w for w in words if SEPARATOR in w] if len(self.mark) == 1 else words
+        out = {w: i.tobytes() for w, i in zip(other, self._ids(other), strict=True)}
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._ids([f" {SEPARATOR} ".join(g) for g in groups]), strict=True):
+            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(group, ends, strict=True):
+                out[w] = raw[4 * at : 4 * end]
+                at = end + 1
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [ASCII_SPACE.split(t) for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words = {"": b""}
-        seen = self.words
-        new = list({w for r in rows for w in r if w not in seen})
-        made = {}
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                made[w] = np.array(e.ids, "<u4").tobytes()
-        seen.update({w: v for w, v in made.items() if len(w) <= LONG_WORD})
-        return [b"".join([seen[w] if w in seen else made[w] for w in r]) for r in rows]
+        rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        return self.seen.values(rows, self._make)
+
+
+_loaded: dict[int, WordEncoder] = {}
+
+
+def _encoder(spec: str) -> WordEncoder:
+    """A worker keeps its encoder, and what it remembers, for its next tasks."""
+    key = hash(spec)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = WordEncoder(spec)
+    return _loaded[key]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -63,7 +81,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard, at = WordEncoder(spec.value), TaskContext.get().partitionId(), 0
+        encoder, shard, at = _encoder(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES):
                 ids = [i + end for i in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
