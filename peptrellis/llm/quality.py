@@ -18,8 +18,8 @@ from .common import staged
 #: What separates words, and the symbols counted.
 SPACES, WORD, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+", "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Thresholds tried for each statistic: so many quantiles of the rows to be covered.
-QUANTILES = 24
+#: Thresholds tried for each statistic: so many quantiles of the bad and of the good rows, and the middles between.
+QUANTILES = 10
 MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVERED = 12, 3, 0.97, 10
 FEATURES = {
     "words": "n_words",
@@ -115,6 +115,8 @@ class Rule:
 
 def _counts(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict:
     """(feature, threshold) -> (bad, good) rows above it, on the growing rows; also the totals under None."""
+    if not any(thresholds.values()):
+        return {None: (0, 0)}
     passed = lambda n, ts: F.size(F.filter(F.array(*(F.lit(float(t)) for t in ts)), lambda t: F.col(n) > t))
     pairs = F.array(*(F.struct(F.lit(n).alias("f"), passed(n, ts).alias("k")) for n, ts in thresholds.items() if ts))
     got = rows.select("bad", F.explode(pairs).alias("x")).groupBy("x.f", "x.k").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g")).collect()
@@ -128,12 +130,17 @@ def _counts(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict:
     return out
 
 
+def _thresholds(quantiles: list[float]) -> list[float]:
+    known = sorted(set(quantiles))
+    return sorted({*known, *((a + b) / 2 for a, b in zip(known[:-1], known[1:], strict=True))})
+
+
 def _grow(rows: DataFrame) -> list[Condition]:
     chosen: list[Condition] = []
     while len(chosen) < MAX_CONDITIONS:
-        asked = [F.percentile_approx(F.when(F.col("bad") == 1, F.col(n)), F.array(*(F.lit((q + 0.5) / QUANTILES) for q in range(QUANTILES))), F.lit(2000)).alias(n) for n in FEATURES]
-        at = rows.agg(*asked).first()
-        counts = _counts(rows, {n: sorted({x for x in (at[n] or [])}) for n in FEATURES})
+        at_each = F.array(*(F.lit((q + 0.5) / QUANTILES) for q in range(QUANTILES)))
+        at = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == b, F.col(n)), at_each, F.lit(2000)).alias(f"{n}_{b}") for n in FEATURES for b in (0, 1))).first()
+        counts = _counts(rows, {n: _thresholds([*(at[f"{n}_0"] or []), *(at[f"{n}_1"] or [])]) for n in FEATURES})
         bad, good = counts.pop(None)
         if not bad or not good:
             break

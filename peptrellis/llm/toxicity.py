@@ -2,7 +2,7 @@
 
 P(grade > k) = sigmoid(w.x - theta_k), k = 0..2, one weight vector for all thresholds, theta_0 < theta_1 < theta_2. Features:
 log(1 + occurrences) of words, and of beginnings of words, that tell the labelled classes apart. Grade 0: labelled clean. Labelled toxic texts get grade 1, 2 or
-3 by the share of their features that are marks of toxic texts (words of odds of at least MARK_ODDS for toxic), cut at its terciles.
+3 by the sum of the features that are marks of toxic texts (odds of at least MARK_ODDS for toxic), cut at its terciles.
 """
 
 from __future__ import annotations
@@ -108,9 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
         lists = [np.unique(h[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
         cuts = pa.array(np.cumsum([0, *(len(u) for u, _ in lists)]), pa.int32())
         counts = pa.array(np.concatenate([x[1] for x in lists] or [np.zeros(0)]).astype(np.int32))
-        return pa.record_batch({"doc_id": part.column("doc_id"), "toxic": part.column("toxic").cast(pa.int32()), "words": pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[0] for x in lists] or [np.zeros(0, np.uint64)]).view(np.int64))), "n": pa.ListArray.from_arrays(cuts, counts), "total": pa.array(np.diff(first), pa.int64())})
+        return pa.record_batch({"doc_id": part.column("doc_id"), "toxic": part.column("toxic").cast(pa.int32()), "words": pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[0] for x in lists] or [np.zeros(0, np.uint64)]).view(np.int64))), "n": pa.ListArray.from_arrays(cuts, counts)})
 
-    rows = staged(map_texts(texts, bags, "doc_id long, toxic int, words array<long>, n array<int>, total long"), "fit-words")
+    rows = staged(map_texts(texts, bags, "doc_id long, toxic int, words array<long>, n array<int>"), "fit-words")
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
@@ -127,21 +127,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
 
     def features(batches):
         for batch in batches:
-            for d, t, ws, ns, total in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "words", "n", "total")), strict=True):
+            for d, t, ws, ns in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "words", "n")), strict=True):
                 w = np.array(ws, np.int64).view(np.uint64)
                 k = np.minimum(np.searchsorted(known.value, w), len(known.value) - 1)
                 hit = known.value[k] == w
-                yield pa.record_batch({"doc_id": pa.array([d], pa.int64()), "toxic": pa.array([t], pa.int32()), "k": pa.array([k[hit].astype(np.int32)]), "n": pa.array([np.array(ns, np.int32)[hit]]), "total": pa.array([total], pa.int64())})
+                yield pa.record_batch({"doc_id": pa.array([d], pa.int64()), "toxic": pa.array([t], pa.int32()), "k": pa.array([k[hit].astype(np.int32)]), "n": pa.array([np.array(ns, np.int32)[hit]])})
 
     # FIT_ROWS rows of VOCABULARY features at most.
-    got = sorted(rows.mapInArrow(features, "doc_id long, toxic int, k array<int>, n array<int>, total long").collect(), key=lambda r: (r.doc_id, r.toxic, r.k, r.n))
+    got = sorted(rows.mapInArrow(features, "doc_id long, toxic int, k array<int>, n array<int>").collect(), key=lambda r: (r.doc_id, r.toxic, r.k, r.n))
     row = np.repeat(np.arange(len(got)), [len(r.k) for r in got])
     feature, n = (np.concatenate([np.array(getattr(r, c), np.int64) for r in got]) for c in ("k", "n"))
     toxic = np.array([r.toxic for r in got])
     is_mark = np.isin(words, marking)
-    rate = np.bincount(row, n * is_mark[feature], minlength=len(got)) / np.maximum([r.total for r in got], 1)
-    cuts = np.quantile(rate[toxic == 1], [1 / 3, 2 / 3])
-    grades = np.where(toxic == 1, 1 + (rate > cuts[0]).astype(int) + (rate > cuts[1]), 0)
+    strength = np.bincount(row, np.log1p(n) * is_mark[feature], minlength=len(got))
+    cuts = np.quantile(strength[toxic == 1], [1 / 3, 2 / 3])
+    grades = np.where(toxic == 1, 1 + (strength > cuts[0]).astype(int) + (strength > cuts[1]), 0)
     weights, thresholds = fit_ordinal(row, feature, np.log1p(n), grades, len(words))
     return Ordinal(words, weights, thresholds)
 

@@ -1,0 +1,201 @@
+"""Toxicity, language model, secrets and quality: held-out accuracy, plain recurrences, awkward tables."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+pytest.importorskip("peptrellis.llm")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+from peptrellis.llm import lm, quality, secrets, toxicity  # noqa: E402
+
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+RUDE = ["idiot", "scum", "moron", "trash"]
+
+
+def prose(rng, n):
+    return [rng.choice(["the", "of", "and", "river", "stone", "walks", "blue", "seven", "garden", "éclair"]) + rng.choice(["", "", "s", "."]) for _ in range(n)]
+
+
+def corpus(rng, n, rude=0.3):
+    rows = []
+    for i in range(n):
+        ws = prose(rng, rng.randrange(20, 120))
+        bad = rng.random() < rude
+        for _ in range(rng.randrange(1, 6) if bad else 0):
+            ws.insert(rng.randrange(len(ws)), rng.choice(RUDE))
+        rows.append((i, " ".join(ws), int(bad)))
+    return rows
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = corpus(random.Random(2), 600)
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(9000, None, "x"), (9001, "", "x"), (0, rows[0][1], "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows if i < 300] + [(301, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert (np.diff(model.thresholds) > 0).all()
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    assert all(got[i].rejected == bool(b) for i, _, b in rows)
+    assert not got[9000].rejected and got[9000].expected_severity == got[9001].expected_severity
+    assert all(0 <= r.expected_severity <= 3 for r in got.values())
+    kept = toxicity.clean(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(1 for r in rows if not r[2]) + 2 + (1 - rows[0][2])
+    assert toxicity.fit(docs, labels.where("toxic = 0")) is None
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+    assert toxicity.scored(docs, None).where("rejected").count() == 0
+
+
+def test_ordinal_gradient_finds_ordered_grades():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal(4000)
+    grades = np.digitize(2 * x + rng.logistic(size=4000), [-1, 1, 3])
+    w, theta = toxicity.fit_ordinal(np.arange(4000), np.zeros(4000, int), x, grades, 1)
+    assert w[0] == pytest.approx(2, abs=0.25) and theta == pytest.approx([-1, 1, 3], abs=0.3)
+
+
+def test_gradients_of_the_recurrent_model():
+    words = lm.Words(1000, 30, np.sort(np.append(np.arange(1, 30, dtype=np.uint64) << np.uint64(58), lm.END_HASH)), np.arange(30) + 5)
+    model = lm.Gru(words)
+    model.p = {n: v.astype(np.float64) for n, v in model.p.items()}
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, words.size + 1, (6, 3))
+    x = np.vstack([np.zeros((1, 3), int), y[:-1]])
+    keep = (x != lm.END).astype(float)
+    loss = lambda: -model.predict(model.run(x, keep, np.zeros((3, lm.HIDDEN))).reshape(-1, lm.HIDDEN).astype(np.float64), y.reshape(-1), False)[0].sum()
+    before = {n: v.copy() for n, v in model.p.items()}
+    squares = {n: np.ones_like(v) * 1e12 for n, v in model.p.items()}
+    # With huge accumulators an AdaGrad step is -rate * gradient * scale / 1e6.
+    model._step(x, y, keep, np.zeros((3, lm.HIDDEN)), 1e6, squares)
+    moved = {n: (before[n] - model.p[n]) * np.sqrt(x.size) for n in before}
+    for name in ("x", "u", "un", "c", "bc", "o", "bo"):
+        for _ in range(6):
+            at = tuple(rng.integers(0, s) for s in before[name].shape)
+            values = []
+            for e in (1e-3, -1e-3):
+                model.p = {n: v.copy() for n, v in before.items()}
+                model.p[name][at] += e
+                values.append(loss())
+            assert moved[name][at] == pytest.approx((values[0] - values[1]) / 2e-3, rel=0.02, abs=2e-2), name
+
+
+def test_language_model_base_counts_and_probabilities(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join([x for w in prose(rng, rng.randrange(1, 80)) for x in (w, "then")] + [f"rare{rng.randrange(60)}"])) for i in range(400)] + [(1000, None), (1001, ""), (1002, "Never-seen WORDS"), (5, "the of"), (5, "the of")]
+    got = lm.scored(spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")).collect()
+    counts, n = Counter(), 0
+    for i, t in rows:
+        if not lm.held_out(i):
+            counts.update([*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None])
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for i, t in rows:
+        ws = [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None]
+        want[i, lm.held_out(i), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert all(r.score < 0 for r in got)
+
+
+def test_word_probabilities_sum_to_one():
+    words = lm.Words(500, 40, np.sort(np.append(np.arange(1, 20, dtype=np.uint64) << np.uint64(57), lm.END_HASH)), np.arange(20) + 1)
+    model = lm.Gru(words)
+    state = np.repeat(np.random.default_rng(0).standard_normal((1, lm.HIDDEN)), words.size + 1, axis=0).astype(np.float32)
+    assert np.exp(model.predict(state, np.arange(words.size + 1), False)[0]).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_state_is_carried_through_whole_documents():
+    words = lm.Words(500, 40, np.sort(np.append(np.arange(1, 20, dtype=np.uint64) << np.uint64(57), lm.END_HASH)), np.arange(20) + 1)
+    model = lm.Gru(words)
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(1, words.size + 1, n), lm.END).astype(np.int32) for n in (3, 200, 0, 50)]
+    first = np.cumsum([0, *map(len, docs)])
+    together = model.score(np.concatenate(docs), first)
+    for k, d in enumerate(docs):
+        x, h, total = lm.END, np.zeros((1, lm.HIDDEN), np.float32), 0.0
+        for y in d:
+            states = model.run(np.array([[x]]), np.array([[float(x != lm.END)]], np.float32), h)
+            h, x = states[0], int(y)
+            total += float(model.predict(states[0], np.array([y]), False)[0][0])
+        assert together[k] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+def test_empty_language_model_table(spark):
+    assert lm.scored(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def secret_rows(rng):
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(300):
+        ws = prose(rng, 40)
+        kind = i % 6
+        if kind == 0:
+            ws[10:10] = ["password=" + hexes(18)]
+        elif kind == 1:
+            ws[10:10] = ["AKIA" + "".join(rng.choice("ABCDEFGHIJ234567") for _ in range(16))]
+        elif kind == 2:
+            ws[10:10] = ["order", str(rng.randrange(10**15, 10**16))]
+        elif kind == 3:
+            ws[10:10] = ["INTERNATIONALISATION"]
+        rows.append((i, " ".join(ws), "src/main" if i % 2 else None, kind < 2))
+    return rows
+
+
+def test_secrets_are_masked_and_others_stay(spark):
+    rows = secret_rows(random.Random(3))
+    docs = spark.createDataFrame([(i, t, s, len(t), "x") for i, t, s, _ in rows] + [(900, None, None, None, None), (901, "", "a", 0, "x")], "doc_id long, text string, source string, n_chars long, start string")
+    found = secrets.scan(docs, BYTE).collect()
+    texts = {i: t for i, t, _, _ in rows}
+    assert {r.doc_id for r in found if r.is_secret} == {i for i, _, _, s in rows if s}
+    assert all(re.fullmatch(r"[0-9a-f]{18}|AKIA\w{16}", texts[r.doc_id][r.start : r.start + r.length]) for r in found if r.is_secret)
+    out = {r.doc_id: r for r in secrets.masked(docs, BYTE).collect()}
+    assert len(out) == 302 and out[900].text is None
+    for i, t, _, s in rows:
+        assert (secrets.MASK in out[i].text) == s and out[i].n_chars == len(out[i].text)
+        assert s or out[i].text == t
+    assert secrets.scan(docs.limit(0), BYTE).collect() == []
+
+
+def test_forest_tells_held_out_rows_apart():
+    rng = np.random.default_rng(5)
+    x = rng.random((3000, 6))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    p = secrets.grow(x[:2000], y[:2000]).probability(x[2000:])
+    assert ((p > 0.5) == y[2000:]).mean() > 0.93
+
+
+def plain_statistics(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows, covered = Counter(zip(ws, ws[1:], ws[2:], strict=False)), set()
+    for k in range(len(ws) - 2):
+        if windows[tuple(ws[k : k + 3])] > 1:
+            covered |= {k, k + 1, k + 2}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_statistics_and_decision_list(spark):
+    rng = random.Random(6)
+    rows = [(0, None), (1, ""), (2, " \x0b\n"), (3, "a b c a b c a b"), (4, "é é é é 中 文\n\nx\nx\n #$%"), (5, "a\x1cb c\x85d")]
+    for i in range(6, 900):
+        ws = prose(rng, rng.randrange(55, 140))
+        if i % 3 == 0:
+            ws = [w + rng.choice(["###", "$$$", "%%%"]) for w in ws]
+        rows.append((i, "\n".join(" ".join(ws[k : k + 20]) for k in range(0, len(ws), 20))))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(7, rows[7][1], "x")], "doc_id long, text string, n_words string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(6, 500)] + [(501, None)], "doc_id long, quality int")
+    got = quality.judged(docs, labels).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_statistics(rows[r.doc_id][1])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        if not r.base_failed:
+            assert r.kept == (r.doc_id % 3 != 0), r
+        else:
+            assert not r.kept
+    assert quality.judged(docs, labels.limit(0)).where("kept").count() > 0
+    assert quality.judged(docs.limit(0), labels).count() == 0
