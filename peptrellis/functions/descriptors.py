@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scales as S
 
@@ -142,7 +143,7 @@ def window_max(scale: Mapping[str, float] = S.KYTE_DOOLITTLE, width: int = 5) ->
     return F.when(F.length(SEQ) < width, mean_of(scale)).otherwise(F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.length(SEQ) - width + 1, F.lit(1))), mean)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _zero_charge(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     plus, minus = np.array(list(S.PK_POSITIVE.values())), np.array(list(S.PK_NEGATIVE.values()))
     for *counts, first, last in batches:

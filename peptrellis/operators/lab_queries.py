@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import descriptors as D
 from ..functions import scales as S
@@ -299,7 +300,7 @@ def c18(v):
 
 
 # Scorers.
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _toy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A stand-in for a predictor that is loaded once for each worker: share of cationic residues, squashed."""
     for s in batches:
