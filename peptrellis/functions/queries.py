@@ -83,7 +83,7 @@ def h9(v):
 _CLASS_SQL = ", ".join(f"{sql_r6('avg(CASE WHEN aa IN (' + ', '.join(repr(a) for a in ls) + ') THEN 1.0 ELSE 0.0 END)')} AS {n}" for n, ls in S.CLASSES.items())
 
 
-@query("H13_global_features", with_("residues", more=physchem()) + f", k AS (SELECT id, {sql_r6('avg(kd)')} AS mean_kd, {sql_r6('-avg(boman)')} AS boman, {_CLASS_SQL} FROM residues JOIN {WIDE} w USING (aa) GROUP BY id) SELECT p.id, length, {sql_r6('net_charge')} AS net_charge, {sql_r6('hydrophobic_moment')} AS moment, {sql_r6('net_charge / molecular_weight')} AS charge_density, k.* EXCLUDE (id) FROM physchem p JOIN k USING (id)")
+@query("H13_global_features_16", with_("residues", more=physchem()) + f", k AS (SELECT id, {sql_r6('avg(kd)')} AS mean_kd, {sql_r6('-avg(boman)')} AS boman, {_CLASS_SQL} FROM residues JOIN {WIDE} w USING (aa) GROUP BY id) SELECT p.id, length, {sql_r6('net_charge')} AS net_charge, {sql_r6('hydrophobic_moment')} AS moment, {sql_r6('net_charge / molecular_weight')} AS charge_density, k.* EXCLUDE (id) FROM physchem p JOIN k USING (id)")
 def h13(v):
     classes = [r6(D.count_of(ls) / F.length("sequence")).alias(n) for n, ls in S.CLASSES.items()]
     return v.peptides.select("id", D.length().cast("long").alias("length"), r6(D.net_charge()).alias("net_charge"), r6(D.moment()).alias("moment"), r6(D.net_charge() / D.molecular_weight()).alias("charge_density"), r6(D.mean_of(S.KYTE_DOOLITTLE)).alias("mean_kd"), r6(-D.mean_of(S.BOMAN)).alias("boman"), *classes)
@@ -198,7 +198,7 @@ def h26(v):
 _ATOM_SQL = values([(a, *S.ATOMS[a]) for a in S.ALPHABET], "aa, c, h, n, o, s")
 
 
-@query("H27_atom_composition", with_("residues", more=f"t AS (SELECT id, sum(c) AS c, sum(h) AS h, sum(n) AS n, sum(o) AS o, sum(s) AS s FROM residues JOIN {_ATOM_SQL} a USING (aa) GROUP BY id)") + "SELECT id, " + ", ".join(f"{sql_r6(f'100.0 * {x} / (c + h + n + o + s)')} AS {x}" for x in "chnos") + " FROM t")
+@query("H27_atom_bond_composition", with_("residues", more=f"t AS (SELECT id, sum(c) AS c, sum(h) AS h, sum(n) AS n, sum(o) AS o, sum(s) AS s FROM residues JOIN {_ATOM_SQL} a USING (aa) GROUP BY id)") + "SELECT id, " + ", ".join(f"{sql_r6(f'100.0 * {x} / (c + h + n + o + s)')} AS {x}" for x in "chnos") + " FROM t")
 def h27(v):
     sums = {x: D.composition_sum({a: S.ATOMS[a][k] for a in S.ATOMS}) for k, x in enumerate("chnos")}
     return v.peptides.select("id", *(s.alias(x) for x, s in sums.items())).select("id", *(r6(F.col(x) * 100.0 / F.expr("c + h + n + o + s")).alias(x) for x in "chnos"))
@@ -222,7 +222,7 @@ def h30(v):
     return v.residues.join(F.broadcast(table), "aa").groupBy("id", "scale").agg(r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
-@query("H31_multi_scale_moment", with_("residues") + " UNION ALL ".join(f"SELECT id, '{n}' AS scale, {sql_r6('avg(v)')} AS mean, {sql_r6('sqrt(pow(sum(v * sin(radians(100.0 * pos))), 2) + pow(sum(v * cos(radians(100.0 * pos))), 2)) / count(*)')} AS moment FROM residues JOIN {scale(s)} t USING (aa) GROUP BY id" for n, s in S.SCALES.items()))
+@query("H31_multi_scale_global_moment", with_("residues") + " UNION ALL ".join(f"SELECT id, '{n}' AS scale, {sql_r6('avg(v)')} AS mean, {sql_r6('sqrt(pow(sum(v * sin(radians(100.0 * pos))), 2) + pow(sum(v * cos(radians(100.0 * pos))), 2)) / count(*)')} AS moment FROM residues JOIN {scale(s)} t USING (aa) GROUP BY id" for n, s in S.SCALES.items()))
 def h31(v):
     per = F.array(*(F.struct(F.lit(n).alias("scale"), D.mean_of(s).alias("mean"), D.moment(s).alias("moment")) for n, s in S.SCALES.items()))
     return v.peptides.select("id", F.explode(per).alias("x")).select("id", "x.scale", r6("x.mean").alias("mean"), r6("x.moment").alias("moment"))

@@ -351,7 +351,7 @@ def k5(v):
     return v.table("embeddings").select("vec_id", r6(mean(F.col("embedding"))).alias("with_ends"), r6(mean(F.slice("embedding", F.lit(2), F.size("embedding") - 2))).alias("without_ends"))
 
 
-@query("K7_fold_metrics", with_("predictions", more="f AS (SELECT id // 1000000 % 5 AS fold, amp AS y, (amp + migration) / 2 AS p FROM predictions WHERE amp IS NOT NULL AND migration IS NOT NULL)") + f"SELECT fold, count(*) AS n, {sql_r6('corr(p, y)')} AS pearson, {sql_r6('sqrt(avg(pow(p - y, 2)))')} AS rmse, {sql_r6('avg(abs(p - y))')} AS mae, {sql_r6('1 - sum(pow(p - y, 2)) / (var_pop(y) * count(*))')} AS r2 FROM f GROUP BY fold")
+@query("K7_pca_scaler_fit_eval", with_("predictions", more="f AS (SELECT id // 1000000 % 5 AS fold, amp AS y, (amp + migration) / 2 AS p FROM predictions WHERE amp IS NOT NULL AND migration IS NOT NULL)") + f"SELECT fold, count(*) AS n, {sql_r6('corr(p, y)')} AS pearson, {sql_r6('sqrt(avg(pow(p - y, 2)))')} AS rmse, {sql_r6('avg(abs(p - y))')} AS mae, {sql_r6('1 - sum(pow(p - y, 2)) / (var_pop(y) * count(*))')} AS r2 FROM f GROUP BY fold")
 def k7(v):
     """Whole clusters (parents) go to one fold."""
     f = v.predictions.where("amp is not null and migration is not null").selectExpr("(id div 1000000) % 5 as fold", "amp as y", "(amp + migration) / 2 as p")
