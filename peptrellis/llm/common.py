@@ -186,7 +186,7 @@ class Remembered:
         out = [b"".join(map(new.__getitem__, r)) for r in rows]
         for w in missing:
             if len(w) > self.long:
-                del new[w]
+                new.pop(w, None)
         if len(new) > self.most:
             self.old, self.new = new, {}
         return out

@@ -20,7 +20,9 @@ from .common import CHUNK_BYTES, Remembered, slices, small_batches
 SCHEMA = "doc_id long, shard int, at long, ids array<int>"
 OPTIONS = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 #: Words that a worker remembers in a generation.
-REMEMBERED = 150_000
+REMEMBERED = 350_000
+#: Marks at a word's end, after a letter, are tokens of their own: the word and they are looked up apart.
+MARKS = ".,;:!?"
 #: Words are encoded in joined texts of so many, with the separator between that none of them holds.
 JOINED, SEPARATOR = 200, "|"
 
@@ -41,6 +43,21 @@ class WordEncoder:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _make(self, words: list[str]) -> dict[str, bytes]:
+        seen, parts = self.seen, {}
+        for w in words:
+            low = w.lower() if w.isascii() else w
+            core = low.rstrip(MARKS)
+            if core == low or not core or not core[-1].isalpha():
+                core = low
+            parts[w] = (core, low[len(core) :])
+        wanted = {p for pair in parts.values() for p in pair}
+        known = {p: seen.new[p] if p in seen.new else seen.old[p] for p in wanted if p in seen.new or p in seen.old}
+        new = self._encoded([p for p in wanted if p not in known])
+        known.update(new)
+        new.update((w, known[core] + known[tail]) for w, (core, tail) in parts.items())
+        return new
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
         plain = [w for w in words if SEPARATOR not in w] if len(self.mark) == 1 else []
         other = [w for w in words if SEPARATOR in w] if len(self.mark) == 1 else words
         out = {w: i.tobytes() for w, i in zip(other, self._ids(other), strict=True)}
