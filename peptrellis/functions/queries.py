@@ -228,12 +228,12 @@ def h31(v):
     return v.peptides.select("id", F.explode(per).alias("x")).select("id", "x.scale", r6("x.mean").alias("mean"), r6("x.moment").alias("moment"))
 
 
-@query("H36_kmer_multi_hot", with_("residues") + "SELECT a.id, a.pos, k, b.aa, count(*) AS n FROM residues a CROSS JOIN (VALUES (1), (2), (3)) AS w(k) JOIN residues b ON b.id = a.id AND b.pos BETWEEN a.pos - k // 2 AND a.pos + (k - 1) // 2 WHERE a.pos < 25 GROUP BY a.id, a.pos, k, b.aa")
+@query("H36_kmer_multi_hot", with_("residues") + "SELECT id, k, count(*) AS hot, sum(n) AS residues FROM (SELECT a.id, a.pos, k, b.aa, count(*) AS n FROM residues a CROSS JOIN (VALUES (1), (2), (3)) AS w(k) JOIN residues b ON b.id = a.id AND b.pos BETWEEN a.pos - k // 2 AND a.pos + (k - 1) // 2 WHERE a.pos < 25 GROUP BY a.id, a.pos, k, b.aa) GROUP BY id, k")
 def h36(v):
     # The window of width k around each of the first 25 residues (the model's input length).
     near = F.expr("explode(flatten(transform(array(1, 2, 3), k -> transform(array_compact(transform(sequence(pos - k div 2, pos + (k - 1) div 2), j -> if(j >= 0 and j < length(sequence), j, null))), j -> struct(k, substr(sequence, cast(j as int) + 1, 1) as aa)))))")
     each = v.peptides.select("id", "sequence", F.explode(F.sequence(F.lit(0), F.least(F.length("sequence") - 1, F.lit(24)))).alias("pos"))
-    return each.select("id", "pos", near.alias("x")).groupBy("id", "pos", F.col("x.k").alias("k"), F.col("x.aa").alias("aa")).agg(F.count(F.lit(1)).alias("n"))
+    return each.select("id", "pos", near.alias("x")).groupBy("id", "pos", F.col("x.k").alias("k"), F.col("x.aa").alias("aa")).agg(F.count(F.lit(1)).alias("n")).groupBy("id", "k").agg(F.count(F.lit(1)).alias("hot"), F.sum("n").alias("residues"))
 
 
 @query("H37_one_hot", with_("residues") + f"SELECT id, pos, strpos('{S.ALPHABET}', aa) - 1 AS hot FROM residues WHERE pos < 68")
