@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, NON_SPACE, FlatTexts, hash_runs, map_texts, mix, staged
@@ -22,12 +22,15 @@ WORDS, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
 #: Texts of a similarity of SIMILARITY share a sketch with probability of 0.6 at least; a pair with fewer than AGREE equal sketches
 #: of SKETCHES is no candidate (one such pair in 10,000 at 0.8, fewer above).
 AGREE = 3
-#: In buckets of up to so many texts, all pairs across parts that are not linked yet are verified; larger ones go through hubs.
+#: In buckets of up to so many texts, all pairs across parts that are not linked yet are verified; those of larger ones are
+#: looked for in sets of AGREE buckets that two texts have in common.
 SMALL_BUCKET = 48
 #: Documents in pairs, up to which their ids are broadcast to filter the scan (8 bytes each); beyond, a shuffled semi-join.
 BROADCAST_IDS = 2_000_000
 #: Pairs of a hub are dealt out to so many parts.
 SALTS = 64
+#: Texts of one set of buckets that are paired in one task, as long as SALTS allow.
+SLOT_TEXTS = 256
 
 
 def shingles(flat: FlatTexts, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +191,34 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return nodes.select("doc_id").join(labels, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
 
 
+def _close(one: str, two: str) -> Column:
+    """Whether texts of so many shingles can have SIMILARITY at all."""
+    return F.least(one, two) >= SIMILARITY * F.greatest(one, two)
+
+
+def _key_sets(keys: str) -> Column:
+    """A hash of each set of AGREE of the sorted keys."""
+    sets = F.transform(keys, lambda x, i: F.struct(i.alias("last"), F.array(x).alias("set")))
+    for _ in range(AGREE - 1):
+        sets = F.flatten(F.transform(sets, lambda s: F.transform(F.filter(F.transform(keys, lambda x, i: F.struct(i.alias("last"), x.alias("key"))), lambda n: n["last"] > s["last"]), lambda n: F.struct(n["last"].alias("last"), F.concat(s["set"], F.array(n["key"])).alias("set")))))
+    return F.transform(sets, lambda s: F.xxhash64(s["set"]))
+
+
+def _mixed(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of sets with their parts and the size of their set, where a set has more than one part."""
+    rows = sets.join(parts, "doc_id")
+    mixed = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size")).where("p <> q")
+    return rows.join(mixed.select("key", "size"), "key")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """All distinct pairs (a, b) of one key and different parts; the texts of a large key are dealt out to several tasks."""
+    slots = F.least(F.lit(SALTS), F.ceil(F.col("size") / SLOT_TEXTS)).cast("int")
+    one = rows.select("key", F.pmod(F.hash("doc_id"), slots).alias("slot"), F.col("doc_id").alias("a"), F.col("part").alias("part_a"), F.col("n_shingles").alias("n_a"))
+    two = rows.select("key", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("n_shingles").alias("n_b"))
+    return one.join(two, ["key", "slot"]).where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _close("n_a", "n_b")).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of its class), n_copies (rows with its exact shingles, itself
     included), n_links (verified links of its text to other texts), n_class (rows of the class).
@@ -198,7 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = staged(map_texts(docs.select("doc_id", "text"), _sketch_rows, "doc_id long, same binary, n_shingles long, sketch array<long>"), "sketches")
     worded = rows.where("n_shingles > 0")
     classes = worded.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    codes = staged(worded.join(classes, [worded.same == classes.same, worded.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sketch"), "codes")
+    codes = staged(worded.join(classes, [worded.same == classes.same, worded.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch"), "codes")
     each = codes.select("doc_id", F.explode("sketch").alias("key"))
     sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = staged(each.join(sizes, "key"), "members")
@@ -216,14 +247,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small = open_.where(F.col("size") <= SMALL_BUCKET).select("key", "doc_id", "part")
     one, two = small.alias("one"), small.alias("two")
     cross = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.part") < F.col("two.part"))).select(F.least("one.doc_id", "two.doc_id").alias("a"), F.greatest("one.doc_id", "two.doc_id").alias("b"))
-    # Larger buckets: each text with its neighbours in the order of all its sketches.
-    large = open_.where(F.col("size") > SMALL_BUCKET).select("key", "doc_id", "part")
-    order = Window.partitionBy("key", "slot").orderBy("code", "doc_id")
-    slotted = large.join(codes.select("doc_id", F.sort_array("sketch").alias("code")), "doc_id").withColumn("slot", F.col("code")[0] % 16)
-    lined = slotted.select("doc_id", "part", *(F.lag(F.struct("doc_id", "part"), k).over(order).alias(f"l{k}") for k in (1, 2, 3)))
-    steps = lined.select("doc_id", "part", F.explode(F.array("l1", "l2", "l3")).alias("l")).where("l.part <> part").select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b"))
-    second = _verified(docs, _agreeing(cross.union(steps).distinct(), codes))
-    links = staged(first.select("a", "b").union(second.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
+    # Texts that share large buckets only: a pair that agrees in AGREE sketches has a set of AGREE such buckets in common.
+    large = open_.where(F.col("size") > SMALL_BUCKET).groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.first("weight").alias("weight"))
+    lengths = codes.select("doc_id", "n_shingles")
+    sets = staged(large.where(F.size("keys") >= AGREE).join(lengths, "doc_id").select("doc_id", "n_shingles", "weight", F.explode(_key_sets("keys")).alias("key")), "key-sets")
+    meet = staged(_mixed(sets, parts), "mixed")
+    tops = meet.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "part", "n_shingles")).alias("top"))
+    centre = tops.select("key", (-F.col("top.minus")).alias("a"), F.col("top.part").alias("hub_part"), F.col("top.n_shingles").alias("hub_shingles"))
+    rays = meet.join(centre, "key").where((F.col("part") != F.col("hub_part")) & _close("n_shingles", "hub_shingles")).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+    tried = staged(_agreeing(cross.distinct(), codes).union(rays).distinct(), "tried")
+    second = _verified(docs, tried)
+    parts = components(members.select("doc_id").distinct(), first.select("a", "b").union(second.select("a", "b")))
+    # Whatever still has a set in common and is not connected: all pairs of different parts.
+    rest = staged(_across(_mixed(sets, parts)).join(tried, ["a", "b"], "left_anti"), "rest")
+    third = _verified(docs, rest)
+    links = staged(first.select("a", "b").union(second.select("a", "b")).union(third.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
     joined = components(classes.select(F.col("rep").alias("doc_id")), links)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     rep = staged(classes.join(joined, classes.rep == joined.doc_id, "left").drop("doc_id").join(degree, F.col("rep") == degree.a, "left").select("same", "part", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")

@@ -70,6 +70,22 @@ def test_classes_equal_brute_force(spark):
     assert all(r.n_class == sizes[r.class_id] for r in got.values())
 
 
+def test_drifting_versions_in_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Eight lines of versions, each near its neighbours only; with every bucket over two texts taken as large."""
+    monkeypatch.setattr(nearcopy, "SMALL_BUCKET", 2)
+    rng = random.Random(3)
+    base, out = words(rng, 150), []
+    for _ in range(8):
+        ws = list(base)
+        for _ in range(25):
+            for at in rng.sample(range(2, 148, 5), 3):
+                ws[at] = f"z{rng.randrange(10**6)}"
+            out.append(" ".join(ws))
+    texts = dict(enumerate(out))
+    df = spark.createDataFrame([(i, t, "p", "k", "s") for i, t in texts.items()], EXTRA).repartition(5)
+    assert {r.doc_id: r.class_id for r in nearcopy.near_duplicates(df).collect()} == brute(texts)
+
+
 def test_alignment_is_sensitive_to_order():
     a = np.arange(1000, dtype=np.uint64)
     swapped = np.concatenate([a[500:], a[:500]])
