@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from peptrellis.llm import bpe, decontaminate, nearcopy, secrets, toxicity
 from peptrellis.llm.common import staged, table
@@ -17,10 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays; of repeated rows of it, one."""
-    stay = nearcopy.near_duplicates(docs).groupBy("class_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each class of near copies the document with the least id stays; of repeated rows of it, one. Documents without an id are
+    classed by their text, and different texts of one id apart."""
+    return nearcopy.first_of_classes(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

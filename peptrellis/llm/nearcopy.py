@@ -96,6 +96,7 @@ def _sketch_rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
     digests = [hashlib.blake2b(labelled[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     return pa.record_batch({
         "doc_id": part.column("doc_id").cast(pa.int64()),
+        "id": part.column("id").cast(pa.int64()),
         "same": pa.array(digests, pa.binary()),
         "n_shingles": pa.array(np.diff(offsets), pa.int64()),
         "sketch": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64), pa.int64())),
@@ -219,16 +220,42 @@ def _across(rows: DataFrame) -> DataFrame:
     return one.join(two, ["key", "slot"]).where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _close("n_a", "n_b")).select("a", "b").distinct()
 
 
+def _row_key() -> Column:
+    """Equal for rows of equal doc_id (or none) and text only."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of its class), n_copies (rows with its exact shingles, itself
     included), n_links (verified links of its text to other texts), n_class (rows of the class).
 
     docs: doc_id, text; other columns are ignored. Texts that are null or without a word are a class of their own each.
-    Rows of one doc_id count as one document's row and keep one class. Exact copies (equal shingles) collapse before the search.
+    Different texts of one doc_id are classed apart. A row without doc_id is classed by its text like others; class_id is null where
+    no row of the class has a doc_id. Exact copies (equal shingles) collapse before the search.
     """
-    rows = staged(map_texts(docs.select("doc_id", "text"), _sketch_rows, "doc_id long, same binary, n_shingles long, sketch array<long>"), "sketches")
+    return _classed(docs).select("id", "class_id", "n_copies", "n_links", "n_class").withColumnRenamed("id", "doc_id")
+
+
+def first_of_classes(docs: DataFrame) -> DataFrame:
+    """Of each class of near copies the row with the least doc_id (then of the least row key); of repeated rows of it, one. A row
+    without doc_id stays only where no row of its class has one. Rows without doc_id and without a word all stay."""
+    found = _classed(docs)
+    least = found.where("part is not null").groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x")).select("x.row")
+    blank = found.where("part is null")
+    keyed = docs.withColumn("_row", _row_key())
+    one = least.union(blank.where("id is not null").select("row")).select(F.col("row").alias("_row")).distinct()
+    every = blank.where("id is null").select(F.col("row").alias("_row")).distinct()
+    kept = keyed.join(one, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.unionByName(keyed.where("doc_id is null").join(every, "_row", "left_semi")).select(*docs.columns)
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """near_duplicates with id for doc_id, row (the row's key) and part (of the class; null without a word)."""
+    # From here on, doc_id is the row key.
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), _row_key().alias("doc_id"), "text")
+    rows = staged(map_texts(docs, _sketch_rows, "doc_id long, id long, same binary, n_shingles long, sketch array<long>"), "sketches")
     worded = rows.where("n_shingles > 0")
-    classes = worded.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    classes = worded.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"))
     codes = staged(worded.join(classes, [worded.same == classes.same, worded.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch"), "codes")
     each = codes.select("doc_id", F.explode("sketch").alias("key"))
     sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -264,8 +291,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = staged(first.select("a", "b").union(second.select("a", "b")).union(third.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
     joined = components(classes.select(F.col("rep").alias("doc_id")), links)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    rep = staged(classes.join(joined, classes.rep == joined.doc_id, "left").drop("doc_id").join(degree, F.col("rep") == degree.a, "left").select("same", "part", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    per_class = rep.groupBy("part").agg(F.sum("n_copies").alias("n_class"))
-    rep = rep.join(per_class, "part", "left")
-    none = rows.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_class"))
-    return worded.select("doc_id", "same").join(rep, "same").select("doc_id", F.col("part").alias("class_id"), "n_copies", "n_links", "n_class").union(none)
+    rep = staged(classes.join(joined, classes.rep == joined.doc_id, "left").drop("doc_id").join(degree, F.col("rep") == degree.a, "left").select("same", "part", "least_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    per_class = rep.groupBy("part").agg(F.sum("n_copies").alias("n_class"), F.min("least_id").alias("class_id"))
+    rep = rep.drop("least_id").join(per_class, "part", "left")
+    one = F.lit(1).cast("long")
+    none = rows.where("n_shingles = 0").select(F.col("doc_id").alias("row"), "id", F.lit(None).cast("long").alias("part"), F.col("id").alias("class_id"), one.alias("n_copies"), F.lit(0).cast("long").alias("n_links"), one.alias("n_class"))
+    return worded.select(F.col("doc_id").alias("row"), "id", "same").join(rep, "same").select("row", "id", "part", "class_id", "n_copies", "n_links", "n_class").union(none)

@@ -102,6 +102,32 @@ def test_empty_and_repeated_rows(spark):
     assert [(r.doc_id, r.class_id, r.n_copies) for r in twice] == [(7, 7, 2)] * 2
 
 
+def test_rows_without_id_and_ids_with_two_texts(spark):
+    """The pipeline's stage against brute force over the rows."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    near = lambda ws: " ".join([*ws[:-1], "other"])
+    rows = [
+        (None, " ".join(a)), (None, near(a)), (None, " ".join(b)), (4, near(b)), (5, " ".join(c)), (5, " ".join(d)), (6, near(d)), (7, " ".join(e)), (7, " ".join(e)),
+        (None, ""), (None, ""), (None, None), (8, ""), (8, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "p", "k", "s") for i, t in rows], EXTRA).repartition(3)
+    classes = brute(dict(enumerate(t for _, t in rows)))
+    got = collections.Counter((r.doc_id, r.class_id, r.n_class) for r in nearcopy.near_duplicates(df).collect())
+    want = collections.Counter()
+    for k, (i, _) in enumerate(rows):
+        ids = [rows[m][0] for m in classes if classes[m] == classes[k]]
+        want[i, min((x for x in ids if x is not None), default=None), len(ids)] += 1
+    assert got == want
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(t for i, t in left if i is None and t) in ([" ".join(a)], [near(a)])
+    assert collections.Counter(x for x in left if x[0] is not None or not x[1]) == collections.Counter([(4, near(b)), (5, " ".join(c)), (5, " ".join(d)), (7, " ".join(e)), (8, ""), (None, ""), (None, ""), (None, None)])
+
+
 def smith_waterman(a, b):
     best, prev = 0, [0] * (len(b) + 1)
     for x in a:
