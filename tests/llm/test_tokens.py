@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("peptrellis.llm")
@@ -48,8 +49,23 @@ def test_words_apart_equal_whole_texts():
     from tokenizers import Tokenizer
 
     own, library = orcids.WordEncoder(bpe.tokenizer_text(WORD)), Tokenizer.from_file(WORD)
-    for text, ids, e in zip(texts(), own.encode(texts()), library.encode_batch(texts(), add_special_tokens=False), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == e.ids, text
+    rng = random.Random(7)
+    case = lambda t: "".join(rng.choice((c.lower(), c.upper())) for c in t)
+    special = [rng.choice(("", "b", "B,", "x|")) + case(rng.choice(("<|startoftext|>", "<|endoftext|>"))) + rng.choice(("", " b", "é.", "H\u0331", ",")) for _ in range(300)]
+    marks = ["".join(rng.choice("aBz'sS9|<>.,;:!?&$*#-_ é") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    every = [*texts(), *special, *marks, "Lorem, IPSUM don't. " * 100_000, "H\u0331 h\u0331 E\u0301, \u212a", None]
+    ids, cuts = own.encode(pa.array(every, pa.string()))
+    for k, (text, e) in enumerate(zip(every, library.encode_batch([t or "" for t in every], add_special_tokens=False), strict=True)):
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == e.ids, (text or "")[:100]
+
+
+def test_a_full_memory_starts_anew(monkeypatch):
+    own = orcids.WordEncoder(bpe.tokenizer_text(WORD))
+    want = own.encode(pa.array(texts()))
+    monkeypatch.setattr(orcids, "REMEMBERED", 3)
+    for _ in range(2):
+        for got, full in zip(own.encode(pa.array(texts())), want, strict=True):
+            assert np.array_equal(got, full)
 
 
 def test_digests_of_awkward_rows(spark):
@@ -67,11 +83,11 @@ def test_orc_files_hold_the_ids_in_order(spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORD)
-    rows = [(i, t) for i, t in enumerate(texts()[:400])] + [(500, None), (500, None)]
+    rows = [(None, "null <|ENDOFTEXT|> id"), *enumerate(texts()[:400]), (500, None), (500, None)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int").repartition(7)
     path = str(tmp_path / "ids")
     orcids.write_tokens(df, path, WORD, 1)
-    got = orcids.token_digests(spark, path).orderBy("doc_id", "start").collect()
+    got = orcids.token_digests(spark, path).orderBy(F.asc_nulls_first("doc_id"), "start").collect()
     start = 0
     for r, (i, t) in zip(got, rows, strict=True):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
