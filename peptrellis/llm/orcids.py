@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ OPTIONS = {
 #: Bytes of text that are split and deduplicated together.
 PART_BYTES = 4 << 20
 #: Distinct words, and bytes of them, that a worker remembers before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 700_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
 #: Separates words that are encoded in one text; words that hold it (special tokens do) are encoded alone.
 SEPARATOR = "|"
 #: Words are encoded in joined texts of so many.
@@ -89,10 +90,12 @@ class WordEncoder:
             self._keep(plain, np.delete(ids, ends), np.concatenate([[0], ends - np.arange(len(ends))]))
 
     def _packed(self, words: list[str]) -> np.ndarray:
-        missing = list(set(words).difference(self.seen))
-        if missing:
-            self._learn(missing)
-        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(out < 0).tolist()
+        if new:
+            self._learn(list({words[k] for k in new}))
+            out[new] = [self.seen[words[k]] for k in new]
+        return out
 
     def _of_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words end to end, and each word's first (n + 1)."""
@@ -103,8 +106,8 @@ class WordEncoder:
         core = pc.ascii_rtrim(low, characters=MARKS)
         core = pc.if_else(pc.and_(plain, pc.ascii_is_alpha(pc.utf8_slice_codeunits(core, -1))), core, low)
         closing = np.flatnonzero(pc.binary_length(core).to_numpy() < pc.binary_length(low).to_numpy())
-        cores = core.to_pylist()
-        some = low.take(pa.array(closing)).to_pylist()
+        cores = core.to_numpy(zero_copy_only=False).tolist()
+        some = low.take(pa.array(closing)).to_numpy(zero_copy_only=False).tolist()
         packed = np.zeros((len(cores), 2), np.int64)
         packed[:, 0] = self._packed(cores)
         packed[closing, 1] = self._packed([w[len(cores[k]) :] for k, w in zip(closing.tolist(), some, strict=True)])
