@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,12 +18,23 @@ SEQ = "sequence"
 
 
 def count_of(letters: str, seq: Column | str = SEQ) -> Column:
-    """How many of the letters the sequence holds."""
-    return F.length(seq) - F.length(F.translate(seq, letters, ""))
+    """How many of the letters the sequence holds. Letter by letter: what several sums share is counted once a row."""
+    whole = F.length(seq)
+    return reduce(lambda a, b: a + b, (whole - F.length(F.replace(seq, F.lit(a), F.lit(""))) for a in letters))
 
 
-def scale_map(scale: Mapping[str, float]) -> Column:
-    return F.create_map(*(x for a, v in scale.items() for x in (F.lit(a), F.lit(float(v)))))
+#: Residues are looked up by their code (A is 1) in literal arrays, so a lookup costs the same for any table.
+_CODES = 27
+
+
+def codes(seq: Column | str = SEQ) -> Column:
+    """Each residue's code, in order."""
+    return F.transform(letters(seq), lambda a: F.ascii(a) - 64)
+
+
+def table_of(scale: Mapping[str, float], default: float | None = None) -> Column:
+    """A literal array of the scale by code."""
+    return F.array(*(F.lit(scale.get(chr(64 + k), default)).cast("double") for k in range(_CODES)))
 
 
 def composition_sum(scale: Mapping[str, float], seq: Column | str = SEQ) -> Column:
@@ -39,8 +52,8 @@ def letters(seq: Column | str = SEQ) -> Column:
 
 def profile(scale: Mapping[str, float], seq: Column | str = SEQ) -> Column:
     """The scale's value of each residue, in order."""
-    table = scale_map(scale)
-    return F.transform(letters(seq), lambda a: table[a])
+    table = table_of(scale)
+    return F.transform(codes(seq), lambda k: F.get(table, k))
 
 
 def total(values: Column) -> Column:
@@ -91,17 +104,34 @@ def hydrophobic_fraction() -> Column:
     return count_of("".join(a for a, v in S.EISENBERG.items() if v > 0)) / F.length(SEQ)
 
 
-def moment(scale: Mapping[str, float] = S.EISENBERG, degrees: float = 100.0) -> Column:
-    """Hydrophobic moment of the whole sequence, for a helix of `degrees` a residue, over its length."""
-    values = profile(scale)
-    turn = lambda f: total(F.transform(values, lambda v, i: v * f(F.radians(i * F.lit(degrees)))))
-    return F.sqrt(F.pow(turn(F.sin), 2) + F.pow(turn(F.cos), 2)) / F.length(SEQ)
-
-
-def amphipathicity() -> Column:
+def moment(scale: Mapping[str, float] = S.EISENBERG, degrees: float = 100.0, size: Column | None = None) -> Column:
+    """Hydrophobic moment of the whole sequence, for a helix of `degrees` a residue, over its length.
+
+    One pass over the residues; the sines and cosines of a whole number of turns stand in literal arrays (100 degrees come back
+    after 18 residues), other angles are computed.
+    """
+    table, size = table_of(scale), F.length(SEQ) if size is None else size
+    period = next((k for k in range(1, 361) if (k * degrees) % 360 == 0), None)
+    if period:
+        sines, cosines = (F.array(*(F.lit(f(math.radians(degrees * k))) for k in range(period))) for f in (math.sin, math.cos))
+        turn = lambda i: (F.get(sines, i % period), F.get(cosines, i % period))
+    else:
+        turn = lambda i: (F.sin(F.radians(i * F.lit(degrees))), F.cos(F.radians(i * F.lit(degrees))))
+    parts = F.transform(codes(), lambda k, i: F.struct(*((F.get(table, k) * t).alias(n) for n, t in zip("sc", turn(i), strict=True))))
+    both = F.aggregate(
+        parts,
+        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")),
+        lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["c"] + x["c"]).alias("c")),
+        lambda a: F.sqrt(a["s"] * a["s"] + a["c"] * a["c"]),
+    )
+    return both / size
+
+
+def amphipathicity(whole_moment: Column | None = None) -> Column:
     """Moment over the mean absolute hydrophobicity, between 0 and 1."""
     size = composition_sum({a: abs(v) for a, v in S.EISENBERG.items()}) / F.length(SEQ)
-    return F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), moment() / size))).otherwise(0.0)
+    ratio = (moment() if whole_moment is None else whole_moment) / size
+    return F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio))).otherwise(0.0)
 
 
 def pairs(gap: int = 0) -> Column:
@@ -113,9 +143,13 @@ def pairs(gap: int = 0) -> Column:
 
 def instability() -> Column:
     """Guruprasad's index: 10 / length times the sum of dipeptide weights; 0 under two residues."""
-    table = scale_map(S.DIWV)
-    weights = F.transform(pairs(), lambda p: F.coalesce(F.try_element_at(table, p), F.lit(S.DIWV_DEFAULT)))
-    return F.when(F.length(SEQ) < 2, 0.0).otherwise(total(weights) * 10.0 / F.length(SEQ))
+    pair = [(chr(64 + a), chr(64 + b)) for a in range(_CODES) for b in range(_CODES)]
+    table = F.array(*(F.lit(float(S.DIWV.get(a + b, S.DIWV_DEFAULT))) for a, b in pair))
+    each = codes()
+    weights = F.zip_with(each, F.slice(each, F.lit(2), F.greatest(F.size(each) - 1, F.lit(0))), lambda a, b: F.get(table, a * _CODES + b))
+    # The last residue has no partner: its null weight counts nothing.
+    sum_ = F.aggregate(weights, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return F.when(F.length(SEQ) < 2, 0.0).otherwise(sum_ * 10.0 / F.length(SEQ))
 
 
 def motif_positions(motifs: tuple[str, ...]) -> Column:
@@ -163,13 +197,22 @@ def isoelectric_point() -> Column:
     return _zero_charge(*(count_of(a) for a in (*S.PK_POSITIVE, *S.PK_NEGATIVE)), *ends)
 
 
-def physchem(df: DataFrame, ph: float = 7.4) -> DataFrame:
+def bound(df: DataFrame) -> DataFrame:
+    """df with its columns computed once: conditions on them are not moved below, where each use would compute them again."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def physchem(df: DataFrame, ph: float = 7.4, only: tuple[str, ...] | None = None) -> DataFrame:
     """df (with sequence) and length, molecular_weight, net_charge, hydrophobicity, hydrophobic_moment, amphipathicity,
-    instability_index, n_oxidation, n_deamidation, disulfide_category. Doubles are rounded to nine decimals, so that a threshold
-    judges a sum the same whatever the order of its terms."""
+    instability_index, n_oxidation, n_deamidation, disulfide_category (or those in `only`), each computed once a row. Doubles are
+    rounded to nine decimals, so that a threshold judges a sum the same whatever the order of its terms."""
     exact = lambda c: F.round(c, 9)
-    return df.withColumns({
+    every = {
         "length": length(), "molecular_weight": exact(molecular_weight()), "net_charge": exact(net_charge(ph)), "hydrophobicity": exact(hydrophobicity()),
-        "hydrophobic_moment": exact(moment()), "amphipathicity": exact(amphipathicity()), "instability_index": exact(instability()),
+        "hydrophobic_moment": exact(F.col("_moment")), "amphipathicity": exact(amphipathicity(F.col("_moment"))), "instability_index": exact(instability()),
         "n_oxidation": count_of("MCW"), "n_deamidation": F.size(motif_positions(("NG", "NS"))), "disulfide_category": disulfide_category(),
-    })
+    }
+    names = only or tuple(every)
+    if {"hydrophobic_moment", "amphipathicity"} & set(names):
+        df = df.withColumn("_moment", moment())
+    return bound(df.withColumns({n: every[n] for n in names}).drop("_moment"))

@@ -17,12 +17,12 @@ PH = [7.0, 7.4, 8.0]
 
 @query("H1_length_mw", _P + f"SELECT id, length, {sql_r6('molecular_weight')} AS molecular_weight, {sql_r6('molecular_weight + 42.037 - 0.985')} AS capped_weight FROM physchem")
 def h1(v):
-    return v.peptides.select("id", D.length().cast("long").alias("length"), r6(D.molecular_weight()).alias("molecular_weight"), r6(D.molecular_weight(F.lit(True), F.lit(True))).alias("capped_weight"))
+    return v.peptides.select("id", D.length().cast("long").alias("length"), r6(F.round(D.molecular_weight(), 9)).alias("molecular_weight"), r6(F.round(D.molecular_weight(), 9) + S.ACETYL + S.AMIDE).alias("capped_weight"))
 
 
 @query("H2_net_charge", _P + f"SELECT id, {sql_r6('net_charge')} AS net_charge FROM physchem")
 def h2(v):
-    return v.peptides.select("id", r6(D.net_charge()).alias("net_charge"))
+    return v.peptides.select("id", r6(F.round(D.net_charge(), 9)).alias("net_charge"))
 
 
 @query("H3_isoelectric_point")
@@ -37,17 +37,17 @@ def h4(v):
 
 @query("H5_hydrophobic_moment", _P + f"SELECT id, {sql_r6('hydrophobic_moment')} AS hydrophobic_moment FROM physchem")
 def h5(v):
-    return v.peptides.select("id", r6(D.moment()).alias("hydrophobic_moment"))
+    return v.peptides.select("id", r6(F.round(D.moment(), 9)).alias("hydrophobic_moment"))
 
 
 @query("H6_amphipathicity", _P + f"SELECT id, {sql_r6('amphipathicity')} AS amphipathicity FROM physchem")
 def h6(v):
-    return v.peptides.select("id", r6(D.amphipathicity()).alias("amphipathicity"))
+    return v.peptides.select("id", r6(F.round(D.amphipathicity(), 9)).alias("amphipathicity"))
 
 
 @query("H7_instability_index", _P + f"SELECT id, {sql_r6('instability_index')} AS instability_index FROM physchem")
 def h7(v):
-    return v.peptides.select("id", r6(D.instability()).alias("instability_index"))
+    return v.peptides.select("id", r6(F.round(D.instability(), 9)).alias("instability_index"))
 
 
 @query("C7_dipeptide_lookup", with_("residues") + f"SELECT a.id, a.pos, a.aa || b.aa AS pair, coalesce(w, 1.0) AS weight FROM residues a JOIN residues b ON a.id = b.id AND b.pos = a.pos + 1 LEFT JOIN {values(sorted(S.DIWV.items()), 'pair, w')} d ON d.pair = a.aa || b.aa")
@@ -86,7 +86,7 @@ _CLASS_SQL = ", ".join(f"{sql_r6('avg(CASE WHEN aa IN (' + ', '.join(repr(a) for
 @query("H13_global_features_16", with_("residues", more=physchem()) + f", k AS (SELECT id, {sql_r6('avg(kd)')} AS mean_kd, {sql_r6('-avg(boman)')} AS boman, {_CLASS_SQL} FROM residues JOIN {WIDE} w USING (aa) GROUP BY id) SELECT p.id, length, {sql_r6('net_charge')} AS net_charge, {sql_r6('hydrophobic_moment')} AS moment, {sql_r6('net_charge / molecular_weight')} AS charge_density, k.* EXCLUDE (id) FROM physchem p JOIN k USING (id)")
 def h13(v):
     classes = [r6(D.count_of(ls) / F.length("sequence")).alias(n) for n, ls in S.CLASSES.items()]
-    return v.peptides.select("id", D.length().cast("long").alias("length"), r6(D.net_charge()).alias("net_charge"), r6(D.moment()).alias("moment"), r6(D.net_charge() / D.molecular_weight()).alias("charge_density"), r6(D.mean_of(S.KYTE_DOOLITTLE)).alias("mean_kd"), r6(-D.mean_of(S.BOMAN)).alias("boman"), *classes)
+    return v.peptides.select("id", D.length().cast("long").alias("length"), r6(F.round(D.net_charge(), 9)).alias("net_charge"), r6(F.round(D.moment(), 9)).alias("moment"), r6(F.round(D.net_charge(), 9) / F.round(D.molecular_weight(), 9)).alias("charge_density"), r6(D.mean_of(S.KYTE_DOOLITTLE)).alias("mean_kd"), r6(-D.mean_of(S.BOMAN)).alias("boman"), *classes)
 
 
 @query("H14_class_fractions", with_("residues") + f"SELECT id, {_CLASS_SQL}, {sql_r6('avg(kd)')} AS gravy, cast(sum(CASE aa WHEN 'W' THEN 5500 WHEN 'Y' THEN 1490 ELSE 0 END) AS bigint) AS extinction FROM residues JOIN {WIDE} w USING (aa) GROUP BY id")

@@ -49,6 +49,10 @@ class Views:
     def tiled(self, texts: DataFrame, key: str) -> DataFrame:
         """Every text's residues, cut into consecutive peptides of 8 to 40 residues (8 + key % 33; the last may be shorter)."""
         letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+        cores = self.spark.sparkContext.defaultParallelism
+        if texts.rdd.getNumPartitions() < cores:
+            # A few small files only: deal their texts out to all cores before each becomes hundreds of peptides.
+            texts = texts.select(key, "text").repartition(cores, key)
         clean = texts.select(F.col(key).alias("k"), F.regexp_replace(letters, f"[^{ALPHABET}]", "").alias("c")).where("length(c) > 0")
         wide = clean.withColumn("w", (8 + F.col("k") % 33).cast("int"))
         return wide.select("k", "c", "w", F.explode(F.expr("sequence(0, cast(ceil(length(c) / w) as int) - 1)")).alias("n")).select((F.col("k") * 1000000 + F.col("n")).alias("id"), F.expr("substr(c, n * w + 1, w)").alias("sequence"))
