@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 19
@@ -21,9 +22,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a session without one (tests) gets a local folder."""
+    """The folder that all executors share. Only a local session without one (tests) gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
@@ -40,6 +43,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_by_hash(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Up to `most` rows of df: those with the least hash of their keys (then by keys). A first cut by the hash, at half as many rows
+    again as are wanted, keeps what tasks send to the final one small, however many tasks there are."""
+    n = df.count()
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(*keys), F.lit(1 << 32)))
+    if n > 2 * most:
+        hashed = hashed.where(F.col("_hash") < int((1 << 32) * 1.5 * most / n))
+    return hashed.orderBy("_hash", *keys).limit(most).drop("_hash")
+
+
 class FlatTexts:
     """UTF-8 texts of some rows end to end: data[offsets[i]:offsets[i+1]] is row i. A null text is empty."""
 

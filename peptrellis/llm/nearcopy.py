@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NON_SPACE, FlatTexts, hash_runs, map_texts, mix, staged
@@ -22,15 +23,14 @@ WORDS, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
 #: Texts of a similarity of SIMILARITY share a sketch with probability of 0.6 at least; a pair with fewer than AGREE equal sketches
 #: of SKETCHES is no candidate (one such pair in 10,000 at 0.8, fewer above).
 AGREE = 3
-#: In buckets of up to so many texts, all pairs across parts that are not linked yet are verified; those of larger ones are
-#: looked for in sets of AGREE buckets that two texts have in common.
-SMALL_BUCKET = 48
-#: Documents in pairs, up to which their ids are broadcast to filter the scan (8 bytes each); beyond, a shuffled semi-join.
-BROADCAST_IDS = 2_000_000
-#: Pairs of a hub are dealt out to so many parts.
-SALTS = 64
-#: Texts of one set of buckets that are paired in one task, as long as SALTS allow.
-SLOT_TEXTS = 256
+#: Rows of a table (ids or places, about 50 bytes each) that may be broadcast; beyond, a shuffled join.
+BROADCAST_ROWS = 200_000
+#: Texts and shingles of one side that a task verifies against as many of another side.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 500_000
+#: Texts of a bucket that are paired with its others in one task.
+SLOT_TEXTS = 512
+#: Texts of a bucket, and links of a node, from which on what they wait for is broadcast instead of shuffled to one task.
+HOT = 1000
 
 
 def shingles(flat: FlatTexts, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +85,10 @@ def sketches(labelled: np.ndarray, offsets: np.ndarray, m: int = SKETCHES) -> np
     return out
 
 
+#: Longs that hold the last 16 bits of each sketch, four to one.
+PRINTS = SKETCHES // 4
+
+
 def _sketch_rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
     import hashlib
 
@@ -93,12 +97,16 @@ def _sketch_rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
     keys = sketches(labelled, np.append(offsets[full], offsets[-1]))
     lists = np.zeros(flat.n, np.int64)
     lists[full] = SKETCHES
+    low = np.zeros((flat.n, SKETCHES), np.uint64)
+    low[full] = keys & np.uint64(0xFFFF)
+    prints = np.bitwise_or.reduce(low.reshape(flat.n, PRINTS, 4) << (np.arange(4, dtype=np.uint64) * np.uint64(16)), axis=2).view(np.int64)
     digests = [hashlib.blake2b(labelled[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     return pa.record_batch({
         "doc_id": part.column("doc_id").cast(pa.int64()),
         "id": part.column("id").cast(pa.int64()),
         "same": pa.array(digests, pa.binary()),
         "n_shingles": pa.array(np.diff(offsets), pa.int64()),
+        **{f"f{k}": pa.array(prints[:, k]) for k in range(PRINTS)},
         "sketch": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64), pa.int64())),
     })
 
@@ -126,63 +134,140 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return c / (len(a) + len(b) - c)
 
 
-def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and its labelled shingles (as bytes) for the ids (one row each)."""
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _agree(one: str, two: str) -> Column:
+    """How many of the sketches whose prints are in the columns one0.., two0.. are equal (16 bits tell: rarely one too many)."""
+    differ = []
+    for k in range(PRINTS):
+        z = F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))
+        for step, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, step)).bitwiseAND(F.lit(mask))
+        differ.append(F.bit_count(z))
+    return F.lit(SKETCHES) - reduce(lambda a, b: a + b, differ)
 
-    def rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
-        labelled, offsets = shingles(flat)
-        return pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "shingles": pa.array([labelled[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())})
 
-    return map_texts(wanted, rows, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+def _close(one: str, two: str) -> Column:
+    """Whether texts of so many shingles can have SIMILARITY at all."""
+    return F.least(one, two) >= SIMILARITY * F.greatest(one, two)
 
 
-def _agreeing(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """The pairs (a, b) with AGREE equal sketches or more (all, where the texts have that few shingles)."""
-    one, two = (codes.select(F.col("doc_id").alias(n), F.col("sketch").alias(f"sketch_{n}")) for n in "ab")
-    return staged(pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("sketch_a", "sketch_b")) >= AGREE).select("a", "b"), "pairs")
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast in joins if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the alignment confirms. Each b travels to a part of its a; a's shingles go to those parts once."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    arrays = staged(_arrays(docs, ids), "shingles")
-    dealt = pairs.withColumn("salt", F.abs(F.hash("b")) % SALTS)
-    hubs = dealt.select("a", "salt").distinct().join(arrays, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
-    spokes = dealt.join(arrays, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "shingles")
+def _by_key(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined by key with a staged table of buckets (key, size, ...). Buckets of HOT texts and more, a HOT-th of all rows at
+    most, are broadcast, so no task gets all rows of one."""
+    hot = table.where(F.col("size") >= HOT)
+    if not 0 < hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(table, "key")
+    calm = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(table.where(F.col("size") < HOT), "key")
+    return rows.join(F.broadcast(hot), "key").union(calm)
+
+
+def _verified(docs: DataFrame, places: DataFrame, repeated: bool) -> DataFrame:
+    """Links (a, b) that the alignment confirms.
+
+    places: to, slot, side, doc_id, without repeated rows: texts of side 0 look for a link to the texts of side 1 with the same `to`
+    and slot. Each text of side 0 gets one link to them, if there is any: side 1 is one part already, so more would join nothing
+    new. The shingles of a text travel to its places once; places with many texts of side 0 are dealt out.
+    """
+    places = staged(places, "places")
+    many = places.where("side = 0").groupBy("to", "slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("deals")).where("deals > 1")
+    dealt = places.join(_small(many), ["to", "slot"], "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    deal = F.when(F.col("side") == 0, F.array(F.pmod(F.hash("doc_id"), F.col("deals")))).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))
+    dealt = staged(dealt.select("to", "slot", "side", "doc_id", F.explode(deal).alias("deal")), "dealt")
+    wanted = docs.select("doc_id", "text").join(_small(dealt.select("doc_id").distinct()), "doc_id", "left_semi")
+
+    def rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
+        labelled, offsets = shingles(flat)
+        return pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "shingles": pa.array([labelled[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())})
+
+    arrays = map_texts(wanted, rows, "doc_id long, shingles binary")
+    if repeated:
+        arrays = arrays.dropDuplicates(["doc_id"])
+    keys = ["to", "slot", "deal"]
+    together = arrays.join(_small(dealt), "doc_id").select(*keys, "side", "doc_id", "shingles").repartition(*keys).sortWithinPartitions(*keys, F.desc("side"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, left = None, np.zeros(0, np.uint64)
+        place, sought = None, Sought()
         for batch in batches:
-            found: tuple[list, list, list] = ([], [], [])
-            for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
-                if b is None:
-                    hub, left = a, np.frombuffer(s, np.uint64)
-                    continue
-                assert hub == a
-                if (x := similarity(left, np.frombuffer(s, np.uint64))) >= SIMILARITY:
-                    for to, v in zip(found, (a, b, x), strict=True):
-                        to.append(v)
-            if found[0]:
-                yield pa.record_batch(dict(zip(("a", "b", "similarity"), map(pa.array, found), strict=True)))
-
-    together = hubs.union(spokes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return staged(together.mapInArrow(check, "a long, b long, similarity double"), "links")
+            found: list[tuple[int, int]] = []
+            for *at, side, doc, s in zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "doc_id", "shingles")), strict=True):
+                if at != place:
+                    place, sought = at, Sought()
+                if side:
+                    sought.add(doc, np.frombuffer(s, np.uint64))
+                elif (to := sought.first(doc, np.frombuffer(s, np.uint64))) is not None:
+                    found.append((doc, to))
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return staged(together.mapInArrow(check, "a long, b long"), "links")
+
+
+class Sought:
+    """Texts among which others look for one of SIMILARITY: an index from each shingle to the texts that hold it."""
+
+    def __init__(self) -> None:
+        self.docs: list[int] = []
+        self.arrays: list[np.ndarray] = []
+        self.index: tuple[np.ndarray, np.ndarray] | None = None
+
+    def add(self, doc: int, labelled: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.arrays.append(labelled)
+        self.index = None
+
+    def common(self, labelled: np.ndarray) -> np.ndarray:
+        """How many shingles each text has in common with this one."""
+        if self.index is None:
+            every = np.concatenate(self.arrays)
+            order = np.argsort(every, kind="stable")
+            self.index = every[order], np.repeat(np.arange(len(self.arrays)), [len(x) for x in self.arrays])[order]
+        values, docs = self.index
+        low, high = np.searchsorted(values, labelled, "left"), np.searchsorted(values, labelled, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(docs[at], minlength=len(self.arrays))
+
+    def first(self, doc: int, labelled: np.ndarray) -> int | None:
+        """The text of most common shingles that the alignment confirms. No text with fewer common shingles than SIMILARITY asks
+        for can be one."""
+        if len(self.arrays) == 1:
+            order = [0]
+        else:
+            both = self.common(labelled)
+            sizes = np.array([len(x) for x in self.arrays]) + len(labelled)
+            enough = np.flatnonzero(both * (1 + SIMILARITY) >= SIMILARITY * sizes)
+            order = enough[np.argsort(-both[enough], kind="stable")].tolist()
+        return next((self.docs[k] for k in order if self.docs[k] != doc and similarity(self.arrays[k], labelled) >= SIMILARITY), None)
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(doc_id, part): the least doc_id that links (a, b) connect to each node. Rounds of neighbour minima and pointer jumps."""
+    """(doc_id, part): the least doc_id that links (a, b) connect to each node. Rounds of neighbour minima and pointer jumps; nodes
+    with many links send their labels by broadcast, so no task holds all links of one node."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
+    hot = staged(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("b"), "hot-nodes")
+    # An edge in HOT at most.
+    n_hot = hot.count()
+    busy = 0 < n_hot <= BROADCAST_ROWS
+    calm = both.join(F.broadcast(hot), "b", "left_anti") if busy else both
     labels = staged(both.select(F.col("a").alias("doc_id")).distinct().withColumn("part", F.col("doc_id")), "labels")
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.doc_id).groupBy("a").agg(F.min("part").alias("least"))
+        near = calm.join(labels, calm.b == labels.doc_id).select("a", "part")
+        if busy:
+            told = labels.join(F.broadcast(hot), labels.doc_id == hot.b, "left_semi").select(F.col("doc_id").alias("b"), "part")
+            near = near.union(both.join(F.broadcast(told), "b").select("a", "part"))
+        near = near.groupBy("a").agg(F.min("part").alias("least"))
         low = labels.join(near, labels.doc_id == near.a).select("doc_id", F.least("part", "least").alias("part"), F.col("part").alias("was"))
         # What a node has learnt also goes to the node that its old label names.
         told = low.groupBy(F.col("was").alias("doc_id")).agg(F.min("part").alias("told"))
-        low = low.join(told, "doc_id", "left").select("doc_id", F.least("part", "told").alias("part"), "was")
+        low = staged(low.join(told, "doc_id", "left").select("doc_id", F.least("part", "told").alias("part"), "was"), "low")
+        # Labels that many nodes share are looked up once each.
         over = low.select(F.col("doc_id").alias("up"), F.col("part").alias("to"))
-        new = staged(low.join(over, low.part == over.up, "left").select("doc_id", F.least("part", "to").alias("part"), "was"), "labels")
+        named = low.select("part").distinct().join(over, F.col("part") == F.col("up")).select(F.col("part").alias("up"), "to")
+        new = staged(low.join(_small(named), low.part == F.col("up"), "left").select("doc_id", F.least("part", "to").alias("part"), "was"), "labels")
         changed = new.where("part <> was").limit(1).count()
         labels = new.drop("was")
         if not changed:
@@ -192,34 +277,6 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return nodes.select("doc_id").join(labels, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
 
 
-def _close(one: str, two: str) -> Column:
-    """Whether texts of so many shingles can have SIMILARITY at all."""
-    return F.least(one, two) >= SIMILARITY * F.greatest(one, two)
-
-
-def _key_sets(keys: str) -> Column:
-    """A hash of each set of AGREE of the sorted keys."""
-    sets = F.transform(keys, lambda x, i: F.struct(i.alias("last"), F.array(x).alias("set")))
-    for _ in range(AGREE - 1):
-        sets = F.flatten(F.transform(sets, lambda s: F.transform(F.filter(F.transform(keys, lambda x, i: F.struct(i.alias("last"), x.alias("key"))), lambda n: n["last"] > s["last"]), lambda n: F.struct(n["last"].alias("last"), F.concat(s["set"], F.array(n["key"])).alias("set")))))
-    return F.transform(sets, lambda s: F.xxhash64(s["set"]))
-
-
-def _mixed(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows of sets with their parts and the size of their set, where a set has more than one part."""
-    rows = sets.join(parts, "doc_id")
-    mixed = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size")).where("p <> q")
-    return rows.join(mixed.select("key", "size"), "key")
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """All distinct pairs (a, b) of one key and different parts; the texts of a large key are dealt out to several tasks."""
-    slots = F.least(F.lit(SALTS), F.ceil(F.col("size") / SLOT_TEXTS)).cast("int")
-    one = rows.select("key", F.pmod(F.hash("doc_id"), slots).alias("slot"), F.col("doc_id").alias("a"), F.col("part").alias("part_a"), F.col("n_shingles").alias("n_a"))
-    two = rows.select("key", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("n_shingles").alias("n_b"))
-    return one.join(two, ["key", "slot"]).where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _close("n_a", "n_b")).select("a", "b").distinct()
-
-
 def _row_key() -> Column:
     """Equal for rows of equal doc_id (or none) and text only."""
     return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
@@ -227,7 +284,7 @@ def _row_key() -> Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of its class), n_copies (rows with its exact shingles, itself
-    included), n_links (verified links of its text to other texts), n_class (rows of the class).
+    included), n_links (links of its text to other texts that were verified to find its class: not more than that takes), n_class (rows of the class).
 
     docs: doc_id, text; other columns are ignored. Texts that are null or without a word are a class of their own each.
     Different texts of one doc_id are classed apart. A row without doc_id is classed by its text like others; class_id is null where
@@ -249,46 +306,63 @@ def first_of_classes(docs: DataFrame) -> DataFrame:
     return kept.unionByName(keyed.where("doc_id is null").join(every, "_row", "left_semi")).select(*docs.columns)
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """Places of a first search: each text looks for the hubs of its buckets. A bucket's hub is the text whose sketches are the most
+    shared: near the centre of its group."""
+    some = ("doc_id", "n_shingles", *(f"f{k}" for k in range(PRINTS)))
+    top = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), *some)).alias("top")
+    hubs = members.groupBy("key", "size").agg(top).select("key", "size", *(F.col(f"top.{c}").alias(f"hub_{c}") for c in some))
+    rays = _by_key(members.drop("size"), staged(hubs, "hubs")).where((F.col("doc_id") != F.col("hub_doc_id")) & _close("n_shingles", "hub_n_shingles"))
+    rays = rays.where(_agree("f", "hub_f") >= AGREE).select("doc_id", "hub_doc_id")
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("doc_id").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("hub_doc_id").alias("doc_id")))
+    each = rays.select(F.col("hub_doc_id").alias("to"), F.lit(0).alias("slot"), F.explode(ends).alias("x"))
+    return each.select("to", "slot", "x.side", "x.doc_id").distinct()
+
+
+def _across(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Places of the second search: all pairs of one bucket and different parts that agree in AGREE sketches. The largest part of a
+    bucket is its home: only texts outside of it look for others, so what is joined already is not paired again."""
+    tagged = staged(members.drop("size").join(parts, "doc_id"), "tagged")
+    sizes = tagged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    homes = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("size")).where(F.col("top.n") < F.col("size"))
+    homes = staged(homes.select("key", "size", F.col("top.part").alias("home"), F.ceil(F.col("size") / SLOT_TEXTS).cast("int").alias("slots")), "homes")
+    rows = staged(_by_key(tagged, homes), "open")
+    # Slots of a part, for those that look for it.
+    load = parts.join(members.select("doc_id", "n_shingles").distinct(), "doc_id").groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    some = ("doc_id", "part", "n_shingles", *(f"f{k}" for k in range(PRINTS)))
+    one = rows.where(F.col("part") != F.col("home")).select("key", "home", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), *(F.col(c).alias(f"one_{c}") for c in some))
+    two = rows.select("key", F.pmod(F.hash("doc_id"), F.col("slots")).alias("slot"), *some)
+    apart = (F.col("one_part") != F.col("part")) & ((F.col("part") == F.col("home")) | (F.col("one_doc_id") < F.col("doc_id")))
+    pairs = one.join(two, ["key", "slot"]).where(apart & _close("one_n_shingles", "n_shingles")).where(_agree("one_f", "f") >= AGREE)
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("one_doc_id").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("doc_id").alias("doc_id")))
+    # Both ends of a pair meet in the slot of the sought text.
+    each = pairs.select(F.col("part").alias("to"), F.col("doc_id").alias("sought"), F.explode(ends).alias("x"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    each = each.join(_small(load), F.col("to") == load.part, "left").select("to", F.pmod(F.hash("sought"), blocks).alias("slot"), "x.side", "x.doc_id")
+    return each.distinct()
+
+
 def _classed(docs: DataFrame) -> DataFrame:
     """near_duplicates with id for doc_id, row (the row's key) and part (of the class; null without a word)."""
     # From here on, doc_id is the row key.
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), _row_key().alias("doc_id"), "text")
-    rows = staged(map_texts(docs, _sketch_rows, "doc_id long, id long, same binary, n_shingles long, sketch array<long>"), "sketches")
+    prints = [f"f{k}" for k in range(PRINTS)]
+    rows = staged(map_texts(docs, _sketch_rows, "doc_id long, id long, same binary, n_shingles long, " + "".join(f"{f} long, " for f in prints) + "sketch array<long>"), "sketches")
     worded = rows.where("n_shingles > 0")
+    repeated = worded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     classes = worded.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"))
-    codes = staged(worded.join(classes, [worded.same == classes.same, worded.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch"), "codes")
+    codes = worded.join(classes, [worded.same == classes.same, worded.doc_id == classes.rep], "left_semi").select("doc_id", "n_shingles", *prints, "sketch")
+    codes = staged(codes.dropDuplicates(["doc_id"]) if repeated else codes, "codes")
     each = codes.select("doc_id", F.explode("sketch").alias("key"))
-    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = staged(each.join(sizes, "key"), "members")
-    weight = members.groupBy("doc_id").agg(F.sum(F.log2("size")).alias("weight"))
-    heavy = staged(members.join(weight, "doc_id"), "weighted")
-    # A bucket's hub is the text whose sketches are the most shared: near the centre of its group.
-    hubs = heavy.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
-    stars = members.join(hubs, "key").where("doc_id <> hub").groupBy(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).agg(F.min("hub").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-    first = _verified(docs, _agreeing(stars, codes))
-    parts = components(members.select("doc_id").distinct(), first)
-    # Second pass: whatever shares a bucket and is not connected yet.
-    tagged = staged(heavy.join(parts, "doc_id"), "tagged")
-    mixed = tagged.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    open_ = tagged.join(mixed, "key", "left_semi")
-    small = open_.where(F.col("size") <= SMALL_BUCKET).select("key", "doc_id", "part")
-    one, two = small.alias("one"), small.alias("two")
-    cross = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.part") < F.col("two.part"))).select(F.least("one.doc_id", "two.doc_id").alias("a"), F.greatest("one.doc_id", "two.doc_id").alias("b"))
-    # Texts that share large buckets only: a pair that agrees in AGREE sketches has a set of AGREE such buckets in common.
-    large = open_.where(F.col("size") > SMALL_BUCKET).groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.first("weight").alias("weight"))
-    lengths = codes.select("doc_id", "n_shingles")
-    sets = staged(large.where(F.size("keys") >= AGREE).join(lengths, "doc_id").select("doc_id", "n_shingles", "weight", F.explode(_key_sets("keys")).alias("key")), "key-sets")
-    meet = staged(_mixed(sets, parts), "mixed")
-    tops = meet.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "part", "n_shingles")).alias("top"))
-    centre = tops.select("key", (-F.col("top.minus")).alias("a"), F.col("top.part").alias("hub_part"), F.col("top.n_shingles").alias("hub_shingles"))
-    rays = meet.join(centre, "key").where((F.col("part") != F.col("hub_part")) & _close("n_shingles", "hub_shingles")).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
-    tried = staged(_agreeing(cross.distinct(), codes).union(rays).distinct(), "tried")
-    second = _verified(docs, tried)
-    parts = components(members.select("doc_id").distinct(), first.select("a", "b").union(second.select("a", "b")))
-    # Whatever still has a set in common and is not connected: all pairs of different parts.
-    rest = staged(_across(_mixed(sets, parts)).join(tried, ["a", "b"], "left_anti"), "rest")
-    third = _verified(docs, rest)
-    links = staged(first.select("a", "b").union(second.select("a", "b")).union(third.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
+    sizes = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = staged(_by_key(each, sizes), "shared")
+    # SKETCHES rows a text at most.
+    weighed = shared.withColumn("weight", F.sum(F.log2("size")).over(Window.partitionBy("doc_id")))
+    members = staged(weighed.join(codes.drop("sketch"), "doc_id"), "members")
+    first = _verified(docs, _stars(members), repeated)
+    parts = staged(components(members.select("doc_id").distinct(), first), "parts")
+    second = _verified(docs, _across(members, parts), repeated)
+    links = staged(first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
     joined = components(classes.select(F.col("rep").alias("doc_id")), links)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     rep = staged(classes.join(joined, classes.rep == joined.doc_id, "left").drop("doc_id").join(degree, F.col("rep") == degree.a, "left").select("same", "part", "least_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")

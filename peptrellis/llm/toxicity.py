@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, FlatTexts, hash_runs, map_texts, mix, staged
+from .common import LETTERS, LOWER, FlatTexts, hash_runs, least_by_hash, map_texts, mix, staged
 from .decontaminate import Among, drop_rows
 
 GRADES = 4
@@ -96,11 +96,15 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, x: np.ndarray, grades: np.
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
-    """The model; None if the labelled rows don't hold both classes. labels: doc_id, toxic (0 or 1; null is skipped)."""
+    """The model; None (nothing is rejected then) if the labelled rows don't hold both classes, or no feature tells them apart.
+
+    labels: doc_id, toxic (0 or 1; null is skipped, as is a null doc_id; of repeated rows the most toxic counts). Of different texts
+    of one doc_id the first by code points is learnt from. Grades 1 to 3 are terciles of marks, since labels say toxic or not only.
+    """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = staged(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS), "fit-rows")
-    # FIT_ROWS ids at most.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = staged(least_by_hash(marks, ["doc_id"], FIT_ROWS), "fit-rows")
+    # FIT_ROWS ids at most, and one text each.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def bags(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
         h, row = features_of(flat)
@@ -119,6 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
     odds = ((F.col("b") + 0.5) / (bad - F.col("b") + 0.5)) / ((F.col("g") + 0.5) / (good - F.col("g") + 0.5))
     gap = F.abs(F.col("b") / bad - F.col("g") / good) / F.sqrt((F.col("b") + F.col("g")) / (bad + good))
     telling = spread.select("word", odds.alias("odds"), gap.alias("gap")).where((F.col("odds") >= TELLING) | (F.col("odds") <= 1 / TELLING)).orderBy(F.desc("gap"), "word").limit(VOCABULARY).collect()
+    if not telling:
+        return None
     words = np.array([r.word for r in telling], np.int64).view(np.uint64)
     marking = np.array([r.word for r in telling if r.odds >= MARK_ODDS], np.int64).view(np.uint64)
     order = np.argsort(words)
@@ -127,11 +133,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal | None:
 
     def features(batches):
         for batch in batches:
-            for d, t, ws, ns in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "words", "n")), strict=True):
-                w = np.array(ws, np.int64).view(np.uint64)
-                k = np.minimum(np.searchsorted(known.value, w), len(known.value) - 1)
-                hit = known.value[k] == w
-                yield pa.record_batch({"doc_id": pa.array([d], pa.int64()), "toxic": pa.array([t], pa.int32()), "k": pa.array([k[hit].astype(np.int32)]), "n": pa.array([np.array(ns, np.int32)[hit]])})
+            w = batch.column("words").flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("words").offsets.to_numpy()))
+            k = np.minimum(np.searchsorted(known.value, w), len(known.value) - 1)
+            hit = np.flatnonzero(known.value[k] == w)
+            cuts = pa.array(np.searchsorted(row[hit], np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x[hit].astype(np.int32))) for x in (k, batch.column("n").flatten().to_numpy())]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "k", "n"])
 
     # FIT_ROWS rows of VOCABULARY features at most.
     got = sorted(rows.mapInArrow(features, "doc_id long, toxic int, k array<int>, n array<int>").collect(), key=lambda r: (r.doc_id, r.toxic, r.k, r.n))
