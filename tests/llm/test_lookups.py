@@ -1,6 +1,8 @@
 """URL rules and licence digests: against plain Python and their SQL, and on awkward tables."""
 
+import random
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -27,7 +29,7 @@ def plain(url):
             best = (h + p, verdict)
     if best:
         return host, path, *best
-    block = any(re.search(p, host + path) for p, _ in urlrules.BLOCK_PATTERNS)
+    block = any(re.search(p, host + path) for p, _ in urlrules.block_patterns())
     return host, path, None, "block" if block else "allow"
 
 
@@ -53,6 +55,30 @@ def test_index_tokens_are_in_every_matching_url():
                 assert set(tokens) <= set(re.split("[^a-z0-9]+", (host + path).lower()))
 
 
+def test_only_rules_with_their_rarest_token_in_the_url_run(spark):
+    rng = random.Random(6)
+    some = [w for words in urlrules.UNWANTED.values() for w in words] + [w for pair in urlrules.UNWANTED_PAIRS for w in pair] + urlrules.AD_HOSTS + urlrules.PATH_SEGMENTS
+    plain_words = ["www", "example", "blog", "en", "stone", "river", "net", "com", "org"]
+    word = lambda: rng.choice(some if rng.random() < 0.3 else plain_words)
+    join = lambda marks: "".join(rng.choice(marks) + word() for _ in range(rng.randrange(4)))
+    urls = [f"https://{word()}{join('.-')}.{rng.choice(['com', 'net', 'org'])}/{word()}{join('/-._')}{rng.choice(['', '/', '?q=casino', '#poker'])}" for _ in range(1500)] + ["http://" + "a-" * 30_000 + "casino.org/x"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[0])], "page_id long, url string")
+    rules = urlrules.default_rules()
+    assert len(rules) > 200
+    got = urlrules.judged(pages).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == plain(urls[r.page_id or 0]), urls[r.page_id or 0]
+    assert 100 < sum(r.rule is None and r.verdict == "block" for r in got) < 1400
+    # The index excludes nearly all of the rules that each url could run.
+    tried = urlrules.fetched(pages).where("token is not null").count()
+    assert tried < 0.05 * len(urls) * len(rules)
+    # Two rules of one priority: the verdict, then the rule, that sorts last.
+    tie = [("a/", "^a/", "allow", 3, ["a"]), ("b", "^a/", "block", 3, ["a"]), ("c", "^a/", "block", 3, ["a"])]
+    one = urlrules.judged(spark.createDataFrame([(1, "x://a/")], "page_id long, url string"), tie).collect()
+    assert [(r.rule, r.verdict) for r in one] == [("c", "block")]
+
+
 def test_licences_by_canonical_form(spark):
     mit = licences.KNOWN[0][1]
     docs = [
@@ -65,7 +91,44 @@ def test_licences_by_canonical_form(spark):
     assert licences.scan(df.limit(0)).collect() == []
 
 
-def test_every_known_line_has_a_hint():
-    for _, text in licences.KNOWN:
-        if "\n" not in text:
-            assert re.search("(?i)licen|released", text) and re.search("licen|released", text.lower())
+def by_hand(docs, texts):
+    """Every whole text and every line, made canonical in plain Python."""
+
+    def canonical(t):
+        t = re.sub(licences.COPYRIGHT_LINE, "\n", "".join(c.lower() if "A" <= c <= "Z" else c for c in t).replace("\n", "\n\n"))
+        t = " " + re.sub("[^a-z0-9]+", " ", t).strip(" ") + " "
+        for one, other in licences.SPELLINGS:
+            t = t.replace(one, other)
+        return t.strip(" ")
+
+    known = {}
+    for name, t in texts:
+        known[canonical(t)] = min(name, known.get(canonical(t), name))
+    out = []
+    for i, t in docs:
+        for k, unit in enumerate([t, *t.split("\n")] if t is not None else []):
+            if canonical(unit) in known:
+                out.append((i, "line" if k else "text", k, known[canonical(unit)]))
+    return out
+
+
+def test_licences_equal_looking_every_unit_up(spark):
+    isc, bsd, mit = (next(t for n, t in licences.KNOWN if n == name) for name in ("ISC", "BSD-3-Clause", "MIT"))
+    wrapped = lambda t, n: "\n".join(line for p in t.split("\n") for line in textwrap.wrap(p, n) or [""])
+    head = "Copyright (c) 1999-2020, The Foo Authors\nCopyright Acme, Inc.\nAll rights reserved.\n\n"
+    own = [("PD", "Dedicated to the public domain."), ("X", "Use it as you like")]
+    docs = [
+        (1, wrapped(isc, 72)), (2, wrapped(bsd, 79).replace("\n1.", "\n * 1.")), (3, "# " + wrapped(mit, 60).replace("\n", "\n# ")), (4, head + wrapped(isc, 70)), (5, head), (6, None), (7, ""),
+        (None, "x\nDedicated to the PUBLIC domain\ny"), (9, "use it, as you like!"), (10, "prose " * 200_000 + "\nLicenced under the MIT licence"), (11, "Copyright 2020 x"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for texts in (licences.KNOWN, own, [*own, ("none", "licence")]):
+        got = sorted(((r.doc_id, r.scope, r.line_no, r.license) for r in licences.scan(df, texts).collect()), key=str)
+        assert got == sorted(by_hand(docs, texts), key=str)
+    found = {r.doc_id: r.license for r in licences.scan(df).collect()}
+    assert found == {1: "ISC", 2: "BSD-3-Clause", 3: "MIT", 4: "ISC", 10: "MIT"}
+    assert licences.hints([("none", "licence")]) is None
+
+
+def test_known_licences_have_different_forms():
+    assert len({t for _, t in licences.KNOWN}) == len(licences.KNOWN) >= 30
