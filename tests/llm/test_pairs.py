@@ -155,13 +155,44 @@ def test_leaks_exact_edited_partial_and_clean(spark):
     docs = [
         (1, around(item)), (2, around(edited(rng, item, 4))), (3, around(item[:20])), (4, around(words(rng, 30))), (5, around([w.upper() + "," for w in item])),
         (6, around(item[:6])), (7, None), (8, ""), (9, " ".join(item)), (10, around([*item, *other])), (10, around([*item, *other])),
+        (11, around(["Too", "short!"])), (12, around(["too", "x", "short"])), (None, " ".join(other)), (13, around(item) + " filler" * 100_000),
     ]
     df = spark.createDataFrame([(i, t, "p", "k", "s") for i, t in docs], EXTRA)
-    bench = spark.createDataFrame([(100, " ".join(item), 1), (101, " ".join(other), 2), (102, None, 3), (103, "too short", 4), (None, "x " * 9, 5)], "item_id long, text string, doc_id int")
-    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
-    assert got == [(1, 100), (2, 100), (3, 100), (5, 100), (9, 100), (10, 100), (10, 100), (10, 101), (10, 101)]
+    bench = spark.createDataFrame([(100, " ".join(item), 1), (101, " ".join(other), 2), (102, None, 3), (103, "too short", 4), (None, "x " * 9, 5), (104, "", 6), (100, " ".join(item), 1)], "item_id long, text string, doc_id int")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
+    assert got == [(-1, 101), (1, 100), (2, 100), (3, 100), (5, 100), (9, 100), (10, 100), (10, 100), (10, 101), (10, 101), (11, 103), (13, 100)]
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 6, 7, 8]
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 6, 7, 8, 12]
+    for docs_, bench_ in ((df.limit(0), bench), (df, bench.limit(0))):
+        assert decontaminate.leaks(docs_, bench_).count() == 0
+        assert decontaminate.clean(docs_, bench_).count() == docs_.count()
+
+
+def test_seeds_find_what_all_pairs_alignment_finds(spark, monkeypatch):
+    """Recall against Smith-Waterman of every item with every whole document; once with shuffled joins."""
+    rng = random.Random(31)
+    common = ["of", "the", "and", "to", "in"]
+    text = lambda n: [rng.choice(common) if rng.random() < 0.4 else w for w in words(rng, n, 400)]
+    items = {100 + k: text(rng.randrange(8, 40)) for k in range(25)}
+    docs = {}
+    for k in range(250):
+        ws = text(rng.randrange(5, 120))
+        if k % 2:
+            held = edited(rng, rng.choice(list(items.values())), rng.randrange(9))
+            ws[3:3] = held[: rng.randrange(len(held) // 2, len(held) + 1)]
+        docs[k] = ws
+    ids = {w: n + 1 for n, w in enumerate(sorted({w for ws in [*items.values(), *docs.values()] for w in ws}))}
+    code = lambda ws: np.array([ids[w] for w in ws], np.uint64)
+    want = set()
+    for i, item in items.items():
+        scores = decontaminate.align([code(ws) for ws in docs.values()], [code(item)] * len(docs))
+        want |= {(k, i) for k, x in zip(docs, scores, strict=True) if x >= len(item)}
+    df = spark.createDataFrame([(k, " ".join(ws)) for k, ws in docs.items()], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string")
+    for most in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
+        assert got <= want and len(got) >= 0.9 * len(want) > 50
     assert decontaminate.leaks(df.limit(0), bench).collect() == []
     assert decontaminate.leaks(df, bench.limit(0)).collect() == []
