@@ -25,10 +25,8 @@ WORDS, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
 AGREE = 3
 #: Rows of a table (ids or places, about 50 bytes each) that may be broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 200_000
-#: Texts and shingles of one side that a task verifies against as many of another side.
-BLOCK_TEXTS, BLOCK_SHINGLES = 512, 500_000
-#: Texts of a bucket that are paired with its others in one task.
-SLOT_TEXTS = 512
+#: Texts of a bucket, and shingles of those that are aligned, that one task pairs at once.
+BLOCK_TEXTS, BLOCK_SHINGLES = 4096, 500_000
 #: Texts of a bucket, and links of a node, from which on what they wait for is broadcast instead of shuffled to one task.
 HOT = 1000
 
@@ -165,85 +163,45 @@ def _by_key(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(hot), "key").union(calm)
 
 
-def _verified(docs: DataFrame, places: DataFrame, repeated: bool) -> DataFrame:
-    """Links (a, b) that the alignment confirms.
-
-    places: to, slot, side, doc_id, without repeated rows: texts of side 0 look for a link to the texts of side 1 with the same `to`
-    and slot. Each text of side 0 gets one link to them, if there is any: side 1 is one part already, so more would join nothing
-    new. The shingles of a text travel to its places once; places with many texts of side 0 are dealt out.
-    """
-    places = staged(places, "places")
-    many = places.where("side = 0").groupBy("to", "slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("deals")).where("deals > 1")
-    dealt = places.join(_small(many), ["to", "slot"], "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
-    deal = F.when(F.col("side") == 0, F.array(F.pmod(F.hash("doc_id"), F.col("deals")))).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))
-    dealt = staged(dealt.select("to", "slot", "side", "doc_id", F.explode(deal).alias("deal")), "dealt")
-    wanted = docs.select("doc_id", "text").join(_small(dealt.select("doc_id").distinct()), "doc_id", "left_semi")
+def _arrays(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """doc_id and its labelled shingles (as bytes) for the ids; repeated: docs may hold a row twice."""
+    wanted = docs.select("doc_id", "text").join(_small(ids), "doc_id", "left_semi")
 
     def rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
         labelled, offsets = shingles(flat)
         return pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "shingles": pa.array([labelled[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())})
 
     arrays = map_texts(wanted, rows, "doc_id long, shingles binary")
-    if repeated:
-        arrays = arrays.dropDuplicates(["doc_id"])
-    keys = ["to", "slot", "deal"]
-    together = arrays.join(_small(dealt), "doc_id").select(*keys, "side", "doc_id", "shingles").repartition(*keys).sortWithinPartitions(*keys, F.desc("side"))
+    return arrays.dropDuplicates(["doc_id"]) if repeated else arrays
+
+
+def _verified(docs: DataFrame, rays: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs (a, b) of rays that the alignment confirms. Each b travels to a part of its hub a; a's shingles go to those parts
+    once."""
+    rays = staged(rays, "rays")
+    parts = rays.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("deals"))
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    many = parts.where("deals > 1")
+    spokes = rays.join(_small(many), "a", "left").select("a", F.pmod(F.hash("b"), F.coalesce("deals", F.lit(1))).alias("deal"), "b", F.col("b").alias("doc_id"))
+    places = staged(hubs.union(spokes), "places")
+    arrays = _arrays(docs, places.select("doc_id").distinct(), repeated)
+    together = arrays.join(_small(places), "doc_id").repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sought = None, Sought()
+        hub, left = None, np.zeros(0, np.uint64)
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for *at, side, doc, s in zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "doc_id", "shingles")), strict=True):
-                if at != place:
-                    place, sought = at, Sought()
-                if side:
-                    sought.add(doc, np.frombuffer(s, np.uint64))
-                elif (to := sought.first(doc, np.frombuffer(s, np.uint64))) is not None:
-                    found.append((doc, to))
+            for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
+                if b is None:
+                    hub, left = a, np.frombuffer(s, np.uint64)
+                elif hub == a and similarity(left, np.frombuffer(s, np.uint64)) >= SIMILARITY:
+                    found.append((a, b))
             if found:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return staged(together.mapInArrow(check, "a long, b long"), "links")
 
 
-class Sought:
-    """Texts among which others look for one of SIMILARITY: an index from each shingle to the texts that hold it."""
-
-    def __init__(self) -> None:
-        self.docs: list[int] = []
-        self.arrays: list[np.ndarray] = []
-        self.index: tuple[np.ndarray, np.ndarray] | None = None
-
-    def add(self, doc: int, labelled: np.ndarray) -> None:
-        self.docs.append(doc)
-        self.arrays.append(labelled)
-        self.index = None
-
-    def common(self, labelled: np.ndarray) -> np.ndarray:
-        """How many shingles each text has in common with this one."""
-        if self.index is None:
-            every = np.concatenate(self.arrays)
-            order = np.argsort(every, kind="stable")
-            self.index = every[order], np.repeat(np.arange(len(self.arrays)), [len(x) for x in self.arrays])[order]
-        values, docs = self.index
-        low, high = np.searchsorted(values, labelled, "left"), np.searchsorted(values, labelled, "right")
-        n = high - low
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(docs[at], minlength=len(self.arrays))
-
-    def first(self, doc: int, labelled: np.ndarray) -> int | None:
-        """The text of most common shingles that the alignment confirms. No text with fewer common shingles than SIMILARITY asks
-        for can be one."""
-        if len(self.arrays) == 1:
-            order = [0]
-        else:
-            both = self.common(labelled)
-            sizes = np.array([len(x) for x in self.arrays]) + len(labelled)
-            enough = np.flatnonzero(both * (1 + SIMILARITY) >= SIMILARITY * sizes)
-            order = enough[np.argsort(-both[enough], kind="stable")].tolist()
-        return next((self.docs[k] for k in order if self.docs[k] != doc and similarity(self.arrays[k], labelled) >= SIMILARITY), None)
-
-
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
     """(doc_id, part): the least doc_id that links (a, b) connect to each node. Rounds of neighbour minima and pointer jumps; nodes
     with many links send their labels by broadcast, so no task holds all links of one node."""
@@ -307,39 +265,136 @@ def first_of_classes(docs: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Places of a first search: each text looks for the hubs of its buckets. A bucket's hub is the text whose sketches are the most
+    """Pairs (a, b) of a first search: the hub of a bucket and a text of it. A bucket's hub is the text whose sketches are the most
     shared: near the centre of its group."""
     some = ("doc_id", "n_shingles", *(f"f{k}" for k in range(PRINTS)))
     top = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), *some)).alias("top")
     hubs = members.groupBy("key", "size").agg(top).select("key", "size", *(F.col(f"top.{c}").alias(f"hub_{c}") for c in some))
     rays = _by_key(members.drop("size"), staged(hubs, "hubs")).where((F.col("doc_id") != F.col("hub_doc_id")) & _close("n_shingles", "hub_n_shingles"))
-    rays = rays.where(_agree("f", "hub_f") >= AGREE).select("doc_id", "hub_doc_id")
-    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("doc_id").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("hub_doc_id").alias("doc_id")))
-    each = rays.select(F.col("hub_doc_id").alias("to"), F.lit(0).alias("slot"), F.explode(ends).alias("x"))
-    return each.select("to", "slot", "x.side", "x.doc_id").distinct()
+    return rays.where(_agree("f", "hub_f") >= AGREE).select(F.col("hub_doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _dealt(rows: DataFrame, load: str, most: int) -> DataFrame:
+    """rows (key, part, home, doc_id, ..., load) with block and pair: tasks of a bucket. A bucket of a load up to `most` is one task.
+    The rows of the home part and the others of a larger one are cut into blocks, and each pair of blocks is a task, but for pairs of
+    home blocks: home rows are connected already."""
+    at_home = F.col("part") == F.col("home")
+    loads = rows.groupBy("key").agg(F.sum(F.when(at_home, F.col(load)).otherwise(0)).alias("h"), F.sum(F.when(at_home, 0).otherwise(F.col(load))).alias("o"), F.count(F.lit(1)).alias("size"))
+    blocks = lambda c: F.when(F.col("h") + F.col("o") <= most, F.lit(1 if c == "o" else 0)).otherwise(F.ceil(F.col(c) / most)).cast("long").alias(f"n{c}")
+    put = _by_key(rows, staged(loads.select("key", "size", blocks("h"), blocks("o")), "loads")).drop("size")
+    h, o, mix_ = F.col("nh"), F.col("no"), F.hash("doc_id")
+    put = put.withColumn("block", F.when((h > 0) & at_home, F.pmod(mix_, h)).otherwise(h + F.pmod(mix_, o)))
+    name = lambda one, two: one * (h + o) + two
+    others = F.transform(F.sequence(h, h + o - 1), lambda x: name(F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
+    homes = F.when(h > 0, F.transform(F.sequence(F.lit(0).cast("long"), h - 1), lambda x: name(x, F.col("block")))).otherwise(F.array().cast("array<long>"))
+    pairs = F.when(F.col("block") < h, F.transform(F.sequence(h, h + o - 1), lambda x: name(F.col("block"), x))).otherwise(F.concat(homes, others))
+    return put.withColumn("pair", F.explode(pairs)).drop("nh", "no").repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key and pair, which follow each other."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, pair = (batch.column(c).to_numpy() for c in ("key", "pair"))
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if rest and (rest[0].column("key")[0].as_py(), rest[0].column("pair")[0].as_py()) != (key[a], pair[a]):
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(part)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _active(key: int, part: np.ndarray, n: np.ndarray, block: np.ndarray, home: int, sketch: np.ndarray) -> np.ndarray:
+    """Which rows of a bucket have a partner: of another part, near enough in length, with AGREE equal sketches or more, of which
+    this bucket is the first."""
+    out = np.zeros(len(part), bool)
+    cross = len(np.unique(block)) > 1
+    for x in np.flatnonzero(part != home):
+        may = (part != part[x]) & (np.minimum(n, n[x]) >= SIMILARITY * np.maximum(n, n[x]))
+        if cross:
+            may &= block != block[x]
+        some = np.flatnonzero(may)
+        if len(some):
+            same = sketch[some] == sketch[x]
+            hit = some[(same.sum(axis=1) >= AGREE) & (sketch[x][same.argmax(axis=1)] == key)]
+            if len(hit):
+                out[hit] = out[x] = True
+    return out
 
 
-def _across(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Places of the second search: all pairs of one bucket and different parts that agree in AGREE sketches. The largest part of a
-    bucket is its home: only texts outside of it look for others, so what is joined already is not paired again."""
-    tagged = staged(members.drop("size").join(parts, "doc_id"), "tagged")
+def _open_rows(members: DataFrame, parts: DataFrame, codes: DataFrame) -> DataFrame:
+    """The rows of buckets with several parts that have a partner there: key, doc_id, part, home, n_shingles. A pair meets in one
+    bucket, the first that its texts share; a row stands for all its partners, so there are no more of them than of sketches."""
+    tagged = staged(members.select("key", "doc_id").join(parts, "doc_id"), "tagged")
     sizes = tagged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     homes = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("size")).where(F.col("top.n") < F.col("size"))
-    homes = staged(homes.select("key", "size", F.col("top.part").alias("home"), F.ceil(F.col("size") / SLOT_TEXTS).cast("int").alias("slots")), "homes")
-    rows = staged(_by_key(tagged, homes), "open")
-    # Slots of a part, for those that look for it.
-    load = parts.join(members.select("doc_id", "n_shingles").distinct(), "doc_id").groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
-    some = ("doc_id", "part", "n_shingles", *(f"f{k}" for k in range(PRINTS)))
-    one = rows.where(F.col("part") != F.col("home")).select("key", "home", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), *(F.col(c).alias(f"one_{c}") for c in some))
-    two = rows.select("key", F.pmod(F.hash("doc_id"), F.col("slots")).alias("slot"), *some)
-    apart = (F.col("one_part") != F.col("part")) & ((F.col("part") == F.col("home")) | (F.col("one_doc_id") < F.col("doc_id")))
-    pairs = one.join(two, ["key", "slot"]).where(apart & _close("one_n_shingles", "n_shingles")).where(_agree("one_f", "f") >= AGREE)
-    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("one_doc_id").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("doc_id").alias("doc_id")))
-    # Both ends of a pair meet in the slot of the sought text.
-    each = pairs.select(F.col("part").alias("to"), F.col("doc_id").alias("sought"), F.explode(ends).alias("x"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    each = each.join(_small(load), F.col("to") == load.part, "left").select("to", F.pmod(F.hash("sought"), blocks).alias("slot"), "x.side", "x.doc_id")
-    return each.distinct()
+    homes = staged(homes.select("key", "size", F.col("top.part").alias("home")), "homes")
+    mixed = staged(_by_key(tagged, homes).drop("size").join(codes.select("doc_id", "n_shingles", "sketch"), "doc_id").withColumn("one", F.lit(1)), "mixed")
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            part, n, block = (t.column(c).to_numpy() for c in ("part", "n_shingles", "block"))
+            sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+            hit = _active(t.column("key")[0].as_py(), part, n, block, t.column("home")[0].as_py(), sketch)
+            if hit.any():
+                yield from t.filter(pa.array(hit)).select(names).combine_chunks().to_batches()
+
+    names = ["key", "doc_id", "part", "home", "n_shingles"]
+    found = _dealt(mixed, "one", BLOCK_TEXTS).mapInArrow(partnered, ", ".join(f"{c} long" for c in names))
+    return staged(found.distinct(), "open")
+
+
+def _joining(part: np.ndarray, block: np.ndarray, home: int, arrays: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Confirmed links that connect what is connected among the rows of a bucket and not one part already, as positions."""
+    cross = len(np.unique(block)) > 1
+    root = {p: p for p in part.tolist()}
+
+    def top(p: int) -> int:
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    sizes = np.array([len(x) for x in arrays])
+    every = np.concatenate(arrays)
+    order = np.argsort(every, kind="stable")
+    values, owner = every[order], np.repeat(np.arange(len(arrays)), sizes)[order]
+    out = []
+    for x in np.flatnonzero(part != home).tolist():
+        low, high = np.searchsorted(values, arrays[x], "left"), np.searchsorted(values, arrays[x], "right")
+        n = high - low
+        both = np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(arrays))
+        may = both * (1 + SIMILARITY) >= SIMILARITY * (sizes + sizes[x])
+        if cross:
+            may &= block != block[x]
+        some = np.flatnonzero(may)
+        for y in some[np.argsort(-both[some], kind="stable")].tolist():
+            one, two = top(int(part[x])), top(int(part[y]))
+            if one != two and similarity(arrays[x], arrays[y]) >= SIMILARITY:
+                root[one] = two
+                out.append((x, y))
+    return out
+
+
+def _across(docs: DataFrame, rows: DataFrame, repeated: bool) -> DataFrame:
+    """Links (a, b) between different parts among the rows of `_open_rows`: shingles travel to a row's bucket, where an index from
+    shingles to texts finds who has enough in common, and the alignment confirms."""
+    arrays = _arrays(docs, rows.select("doc_id").distinct(), repeated)
+    dealt = staged(_dealt(rows, "n_shingles", BLOCK_SHINGLES), "dealt")
+    together = dealt.join(arrays, "doc_id").repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            doc, part, block = (t.column(c).to_numpy() for c in ("doc_id", "part", "block"))
+            found = _joining(part, block, t.column("home")[0].as_py(), [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()])
+            if found:
+                yield pa.record_batch([pa.array(doc[list(x)]) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return staged(together.mapInArrow(links, "a long, b long"), "links")
 
 
 def _classed(docs: DataFrame) -> DataFrame:
@@ -361,7 +416,7 @@ def _classed(docs: DataFrame) -> DataFrame:
     members = staged(weighed.join(codes.drop("sketch"), "doc_id"), "members")
     first = _verified(docs, _stars(members), repeated)
     parts = staged(components(members.select("doc_id").distinct(), first), "parts")
-    second = _verified(docs, _across(members, parts), repeated)
+    second = _across(docs, _open_rows(members, parts, codes), repeated)
     links = staged(first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
     joined = components(classes.select(F.col("rep").alias("doc_id")), links)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))

@@ -72,8 +72,8 @@ def test_classes_equal_brute_force(spark):
 
 def test_drifting_versions_in_large_buckets_equal_brute_force(spark, monkeypatch):
     """Eight lines of versions, each near its neighbours only; with all ways for large buckets and busy nodes."""
-    monkeypatch.setattr(nearcopy, "SLOT_TEXTS", 7)
     monkeypatch.setattr(nearcopy, "BLOCK_TEXTS", 5)
+    monkeypatch.setattr(nearcopy, "BLOCK_SHINGLES", 900)
     monkeypatch.setattr(nearcopy, "HOT", 9)
     rng = random.Random(3)
     base, out = words(rng, 150), []
