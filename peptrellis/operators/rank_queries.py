@@ -11,6 +11,7 @@ from ..registry import query, r6, sql_r6
 from ..sources.shared import stage
 from ..sources.views import ENZYMES, MODULES, values, with_
 from . import ranking as R
+from .pareto import pareto_layers
 
 _M = values(MODULES, "k, module, grp")
 _FUNCTIONS = [f[0] for f in R.FUNCTION_LINKS]
@@ -131,27 +132,69 @@ def d28(v):
     return both.select("id", r6(F.expr("greatest(0.0, least(1.0, (1 - abs((a + b) / 2 - 0.6) / 1.6) * (0.5 + 0.5 * (1 - abs(a - b) / 2))))")).alias("alignment"))
 
 
-def ranked_wound(v):
+_ON = [m for m, n in _NK if n > 0]
+
+
+def scored_wound(v):
+    """A row a candidate: deductions, brief weights and module scores meet inside the row; _m columns hold the deducted scores."""
+    have = flags(v)
+    lost = R.deductions(have.columns)
+    left = {m: F.greatest(F.lit(0.0), c - lost.get(m, F.lit(0.0))) if m in lost else c for m, c in v.module_columns().items()}
+    rows = have.select("id", *(F.when(c.isNotNull(), left[m]).alias(f"_m_{m}") for m, c in v.module_columns().items()))
+    # One row: the weights of one brief.
+    weights = brief_weights(v).agg(*(F.max(F.when(F.col("module") == m, F.col("nominal_weight"))).alias(f"_w_{m}") for m in left))
+    rows = D.bound(rows).crossJoin(F.broadcast(weights))
+    return R.combined_in_row(rows, {m: F.col(f"_m_{m}") for m in left}, {m: F.col(f"_w_{m}") for m in left})
+
+
+def ranked_wound(v, keep=()):
     """The flagship plan: deduct flags, weight by the brief, order all candidates; those without evidence come last, unranked."""
-    lost = R.flag_deductions(flags(v))
-    scores = v.module_scores.join(F.broadcast(brief_weights(v)), "module").join(lost, ["id", "module"], "left")
-    left = F.greatest(F.lit(0.0), F.col("score") - F.coalesce("deduction", F.lit(0.0)))
-    scores = scores.withColumn("score", F.when(F.col("score").isNotNull(), left))
-    out = R.combined(scores)
+    out = stage(scored_wound(v).select("id", "final_score", "evidence_coverage", "status", "stability", *keep), "scored")
     ties = [F.desc("evidence_coverage"), F.desc(F.coalesce(F.round("stability", 9), F.lit(-1.0))), F.col("id")]
-    ranked = R.global_rank(out.where("status = 'ranked'"), "final_score", ties)
+    ranked = R.global_rank(out.where("status = 'ranked'"), "final_score", ties, stage)
     return ranked.unionByName(out.where("status <> 'ranked'"), allowMissingColumns=True)
 
 
+def layered(df, scores):
+    """df with pareto_rank: layers among the candidates of a run, which here are those of a document."""
+    run = df.withColumn("_of", F.expr("id div 1000000"))
+    return pareto_layers(run, scores, stage, by="_of").withColumnRenamed("layer", "pareto_rank").drop("_of")
+
+
+def layers_sql(source, scores):
+    """CTE lay (id, pareto_rank) from a relation with id and scores: 1 + the longest chain of dominators in the same run."""
+    at = {s: f"coalesce({s}, 0)" for s in scores}
+    over = " AND ".join(f"a.s{k} >= b.s{k}" for k in range(len(at)))
+    more = " OR ".join(f"a.s{k} > b.s{k}" for k in range(len(at)))
+    return f"""vec AS MATERIALIZED (SELECT id, id // 1000000 AS run, {", ".join(f"{e} AS s{k}" for k, e in enumerate(at.values()))} FROM {source}),
+dom AS MATERIALIZED (SELECT a.id AS hi, b.id AS lo FROM vec a JOIN vec b ON a.run = b.run AND {over} AND ({more})),
+chain(id, layer) AS (SELECT id, 1 FROM vec UNION SELECT lo, layer + 1 FROM chain JOIN dom ON hi = chain.id),
+lay AS (SELECT id, max(layer) AS pareto_rank FROM chain GROUP BY id)"""
+
+
 RANKED_SQL = with_("residues", "predictions", "module_scores", more=physchem() + ",\n" + DEDUCTIONS_SQL + f""",
 s AS (SELECT m.id, m.module, nominal_weight, CASE WHEN score IS NOT NULL THEN greatest(0.0, score - coalesce(deduction, 0.0)) END AS score FROM module_scores m JOIN {_W} w USING (module) LEFT JOIN ded d ON d.id = m.id AND d.module = m.module WHERE nominal_weight > 0),
 f AS (SELECT id, round(least(1.0, sum(nominal_weight * score) / sum(nominal_weight) FILTER (score IS NOT NULL)), 9) AS final_score, round(count(score) * 1.0 / count(*), 9) AS evidence_coverage, max(score) FILTER (module = 'stability') AS stability FROM s GROUP BY id),
 ranked AS (SELECT *, CASE WHEN final_score IS NULL THEN 'insufficient_evidence' ELSE 'ranked' END AS status, CASE WHEN final_score IS NOT NULL THEN row_number() OVER (ORDER BY final_score DESC NULLS LAST, evidence_coverage DESC, coalesce(round(stability, 9), -1) DESC, id) END AS rank FROM f)""")
 
 
-@query("X1_rank_run_wound", RANKED_SQL + f"SELECT id, status, {sql_r6('final_score')} AS final_score, {sql_r6('evidence_coverage')} AS evidence_coverage, rank FROM ranked")
+_WIDE_SQL = ", ".join(f"max(score) FILTER (module = '{m}') AS {m}" for m in _ON)
+
+
+@query(
+    "X1_rank_run_wound",
+    RANKED_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", wide AS (SELECT s.id, {_WIDE_SQL} FROM s JOIN ranked r ON r.id = s.id AND r.status = 'ranked' GROUP BY s.id), "
+    + layers_sql("wide", _ON)
+    + f" SELECT id, status, {sql_r6('final_score')} AS final_score, {sql_r6('evidence_coverage')} AS evidence_coverage, rank, pareto_rank FROM ranked LEFT JOIN lay USING (id)",
+)
 def x1(v):
-    return ranked_wound(v).select("id", "status", r6("final_score").alias("final_score"), r6("evidence_coverage").alias("evidence_coverage"), "rank")
+    """Ranks over all candidates, and Pareto layers over the modules that the brief activates, within runs."""
+    modules_ = [f"_m_{m}" for m in _ON]
+    every = ranked_wound(v, modules_)
+    ranked = layered(every.where("status = 'ranked'"), modules_)
+    out = ranked.unionByName(every.where("status <> 'ranked'"), allowMissingColumns=True)
+    return out.select("id", "status", r6("final_score").alias("final_score"), r6("evidence_coverage").alias("evidence_coverage"), "rank", "pareto_rank")
 
 
 @query("E1_final_rank", RANKED_SQL + "SELECT id, rank FROM ranked WHERE rank IS NOT NULL")
@@ -174,16 +217,19 @@ def a4(v):
     return v.spark.read.schema("id long, rank long").parquet(path)
 
 
-@query("E2_pareto_layers")
+_LAYERED = ["cleavage_stability", "feasibility", "confidence"]
+
+
+@query("E2_pareto_layers", with_("predictions", more=layers_sql("predictions", _LAYERED)).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT id, pareto_rank AS layer FROM lay")
 def e2(v):
-    """The first five layers over three modules."""
-    wide = v.predictions.select("id", "cleavage_stability", "feasibility", "confidence")
-    return R.pareto_layers(wide, ["cleavage_stability", "feasibility", "confidence"], 5, stage)
+    """All layers over three modules, within runs."""
+    wide = v.predictions.select("id", *_LAYERED)
+    return layered(wide, _LAYERED).select("id", F.col("pareto_rank").alias("layer"))
 
 
 @query("E3_avg_rank_percentile", with_("predictions", more="s AS (SELECT id, migration, rank() OVER (ORDER BY migration) AS r, count(*) OVER (PARTITION BY migration) AS peers, count(*) OVER () AS n FROM predictions WHERE migration IS NOT NULL)") + f"SELECT p.id, {sql_r6('(r - 1 + (peers - 1) / 2.0) / (n - 1)')} AS percentile FROM predictions p LEFT JOIN s USING (id)")
 def e3(v):
-    return R.avg_rank_percentile(v.predictions.select("id", "migration"), "migration").select("id", r6("percentile").alias("percentile"))
+    return R.avg_rank_percentile(v.predictions.select("id", "migration"), "migration", stage).select("id", r6("percentile").alias("percentile"))
 
 
 @query("E4_topk_per_seed", with_("predictions", "seeds") + "SELECT id, seed, k FROM (SELECT id, id // 1000000 AS seed, row_number() OVER (PARTITION BY id // 1000000 ORDER BY coalesce(amp, -1) DESC, coalesce(aggregation, 1), id) AS k FROM predictions WHERE amp >= 0.5 AND sequence NOT IN (SELECT sequence FROM seeds)) WHERE k <= 3")
@@ -320,10 +366,11 @@ _WALL = " + ".join(f"case when {n} is not null then {w} else 0 end" for n, w in
 _WCOV = "(" + " + ".join(f"case when {n} is not null then 1.0 else 0.0 end" for n in _METABOLIC) + ") / 6"
 
 
-@query("X2_rank_run_metabolic", _METABOLIC_SQL + f", f AS (SELECT id, round(least(1.0, ({_WSUM}) / nullif({_WALL}, 0)), 9) AS final_score, round({_WCOV}, 9) AS coverage, stability FROM m WHERE receptor_agonism IS NOT NULL) SELECT id, {sql_r6('final_score')} AS final_score, row_number() OVER (ORDER BY final_score DESC, coverage DESC, coalesce(round(stability, 9), -1) DESC, id) AS rank FROM f")
+@query("X2_rank_run_metabolic", _METABOLIC_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", on_ AS (SELECT * FROM m WHERE receptor_agonism IS NOT NULL), " + layers_sql("on_", _METABOLIC) + f", f AS (SELECT id, round(least(1.0, ({_WSUM}) / nullif({_WALL}, 0)), 9) AS final_score, round({_WCOV}, 9) AS coverage, stability FROM m WHERE receptor_agonism IS NOT NULL) SELECT id, {sql_r6('final_score')} AS final_score, row_number() OVER (ORDER BY final_score DESC, coverage DESC, coalesce(round(stability, 9), -1) DESC, id) AS rank, pareto_rank FROM f JOIN lay USING (id)")
 def x2(v):
-    f = metabolic_modules(v).where("receptor_agonism is not null").select("id", F.expr(f"round(least(1.0, ({_WSUM}) / nullif({_WALL}, 0)), 9)").alias("final_score"), F.expr(f"round({_WCOV}, 9)").alias("coverage"), F.coalesce(F.round("stability", 9), F.lit(-1.0)).alias("stability"))
-    return R.global_rank(f, "final_score", [F.desc("coverage"), F.desc("stability"), F.col("id")]).select("id", r6("final_score").alias("final_score"), "rank")
+    f = metabolic_modules(v).where("receptor_agonism is not null").select("id", *(F.col(m).alias(f"_m_{m}") for m in _METABOLIC), F.expr(f"round(least(1.0, ({_WSUM}) / nullif({_WALL}, 0)), 9)").alias("final_score"), F.expr(f"round({_WCOV}, 9)").alias("coverage"), F.coalesce(F.round("stability", 9), F.lit(-1.0)).alias("stability"))
+    ranked = R.global_rank(D.bound(f), "final_score", [F.desc("coverage"), F.desc("stability"), F.col("id")], stage)
+    return layered(ranked, [f"_m_{m}" for m in _METABOLIC]).select("id", r6("final_score").alias("final_score"), "rank", "pareto_rank")
 
 
 # A dermis brief of standard safety at pH 5.5 with one secondary function: 4, 1, 3, 3, 3 and 1 points.
@@ -349,7 +396,7 @@ def cosmetic_components(v):
     from .gate_queries import banded
 
     put = banded(v).join(v.predictions.select("id", "migration", "angiogenic", "cleavage_stability"), "id")
-    put = R.avg_rank_percentile(put, "migration").withColumn("irritation", G.irritation_score()).withColumn("n_flags", F.size(G.cosmetic_flags()))
+    put = R.avg_rank_percentile(put, "migration", stage).withColumn("irritation", G.irritation_score()).withColumn("n_flags", F.size(G.cosmetic_flags()))
     return put.select("id", *(F.expr(e).alias(n) for n, e in _COSMETIC_EXPR.items()))
 
 
@@ -368,10 +415,14 @@ _CSUM = "100 * (" + " + ".join(f"{w!r} * coalesce({n}, 0.5)" for n, w in _COSMET
 _CCOV = " + ".join(f"case when {n} is not null then {w!r} else 0 end" for n, w in _COSMETIC.items())
 
 
-@query("X3_rank_run_cosmetic", _with_bounds(_COSMETIC_SQL) + f", f AS (SELECT id, round({_CSUM}, 9) AS final_score, round({_CCOV}, 9) AS coverage FROM c) SELECT id, {sql_r6('final_score')} AS final_score, {sql_r6('coverage')} AS coverage, row_number() OVER (ORDER BY final_score DESC, coverage DESC, id) AS rank FROM f")
+_ROUNDED = ", ".join(f"round({m}, 9) AS {m}" for m in _COSMETIC)
+
+
+@query("X3_rank_run_cosmetic", _with_bounds(_COSMETIC_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f", on_ AS (SELECT id, {_ROUNDED} FROM c), " + layers_sql("on_", _COSMETIC) + f", f AS (SELECT id, round({_CSUM}, 9) AS final_score, round({_CCOV}, 9) AS coverage FROM c) SELECT id, {sql_r6('final_score')} AS final_score, {sql_r6('coverage')} AS coverage, row_number() OVER (ORDER BY final_score DESC, coverage DESC, id) AS rank, pareto_rank FROM f JOIN lay USING (id)")
 def x3(v):
-    f = cosmetic_components(v).select("id", F.expr(f"round({_CSUM}, 9)").alias("final_score"), F.expr(f"round({_CCOV}, 9)").alias("coverage"))
-    return R.global_rank(f, "final_score", [F.desc("coverage"), F.col("id")], high=100.0).select("id", r6("final_score").alias("final_score"), r6("coverage").alias("coverage"), "rank")
+    f = cosmetic_components(v).select("id", *(F.round(m, 9).alias(f"_m_{m}") for m in _COSMETIC), F.expr(f"round({_CSUM}, 9)").alias("final_score"), F.expr(f"round({_CCOV}, 9)").alias("coverage"))
+    ranked = R.global_rank(D.bound(f), "final_score", [F.desc("coverage"), F.col("id")], stage)
+    return layered(ranked, [f"_m_{m}" for m in _COSMETIC]).select("id", r6("final_score").alias("final_score"), r6("coverage").alias("coverage"), "rank", "pareto_rank")
 
 
 @query("D32_best_per_sequence", with_("predictions") + "SELECT sequence, arg_min(id, coalesce(aggregation, 1) * 1e12 + id / 1e3) AS id FROM predictions GROUP BY sequence")

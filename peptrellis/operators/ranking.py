@@ -1,14 +1,15 @@
-"""Ranking: objective weights from a brief, flag deductions, renormalised module scores, one global order, Pareto layers."""
+"""Ranking: objective weights from a brief, flag deductions, renormalised module scores, one global order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Mapping
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.descriptors import bound
+
 #: Brief entries and the objective modules they point to, with points.
 FUNCTION_LINKS = [
     ("angiogenesis", "angiogenesis", 1.0),
@@ -67,8 +68,6 @@ LEVEL_FLAGS = [
     ("synthesis_feasibility", "disulfide_category", "high", 0.4),
 ]
 MAX_DEDUCTION = 0.4
-#: Parts of the score range that a global order is counted in.
-BUCKETS = 10_000
 
 
 def brief_points(briefs: DataFrame, links: tuple = (FUNCTION_LINKS, CONTEXT_LINKS, PATHOGEN_LINK)) -> DataFrame:
@@ -101,10 +100,9 @@ def module_weights(counts: DataFrame, modules: DataFrame) -> DataFrame:
     return every.withColumn("nominal_weight", F.col("n_k") / F.sum("n_k").over(Window.partitionBy("brief_id")))
 
 
-def flag_deductions(flags: DataFrame, numeric: list = NUMERIC_FLAGS, levels: list = LEVEL_FLAGS) -> DataFrame:
-    """(id, module, deduction) from one column for each flag: a numeric flag deducts (v - line) / (2 (limit - line)) between 0 and
-    MAX_DEDUCTION, the most of its bounds; a level deducts what it says; a missing value nothing. Only modules that lose anything."""
-    have = set(flags.columns)
+def deductions(have: list[str], numeric: list = NUMERIC_FLAGS, levels: list = LEVEL_FLAGS) -> dict[str, Column]:
+    """What each module loses, from one column for each flag (of `have`): a numeric flag deducts (v - line) / (2 (limit - line))
+    between 0 and MAX_DEDUCTION, the most of its bounds; a level deducts what it says; a missing value nothing."""
     per: dict[str, dict[str, list[Column]]] = {}
     for module, flag, line, limit, centre in numeric:
         if flag in have:
@@ -115,7 +113,12 @@ def flag_deductions(flags: DataFrame, numeric: list = NUMERIC_FLAGS, levels: lis
         if flag in have:
             per.setdefault(module, {}).setdefault(flag, []).append(F.when(F.col(flag) == level, loss).otherwise(0.0))
     best = lambda cs: F.greatest(*cs) if len(cs) > 1 else cs[0]
-    totals = F.array(*(F.struct(F.lit(m).alias("module"), F.least(F.lit(1.0), sum((best(cs) for cs in fs.values()), F.lit(0.0))).alias("deduction")) for m, fs in per.items()))
+    return {m: F.least(F.lit(1.0), sum((best(cs) for cs in fs.values()), F.lit(0.0))) for m, fs in per.items()}
+
+
+def flag_deductions(flags: DataFrame) -> DataFrame:
+    """(id, module, deduction): only modules that lose anything."""
+    totals = F.array(*(F.struct(F.lit(m).alias("module"), c.alias("deduction")) for m, c in deductions(flags.columns).items()))
     return flags.select("id", F.explode(F.filter(totals, lambda x: x["deduction"] > 0)).alias("x")).select("id", "x.module", "x.deduction")
 
 
@@ -135,72 +138,54 @@ def combined(scores: DataFrame) -> DataFrame:
     return per.select("id", final.alias("final_score"), F.round("evidence_coverage", 9).alias("evidence_coverage"), F.when(F.col("weight") > 0, "ranked").otherwise("insufficient_evidence").alias("status"), "stability")
 
 
-def global_rank(df: DataFrame, score: str, ties: list[Column], by: list[str] | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """df with rank: position from 1 by falling score (between low and high), then ties.
-
-    No single task sees all rows: the score range is cut into BUCKETS, a row's rank is what the buckets above hold plus its place in
-    its own bucket, and the table of bucket counts has BUCKETS rows at most (for each group in `by`).
+def combined_in_row(df: DataFrame, scores: Mapping[str, Column], weights: Mapping[str, Column]) -> DataFrame:
+    """df with the columns of `combined` from one column for each module (after deductions; null: no score) and its weight: the same
+    arithmetic without a row for each module, so nothing is shuffled."""
+    zero, use = F.lit(0.0), {m: F.coalesce(weights[m], F.lit(0.0)) for m in scores}
+    has = {m: (use[m] > 0) & s.isNotNull() for m, s in scores.items()}
+    add = lambda each: reduce(lambda a, b: a + b, each)
+    weighed = add(F.when(has[m], use[m] * s).otherwise(zero) for m, s in scores.items())
+    weight = add(F.when(has[m], use[m]).otherwise(zero) for m in scores)
+    share = add(has[m].cast("int") for m in scores) / add((use[m] > 0).cast("int") for m in scores)
+    out = df.withColumns({
+        "final_score": F.when(weight > 0, F.round(F.least(F.lit(1.0), weighed / weight), 9)),
+        "evidence_coverage": F.round(share, 9),
+        "status": F.when(weight > 0, "ranked").otherwise("insufficient_evidence"),
+        "stability": F.when(has["stability"], scores["stability"]),
+    })
+    return bound(out)
+
+
+def in_order(df: DataFrame, order: list[Column], stage: Callable[[DataFrame, str], DataFrame], weight: str | None = None) -> DataFrame:
+    """df with _before: the rows (or the sum of `weight`) that stand before each row in the order.
+
+    Ranges of the order are sorted by all tasks. A row's place is its place in its range plus what the ranges before it hold: one
+    number for each range. Rows are written twice, so that neither the order's bounds nor a lost task can move a row between ranges.
     """
-    by = by or []
-    width = (high - low) / BUCKETS
-    put = df.withColumn("_bucket", F.least(F.lit(BUCKETS), F.floor((F.lit(high) - F.col(score)) / width)).cast("int"))
-    sizes = put.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    above = sizes.select(*by, "_bucket", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_n")).alias("_above"))
-    place = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(F.desc(score), *ties))
-    return put.join(F.broadcast(above) if not by else above, [*by, "_bucket"]).withColumn("rank", (F.col("_above") + place).cast("long")).drop("_bucket", "_above")
+    rows = stage(df, "unordered")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stage(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "ordered")
+    n = F.lit(1) if weight is None else F.col(weight)
+    parts = placed.groupBy("_part").agg(F.sum(n).alias("_n"))
+    # A row for each range.
+    above = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_above"))
+    inside = F.col("_at") if weight is None else F.sum(weight).over(Window.partitionBy("_part").orderBy("_at")) - F.col(weight)
+    return placed.withColumn("_inside", inside).join(F.broadcast(above), "_part").withColumn("_before", F.col("_above") + F.col("_inside")).drop("_part", "_at", "_above", "_inside")
 
 
-def avg_rank_percentile(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+def global_rank(df: DataFrame, score: str, ties: list[Column], stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """df with rank: position from 1 by falling score, then ties. No task sees more than a range of the order, however scores lie."""
+    return in_order(df, [F.desc(score), *ties], stage).withColumn("rank", (F.col("_before") + 1).cast("long")).drop("_before")
+
+
+def avg_rank_percentile(df: DataFrame, value: str, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """df with percentile: 1 for the best, 0 for the worst, ties share their mean place, 0.5 alone; null without a value.
 
     Counted over distinct values, so rows that tie never meet in one task.
     """
-    by = by or []
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by)
-    below = F.sum("_n").over(w.orderBy(value)) - F.col("_n")
-    n = F.sum("_n").over(w)
-    place = sizes.select(*by, value, F.when(n < 2, 0.5).otherwise((below + (F.col("_n") - 1) / 2) / (n - 1)).alias("percentile"))
-    return df.join(place, [*by, value], "left")
-
-
-def _front(block: np.ndarray) -> np.ndarray:
-    """Rows (sorted by falling sum) that no other row dominates."""
-    kept: list[np.ndarray] = []
-    for row in block:
-        if not kept or not (np.stack(kept) >= row).all(axis=1).any():
-            kept.append(row)
-    return np.stack(kept) if kept else block
-
-
-def pareto_layers(df: DataFrame, scores: list[str], layers: int, stage) -> DataFrame:
-    """df with layer: 1 for rows that no row dominates, 2 for those that only layer 1 dominates, ... ; null beyond `layers`.
-
-    A missing score counts as 0. Equal vectors share a layer, so only distinct vectors are compared: each task keeps its own skyline,
-    skylines are merged a few at a time, and the final one leaves the table before the next layer. stage(df, name) writes a table to
-    shared storage and reads it back, which cuts the lineage.
-    """
-    full = df.withColumns({f"_s{k}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for k, c in enumerate(scores)})
-    names = [f"_s{k}" for k in range(len(scores))]
-    left = stage(full.select(*names).distinct(), "vectors")
-    schema = ", ".join(f"{n} double" for n in names)
-
-    def skyline(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.zeros((0, len(names)))
-        for f in frames:
-            rows = np.concatenate([best, f[names].to_numpy()])
-            best = _front(rows[np.lexsort((*rows.T, -rows.sum(axis=1)))])
-        if len(best):
-            yield pd.DataFrame(best, columns=names)
-
-    found = None
-    for k in range(1, layers + 1):
-        parts = left.rdd.getNumPartitions()
-        tops = left.mapInPandas(skyline, schema)
-        while parts > 1:
-            parts = -(-parts // 8)
-            tops = tops.repartition(parts).mapInPandas(skyline, schema)
-        layer = stage(tops.withColumn("layer", F.lit(k)), "layer")
-        found = layer if found is None else found.unionByName(layer)
-        left = stage(left.join(layer.select(*names), names, "left_anti"), "vectors")
-    return full.join(found, names, "left").drop(*names)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    below = in_order(sizes, [F.col(value)], stage, "_n")
+    whole = below.agg(F.max(F.col("_before") + F.col("_n")).alias("_all"))
+    share = (F.col("_before") + (F.col("_n") - 1) / 2) / (F.col("_all") - 1)
+    place = below.crossJoin(F.broadcast(whole)).select(value, F.when(F.col("_all") < 2, 0.5).otherwise(share).alias("percentile"))
+    return df.join(place, value, "left")

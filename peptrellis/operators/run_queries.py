@@ -292,8 +292,7 @@ def d39(v):
 def d40(v):
     """Mann-Whitney U from mean ranks; ranks are counted over distinct scores."""
     per = labelled(v).groupBy("amp").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
-    below = F.sum("n").over(Window.orderBy("amp")) - F.col("n")
-    ranks = per.select("p", "n", (below + (F.col("n") + 1) / 2).alias("r"))
+    ranks = R.in_order(per, [F.col("amp")], stage, "n").select("p", "n", (F.col("_before") + (F.col("n") + 1) / 2).alias("r"))
     t = ranks.agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return t.select(r6((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"))
 
@@ -310,7 +309,7 @@ def d41(v):
 
 @query("D42_topk_enrichment", _LAB + f", r AS (SELECT y, row_number() OVER (ORDER BY amp DESC, id) AS k, count(*) OVER () AS n FROM l) SELECT f, count(*) FILTER (y = 1 AND k <= ceil(f * n)) AS winners, {sql_r6('f * count(*) FILTER (y = 1)')} AS by_chance FROM r CROSS JOIN (SELECT unnest([0.05::double, 0.1::double]) AS f) GROUP BY f")
 def d42(v):
-    ranked = R.global_rank(labelled(v), "amp", [F.col("id")])
+    ranked = R.global_rank(labelled(v), "amp", [F.col("id")], stage)
     n = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("all"))
     each = ranked.crossJoin(F.broadcast(n)).select("y", "rank", "n", "all", F.explode(F.array(F.lit(0.05), F.lit(0.1))).alias("f"))
     return each.groupBy("f").agg(F.count_if((F.col("y") == 1) & (F.col("rank") <= F.ceil(F.col("f") * F.col("n")))).alias("winners"), r6(F.first("f") * F.first("all")).alias("by_chance"))

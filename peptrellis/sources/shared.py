@@ -12,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a session without one (tests) gets a local folder."""
+    """The session's checkpoint folder; only a local session without one (tests) gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")

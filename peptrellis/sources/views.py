@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scales import ALPHABET
@@ -76,9 +76,13 @@ class Views:
     def module_scores(self) -> DataFrame:
         """id, module, grp, score: ten modules, some without a score."""
         modules = self.rows(MODULES, "k int, module string, grp string")
-        score = F.expr("case when k = 6 or (id * 3 + k) % 11 = 0 then null else cast((id * 7919 + k * 104729) % 1009 as double) / 1008 end")
+        score = F.expr(_MODULE_SCORE.format(k="k"))
         return self.peptides.select("id").crossJoin(F.broadcast(modules)).select("id", "k", "module", "grp", score.alias("score"))
 
+    def module_columns(self) -> dict[str, Column]:
+        """The scores of module_scores as one expression on id for each module."""
+        return {m: F.expr(_MODULE_SCORE.format(k=k)) for k, m, _ in MODULES}
+
     @cached_property
     def member_scores(self) -> DataFrame:
         """id, member, value: five members of an ensemble."""
@@ -115,6 +119,8 @@ class Views:
         return self.peptides.select("id", "sequence", *(F.expr(p(*v)).alias(n) for n, v in PREDICTIONS.items()))
 
 
+#: The stand-in score of module number k.
+_MODULE_SCORE = "case when {k} = 6 or (id * 3 + {k}) % 11 = 0 then null else cast((id * 7919 + {k} * 104729) % 1009 as double) / 1008 end"
 #: Stand-in model outputs in [0, 1]: multiplier, offset, and of how many ids one has none.
 PREDICTIONS = {
     "solubility": (7919, 1, 13),

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from peptrellis import queries as registry
 from peptrellis.functions import descriptors as D
 from peptrellis.operators import gates as G
+from peptrellis.operators import pareto
 from peptrellis.operators import ranking as R
 from peptrellis.sources.files import read_fasta
 from peptrellis.sources.shared import stage
@@ -26,7 +27,7 @@ def test_registries_agree():
 
 def test_entry_ranks_all_candidates(spark):
     out = entry.entry(spark)
-    assert out.columns == ["id", "status", "final_score", "evidence_coverage", "rank"]
+    assert out.columns == ["id", "status", "final_score", "evidence_coverage", "rank", "pareto_rank"]
     ranks = sorted(r["rank"] for r in out.where("rank is not null").select("rank").collect())
     assert ranks == list(range(1, len(ranks) + 1))
 
@@ -58,28 +59,34 @@ def layers_by_hand(vectors):
     return [out[i] for i in range(len(vectors))]
 
 
-def test_pareto_layers(spark):
+def test_pareto_layers(spark, monkeypatch):
     golden = [(1.0, 0.0), (0.0, 1.0), (0.4, 0.4), (0.0, 0.0)]
     rng = random.Random(1)
     many = [(rng.randrange(9) / 8, rng.randrange(9) / 8) for _ in range(300)]
-    for vectors, cap in ((golden, 3), (many, 40)):
-        df = spark.createDataFrame([(i, *v) for i, v in enumerate(vectors)], "id int, a double, b double").repartition(5)
-        got = {r.id: r.layer for r in R.pareto_layers(df, ["a", "b"], cap, stage).collect()}
-        want = layers_by_hand(vectors)
-        assert [got[i] for i in range(len(vectors))] == want
     assert layers_by_hand(golden) == [1, 1, 1, 2]
+    rows = [(i, 7, *v) for i, v in enumerate(golden)] + [(100 + i, 8, *v) for i, v in enumerate(many)]
+    df = spark.createDataFrame(rows, "id int, run long, a double, b double").repartition(5)
+    want = dict(zip([r[0] for r in rows], layers_by_hand(golden) + layers_by_hand(many), strict=True))
+    # Once in one pass for each run, once peeled in blocks.
+    for most in (pareto.RUN_VECTORS, 20):
+        monkeypatch.setattr(pareto, "RUN_VECTORS", most)
+        monkeypatch.setattr(pareto, "BLOCK", 3)
+        assert {r.id: r.layer for r in pareto.pareto_layers(df, ["a", "b"], stage, by="run").collect()} == want
+    whole = {r.id: r.layer for r in pareto.pareto_layers(df.where("run = 8"), ["a", "b"], stage).collect()}
+    assert whole == {i: k for i, k in want.items() if i >= 100}
+    assert pareto.pareto_layers(df.limit(0), ["a", "b"], stage).count() == 0
 
 
 def test_missing_scores_count_as_zero_in_layers(spark):
     df = spark.createDataFrame([(1, None, 0.5), (2, 0.1, 0.5)], "id int, a double, b double")
-    assert {r.id: r.layer for r in R.pareto_layers(df, ["a", "b"], 2, stage).collect()} == {1: 2, 2: 1}
+    assert {r.id: r.layer for r in pareto.pareto_layers(df, ["a", "b"], stage).collect()} == {1: 2, 2: 1}
 
 
 def test_percentile_ranks_share_ties(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 2.0), (4, 5.0), (5, None)], "id int, x double")
-    got = {r.id: r.percentile for r in R.avg_rank_percentile(df, "x").collect()}
+    got = {r.id: r.percentile for r in R.avg_rank_percentile(df, "x", stage).collect()}
     assert got == {1: 0.0, 2: 0.5, 3: 0.5, 4: 1.0, 5: None}
-    assert R.avg_rank_percentile(df.where("id = 1"), "x").first().percentile == 0.5
+    assert R.avg_rank_percentile(df.where("id = 1"), "x", stage).first().percentile == 0.5
 
 
 def test_rank_does_not_depend_on_partitions(spark):
@@ -87,7 +94,7 @@ def test_rank_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i, round(rng.random(), 2)) for i in range(500)], "id int, s double")
     want = [r.id for r in df.orderBy(F.desc("s"), "id").collect()]
     for n in (1, 13):
-        got = R.global_rank(df.repartition(n), "s", [F.col("id")]).orderBy("rank").collect()
+        got = R.global_rank(df.repartition(n), "s", [F.col("id")], stage).orderBy("rank").collect()
         assert [r.id for r in got] == want and [r["rank"] for r in got] == list(range(1, 501))
 
 
