@@ -9,7 +9,7 @@ from ..registry import query, r6, sql_r6
 from ..sources.views import values, with_
 from . import descriptors as D
 from . import scales as S
-from .sql import WIDE, physchem, risk, scale
+from .sql import _CASE, WIDE, physchem, risk, scale
 
 _P = with_("residues", more=physchem())
 PH = [7.0, 7.4, 8.0]
@@ -25,7 +25,24 @@ def h2(v):
     return v.peptides.select("id", r6(F.round(D.net_charge(), 9)).alias("net_charge"))
 
 
-@query("H3_isoelectric_point")
+def _zero_charge_sql(steps=60):
+    """Bisection in SQL: the charge at the middle of each step's interval, from residue counts."""
+    counts = ", ".join(f"count(*) FILTER (aa = '{a}') AS n{a}" for a in (*S.PK_POSITIVE, *S.PK_NEGATIVE))
+    first, last = (_CASE(f"any_value({x}(sequence, 1))", t, d) for x, t, d in (("left", S.PK_N_TERM_OF, S.PK_N_TERM), ("right", S.PK_C_TERM_OF, S.PK_C_TERM)))
+    plus = [f"n{a} / (1 + pow(10, mid - {pk}))" for a, pk in S.PK_POSITIVE.items()] + ["1 / (1 + pow(10, mid - pk1))"]
+    minus = [f"n{a} / (1 + pow(10, {pk} - mid))" for a, pk in S.PK_NEGATIVE.items()] + ["1 / (1 + pow(10, pk2 - mid))"]
+    charge = f"({' + '.join(plus)}) - ({' + '.join(minus)})"
+    return (
+        with_("residues").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+        + f""", cnt AS MATERIALIZED (SELECT id, {counts}, {first} AS pk1, {last} AS pk2 FROM residues JOIN peptides USING (id) GROUP BY id),
+b(id, step, low, high) AS (SELECT id, 0, 0.0::double, 14.0::double FROM cnt
+    UNION ALL SELECT id, step + 1, CASE WHEN q > 0 THEN mid ELSE low END, CASE WHEN q > 0 THEN high ELSE mid END
+    FROM (SELECT b.*, (low + high) / 2 AS mid, {charge} AS q FROM b JOIN cnt USING (id)) WHERE step < {steps})
+SELECT id, {sql_r6("(low + high) / 2")} AS isoelectric_point FROM b WHERE step = {steps}"""
+    )
+
+
+@query("H3_isoelectric_point", _zero_charge_sql())
 def h3(v):
     return v.peptides.select("id", r6(D.isoelectric_point()).alias("isoelectric_point"))
 
@@ -178,21 +195,74 @@ def h24(v):
     return _lagged(v, 1).groupBy("id").agg(r6(F.avg(F.col("h1") * F.col("h1_1"))).alias("tau_h1"), r6(F.avg(F.col("h2") * F.col("h2_1"))).alias("tau_h2"))
 
 
-@query("H25_qso_soc", with_("residues", more=f"s AS (SELECT id, pos, h1, m FROM residues JOIN {_STD_SQL} t USING (aa)), l AS (SELECT a.id, (a.h1-b.h1)*(a.h1-b.h1) AS d1, (a.m-b.m)*(a.m-b.m) AS d2 FROM s a JOIN s b ON a.id = b.id AND b.pos = a.pos + 1), t AS (SELECT id, sum(d1) AS t1, sum(d2) AS t2 FROM l GROUP BY id), c AS (SELECT id, aa, count(*) * 1.0 / any_value(n) AS f FROM residues JOIN (SELECT id, count(*) AS n FROM residues GROUP BY id) USING (id) GROUP BY id, aa)") + f"SELECT id, aa, {sql_r6('t1')} AS soc1, {sql_r6('t2')} AS soc2, {sql_r6('f / (1 + 0.1 * t1)')} AS qso1, {sql_r6('f / (1 + 0.1 * t2)')} AS qso2 FROM c JOIN t USING (id)")
+#: Lags of the sequence-order couplings and of the autocorrelations.
+LAGS = (1, 2, 3, 4, 5)
+_MAXLAG_SQL = f"(SELECT unnest({list(LAGS)}) AS lag)"
+
+
+def _in_row(v, scales):
+    """id, sequence and an array of each scale's values: lags stay inside the row."""
+    return v.peptides.select("id", "sequence", *(D.profile(s).alias(n) for n, s in scales.items()))
+
+
+def _lag_sum(one, lag, term, two=None):
+    """Sum of term(x, y) over pairs of values lag apart, inside the row; null where the sequence is too short."""
+    two = one if two is None else two
+    n = F.size(one) - lag
+    pairs = F.zip_with(F.slice(one, F.lit(1), F.greatest(n, F.lit(0))), F.slice(two, F.lit(lag + 1), F.greatest(n, F.lit(0))), term)
+    return F.when(n > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x))
+
+
+@query(
+    "H25_qso_soc",
+    with_("residues", more=f"""s AS MATERIALIZED (SELECT id, pos, h1, m FROM residues JOIN {_STD_SQL} t USING (aa)),
+t AS (SELECT a.id, lag, sum((a.h1 - b.h1) * (a.h1 - b.h1)) AS t1, sum((a.m - b.m) * (a.m - b.m)) AS t2 FROM s a CROSS JOIN {_MAXLAG_SQL} g JOIN s b ON a.id = b.id AND b.pos = a.pos + lag GROUP BY ALL),
+w AS (SELECT id, 1 + 0.1 * sum(t1) AS w1, 1 + 0.1 * sum(t2) AS w2 FROM t GROUP BY id),
+n AS (SELECT id, count(*) AS n FROM residues GROUP BY id),
+c AS (SELECT id, aa, count(*) * 1.0 / any_value(n) AS f FROM residues JOIN n USING (id) GROUP BY id, aa)""")
+    + f"""SELECT id, 'soc_' || lag AS feature, {sql_r6("t1 / (n - lag)")} AS by_h1, {sql_r6("t2 / (n - lag)")} AS by_m FROM t JOIN n USING (id)
+UNION ALL SELECT id, 'qso_lag_' || lag, {sql_r6("0.1 * t1 / w1")}, {sql_r6("0.1 * t2 / w2")} FROM t JOIN w USING (id)
+UNION ALL SELECT id, 'qso_' || aa, {sql_r6("f / w1")}, {sql_r6("f / w2")} FROM c JOIN w USING (id)""",
+)
 def h25(v):
-    soc = _lagged(v, 1).groupBy("id").agg(F.sum(F.pow(F.col("h1") - F.col("h1_1"), 2)).alias("t1"), F.sum(F.pow(F.col("m") - F.col("m_1"), 2)).alias("t2"))
-    each = v.peptides.select("id", F.explode(F.array(*(F.struct(F.lit(a).alias("aa"), (D.count_of(a) / F.length("sequence")).alias("f")) for a in S.ALPHABET))).alias("x")).select("id", "x.aa", "x.f").where("f > 0")
-    return each.join(soc, "id").select("id", "aa", r6("t1").alias("soc1"), r6("t2").alias("soc2"), r6(F.col("f") / (1 + 0.1 * F.col("t1"))).alias("qso1"), r6(F.col("f") / (1 + 0.1 * F.col("t2"))).alias("qso2"))
+    """Coupling numbers of each lag over two distances (their means), and quasi-sequence-order shares of lags and residues."""
+    rows = _in_row(v, {"h1": _STD["h1"], "m": _STD["m"]})
+    square = lambda x, y: (x - y) * (x - y)
+    sums = rows.select("id", "sequence", *(F.array(*(_lag_sum(F.col(c), k, square) for k in LAGS)).alias(c) for c in ("h1", "m"))).where("h1[0] is not null")
+    whole = lambda c: 1 + 0.1 * F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    sums = D.bound(sums.withColumn("w1", whole("h1")).withColumn("w2", whole("m")))
+    n = F.length("sequence")
+    feature = lambda name, one, two: F.struct(F.lit(name).alias("feature"), one.alias("by_h1"), two.alias("by_m"))
+    soc = [feature(f"soc_{k}", F.col("h1")[k - 1] / (n - k), F.col("m")[k - 1] / (n - k)) for k in LAGS]
+    lags = [feature(f"qso_lag_{k}", 0.1 * F.col("h1")[k - 1] / F.col("w1"), 0.1 * F.col("m")[k - 1] / F.col("w2")) for k in LAGS]
+    each = [feature(f"qso_{a}", F.when(D.count_of(a) > 0, D.count_of(a) / n / F.col("w1")), D.count_of(a) / n / F.col("w2")) for a in S.ALPHABET]
+    out = sums.select("id", F.explode(F.array(*soc, *lags, *each)).alias("x")).where("x.by_h1 is not null")
+    return out.select("id", "x.feature", r6("x.by_h1").alias("by_h1"), r6("x.by_m").alias("by_m"))
 
 
-@query("H26_autocorrelation", with_("residues", more=f"s AS (SELECT id, pos, h1, avg(h1) OVER (PARTITION BY id) AS u, var_pop(h1) OVER (PARTITION BY id) AS var FROM residues JOIN {_STD_SQL} t USING (aa)), l AS (SELECT a.id, a.var, avg(a.h1*b.h1) AS ats, avg((a.h1-a.u)*(b.h1-a.u)) AS cov, avg((a.h1-b.h1)*(a.h1-b.h1)) AS sq, any_value(n) AS n FROM s a JOIN s b ON a.id = b.id AND b.pos = a.pos + 1 JOIN (SELECT id, count(*) AS n FROM residues GROUP BY id) c ON c.id = a.id GROUP BY a.id, a.var)") + f"SELECT id, {sql_r6('ats')} AS moreau_broto, CASE WHEN var > 1e-12 THEN {sql_r6('cov / var')} END AS moran, CASE WHEN var > 1e-12 THEN {sql_r6('sq / 2 / (var * n / (n - 1))')} END AS geary FROM l")
+_AUTO = {"h1": _STD["h1"], "h2": _STD["h2"], "m": _STD["m"], **S.SCALES}
+_AUTO_SQL = values([(n, a, float(s[a])) for n, s in _AUTO.items() for a in S.ALPHABET], "property, aa, h")
+
+
+@query(
+    "H26_autocorrelation",
+    with_("residues", more=f"""s AS MATERIALIZED (SELECT id, property, pos, h, avg(h) OVER w AS u, var_pop(h) OVER w AS var, count(*) OVER w AS n FROM residues JOIN {_AUTO_SQL} t USING (aa) WINDOW w AS (PARTITION BY id, property)),
+l AS (SELECT a.id, a.property, lag, any_value(a.var) AS var, any_value(a.n) AS n, avg(a.h * b.h) AS ats, avg((a.h - a.u) * (b.h - a.u)) AS cov, avg((a.h - b.h) * (a.h - b.h)) AS sq FROM s a CROSS JOIN {_MAXLAG_SQL} g JOIN s b ON a.id = b.id AND a.property = b.property AND b.pos = a.pos + lag GROUP BY ALL)""")
+    + f"SELECT id, property, lag, {sql_r6('ats')} AS moreau_broto, CASE WHEN var > 1e-12 THEN {sql_r6('cov / var')} END AS moran, CASE WHEN var > 1e-12 THEN {sql_r6('sq / 2 / (var * n / (n - 1))')} END AS geary FROM l",
+)
 def h26(v):
-    w = Window.partitionBy("id")
-    table = v.rows([(a, _STD["h1"][a]) for a in S.ALPHABET], "aa string, h double")
-    each = v.residues.join(F.broadcast(table), "aa").select("id", "h", F.avg("h").over(w).alias("u"), F.var_pop("h").over(w).alias("var"), F.count(F.lit(1)).over(w).alias("n"), F.lead("h").over(w.orderBy("pos")).alias("g"))
-    per = each.where("g is not null").groupBy("id").agg(F.avg(F.col("h") * F.col("g")).alias("ats"), F.avg((F.col("h") - F.col("u")) * (F.col("g") - F.col("u"))).alias("cov"), F.avg(F.pow(F.col("h") - F.col("g"), 2)).alias("sq"), F.first("var").alias("var"), F.first("n").alias("n"))
+    """Moreau-Broto, Moran and Geary autocorrelations of each property and lag, inside the row; a constant profile has no Moran or
+    Geary."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    each = F.array(*(F.struct(F.lit(n).alias("property"), D.profile(s).alias("h")) for n, s in _AUTO.items()))
+    rows = v.peptides.select("id", F.explode(each).alias("x")).select("id", "x.property", "x.h").withColumn("n", F.size("h")).withColumn("u", total(F.col("h")) / F.col("n"))
+    rows = D.bound(rows.withColumn("d", F.transform("h", lambda x: x - F.col("u"))).withColumn("var", total(F.transform("d", lambda x: x * x)) / F.col("n")))
+    size = lambda k: F.col("n") - k
+    lagged = [F.struct(F.lit(k).alias("lag"), (_lag_sum(F.col("h"), k, lambda x, y: x * y) / size(k)).alias("ats"), (_lag_sum(F.col("d"), k, lambda x, y: x * y) / size(k)).alias("cov"), (_lag_sum(F.col("h"), k, lambda x, y: (x - y) * (x - y)) / size(k)).alias("sq")) for k in LAGS]
+    per = rows.select("id", "property", "n", "var", F.explode(F.array(*lagged)).alias("x")).where("x.ats is not null").select("id", "property", "n", "var", "x.*")
     some = F.col("var") > 1e-12
-    return per.select("id", r6("ats").alias("moreau_broto"), F.when(some, r6(F.col("cov") / F.col("var"))).alias("moran"), F.when(some, r6(F.col("sq") / 2 / (F.col("var") * F.col("n") / (F.col("n") - 1)))).alias("geary"))
+    geary = F.col("sq") / 2 / (F.col("var") * F.col("n") / (F.col("n") - 1))
+    return per.select("id", "property", "lag", r6("ats").alias("moreau_broto"), F.when(some, r6(F.col("cov") / F.col("var"))).alias("moran"), F.when(some, r6(geary)).alias("geary"))
 
 
 _ATOM_SQL = values([(a, *S.ATOMS[a]) for a in S.ALPHABET], "aa, c, h, n, o, s")
@@ -204,10 +274,25 @@ def h27(v):
     return v.peptides.select("id", *(s.alias(x) for x, s in sums.items())).select("id", *(r6(F.col(x) * 100.0 / F.expr("c + h + n + o + s")).alias(x) for x in "chnos"))
 
 
-@query("H28_property_means", with_("residues") + f"SELECT id, {_CLASS_SQL}, {', '.join(sql_r6(f'avg({c})') + f' AS mean_{c}' for c in ('mass', 'eis', 'kd', 'boman'))} FROM residues JOIN {WIDE} w USING (aa) GROUP BY id")
+#: Thirty residue properties: classes and groups (1 for members, else 0), and scales.
+_PROPERTIES = {
+    **S.CLASSES, **{f"group_{n}": ls for n, ls in S.GROUPS.items()}, **{f"ctd_{p}_{k}": ls for p in ("charge", "polarizability", "secondary_structure") for k, ls in enumerate(S.CTD[p], 1)},
+}
+_PROPERTY_SCALES = {"mass": S.MASS, "eis": S.EISENBERG, "kd": S.KYTE_DOOLITTLE, "boman": S.BOMAN, "h1": _STD["h1"], "h2": _STD["h2"], "side_mass": _STD["m"], "sulfur": {a: S.ATOMS[a][4] for a in S.ALPHABET}}
+_IS_SQL = {n: f"CASE WHEN aa IN ({', '.join(repr(a) for a in ls)}) THEN 1.0 ELSE 0.0 END" for n, ls in _PROPERTIES.items()}
+
+
+@query(
+    "H28_property_means",
+    with_("residues", more=f"wide AS ({' UNION ALL '.join(f'SELECT {chr(39)}{a}{chr(39)} AS aa, ' + ', '.join(f'{float(s[a])} AS s_{n}' for n, s in _PROPERTY_SCALES.items()) for a in S.ALPHABET)})")
+    + f"SELECT id, {', '.join(sql_r6(f'avg({e})') + f' AS {n}' for n, e in _IS_SQL.items())}, {', '.join(sql_r6(f'avg(s_{n})') + f' AS mean_{n}' for n in _PROPERTY_SCALES)} FROM residues JOIN wide USING (aa) GROUP BY id",
+)
 def h28(v):
-    scales = {"mass": S.MASS, "eis": S.EISENBERG, "kd": S.KYTE_DOOLITTLE, "boman": S.BOMAN}
-    return v.peptides.select("id", *(r6(D.count_of(ls) / F.length("sequence")).alias(n) for n, ls in S.CLASSES.items()), *(r6(D.mean_of(s)).alias(f"mean_{n}") for n, s in scales.items()))
+    counts = v.peptides.select("id", "sequence", *(D.count_of(a).alias(f"n_{a}") for a in S.ALPHABET))
+    n = F.length("sequence")
+    mean = lambda weights: sum((F.col(f"n_{a}") * F.lit(float(w)) for a, w in weights.items()), F.lit(0.0)) / n
+    classes = [r6(mean(dict.fromkeys(ls, 1.0))).alias(name) for name, ls in _PROPERTIES.items()]
+    return D.bound(counts).select("id", *classes, *(r6(mean(s)).alias(f"mean_{name}") for name, s in _PROPERTY_SCALES.items()))
 
 
 @query("H29_shannon_entropy", with_("residues", more="c AS (SELECT id, aa, count(*) AS n FROM residues GROUP BY ALL), p AS (SELECT id, n * 1.0 / sum(n) OVER (PARTITION BY id) AS p FROM c)") + f"SELECT id, {sql_r6('-sum(p * log2(p))')} AS entropy FROM p GROUP BY id")

@@ -85,12 +85,22 @@ def b6(v):
     return D.physchem(v.peptides).select("id", G.solubility_flag().alias("solubility_flag"))
 
 
-@query("B7_threshold_merge", "SELECT * FROM (VALUES ('Candida_albicans', 32.0), ('Pseudomonas_aeruginosa', 8.0), ('Staphylococcus_aureus', 32.0)) AS t(organism, limit_um)")
+#: Limits of the organisms that a run may override.
+LIMITS = [("Candida_albicans", 32.0), ("Pseudomonas_aeruginosa", 32.0), ("Staphylococcus_aureus", 32.0)]
+_OVERRIDDEN = [*(n for n, _ in LIMITS), "Unknown_species"]
+
+
+@query(
+    "B7_threshold_merge",
+    f"SELECT doc_id AS run, organism, coalesce(r, d) AS limit_um FROM documents CROSS JOIN {values(LIMITS, 'organism, d')} t LEFT JOIN (SELECT doc_id, organism, (doc_id * 13 + k) % 29 + 1.0 AS r FROM documents JOIN {values(list(enumerate(_OVERRIDDEN)), 'k, organism')} o ON k IN (doc_id % 5, doc_id % 7)) p USING (doc_id, organism)",
+)
 def b7(v):
-    """Run parameters override the defaults key by key; keys that the defaults don't know are dropped."""
-    defaults = v.rows([("Pseudomonas_aeruginosa", 32.0), ("Staphylococcus_aureus", 32.0), ("Candida_albicans", 32.0)], "organism string, d double")
-    run = v.rows([("Pseudomonas_aeruginosa", 8.0), ("Unknown_species", 1.0)], "organism string, r double")
-    return defaults.join(F.broadcast(run), "organism", "left").select("organism", F.coalesce("r", "d").alias("limit_um"))
+    """Each run's parameters (here a document's) override the defaults key by key; keys that the defaults don't know are dropped."""
+    names = F.broadcast(v.rows(list(enumerate(_OVERRIDDEN)), "k long, organism string"))
+    runs = v.table("documents").select("doc_id")
+    given = runs.join(names, F.col("k").isin(F.col("doc_id") % 5, F.col("doc_id") % 7)).select("doc_id", "organism", ((F.col("doc_id") * 13 + F.col("k")) % 29 + 1.0).alias("r"))
+    grid = runs.crossJoin(F.broadcast(v.rows(LIMITS, "organism string, d double")))
+    return grid.join(given, ["doc_id", "organism"], "left").select(F.col("doc_id").alias("run"), "organism", F.coalesce("r", "d").alias("limit_um"))
 
 
 def _gate(name, checks, source, sql_source):

@@ -13,8 +13,10 @@ from ..functions import descriptors as D
 from ..functions import scales as S
 from ..functions.sql import WIDE
 from ..registry import query, r6, sql_r6
+from ..sources.shared import stage
 from ..sources.views import values, with_
 from . import gates as G
+from . import library as L
 from . import synthesis as Y
 
 _BLOCK_AT = {"d_amino_acid": 4, "lipid_tail": 6, "peg_chain": 11, "cyclic": 9}
@@ -193,12 +195,22 @@ def l4(v):
     return v.peptides.select("id", F.rpad(kept, F.greatest(F.lit(12), F.length(kept)), F.expr(f"substr({_A}, cast(id % 20 + 1 as int), 1)")).alias("repaired"))
 
 
-@query("L5_crossover_pairs", with_("seeds", more="p AS (SELECT id // 1000000 AS item, id % 1000000 AS slot, sequence FROM seeds)") + "SELECT a.item, a.slot, left(a.sequence, length(a.sequence) // 2) || substr(b.sequence, length(b.sequence) // 2 + 1) AS one, left(b.sequence, length(b.sequence) // 2) || substr(a.sequence, length(a.sequence) // 2 + 1) AS two FROM p a JOIN p b ON a.slot = b.slot AND b.item = a.item + 1")
+_CUT = "cast(({0}.item * 31 + {0}.slot * 17 + {1}) % greatest(length({0}.sequence) - 1, 1) + 1 as int)"
+
+
+@query(
+    "L5_crossover_pairs",
+    with_("seeds", more="p AS (SELECT id // 1000000 AS item, id % 1000000 AS slot, sequence FROM seeds)")
+    + f"""SELECT a.item, a.slot, left(a.sequence, {_CUT.format('a', 5)}) || substr(b.sequence, {_CUT.format('b', 3)} + 1) AS one,
+left(b.sequence, {_CUT.format('b', 3)}) || substr(a.sequence, {_CUT.format('a', 5)} + 1) AS two FROM p a JOIN p b ON a.slot = b.slot AND b.item = a.item + 1""",
+)
 def l5(v):
+    """Two children of each pair, cut at a point of each parent's own."""
     p = v.seeds.selectExpr("id div 1000000 as item", "id % 1000000 as slot", "sequence")
     a, b = p.alias("a"), p.alias("b")
     pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("b.item") == F.col("a.item") + 1))
-    return pairs.selectExpr("a.item", "a.slot", "concat(left(a.sequence, length(a.sequence) div 2), substr(b.sequence, int(length(b.sequence) div 2) + 1)) as one", "concat(left(b.sequence, length(b.sequence) div 2), substr(a.sequence, int(length(a.sequence) div 2) + 1)) as two")
+    one, two = _CUT.format("a", 5), _CUT.format("b", 3)
+    return pairs.selectExpr("a.item", "a.slot", f"concat(left(a.sequence, {one}), substr(b.sequence, {two} + 1)) as one", f"concat(left(b.sequence, {two}), substr(a.sequence, {one} + 1)) as two")
 
 
 @query("L6_tournament_select", with_("predictions", more="p AS (SELECT id // 1000000 AS pop, row_number() OVER (PARTITION BY id // 1000000 ORDER BY id) - 1 AS k, id, coalesce(amp, -10) AS fit FROM predictions), n AS (SELECT pop, count(*) AS n FROM p GROUP BY pop), d AS (SELECT pop, slot, draw, (pop * 7919 + slot * 104729 + draw * 1299709) % n AS k FROM n CROSS JOIN (SELECT unnest(range(0, 4)) AS slot) CROSS JOIN (SELECT unnest(range(0, 3)) AS draw))") + "SELECT pop, slot, arg_max(id, fit * 1e9 - id % 1000000) AS winner FROM d JOIN p USING (pop, k) GROUP BY pop, slot")
@@ -244,19 +256,32 @@ def l9(v):
 
 @query("L10_generation_round")
 def l10(v):
-    """One round per parent: attempts, constraint, distinct and unseen, scored, the best three stay."""
-    made = _tries(v).where("pass").select("id", F.col("variant").alias("sequence")).distinct().join(v.seeds.select("sequence").distinct(), "sequence", "left_anti")
-    scored = made.withColumn("fitness", D.hydrophobicity() - F.abs(D.net_charge() - 3) / 10)
-    w = Window.partitionBy("id").orderBy(F.desc("fitness"), "sequence")
-    return scored.withColumn("place", F.row_number().over(w)).where("place <= 3").withColumn("generation", F.lit(1))
+    """Three rounds of generation from the reference panel, by family."""
+    start = v.seeds.selectExpr("id div 1000000 as family", "sequence")
+    return L.generations(start, 3, stage).select("family", "generation", "sequence", r6("fitness").alias("fitness"))
+
+
+_SHUFFLED = "(id % 1000003 * 7919 + copy * 104729 + i * 1299709) % 1000003"
 
 
-@query("L11_scrambled_controls")
+@query(
+    "L11_scrambled_controls",
+    with_("seeds", "seed_residues", "peptides", more=f"""k AS (SELECT unnest(range(1, 4)) AS copy),
+m AS (SELECT id, copy, pos AS i, aa, {_SHUFFLED.replace(" i ", " pos ")} AS h FROM seed_residues CROSS JOIN k),
+w AS (SELECT id, length(sequence) AS n FROM seeds),
+d AS (SELECT length(sequence) AS n, id AS decoy, sequence, row_number() OVER (PARTITION BY length(sequence) ORDER BY id % 1000003 * 7919 % 1000003, id) AS k FROM peptides),
+s AS (SELECT id, n, row_number() OVER (PARTITION BY n ORDER BY id) AS k FROM w),
+t AS (SELECT n, max(k) AS many FROM d GROUP BY n)""")
+    + """SELECT id, 'scrambled' AS kind, copy, string_agg(aa, '' ORDER BY h, i) AS sequence FROM m GROUP BY id, copy
+UNION ALL SELECT s.id, 'decoy', 0, d.sequence FROM s JOIN t USING (n) JOIN d ON d.n = s.n AND d.k = (s.k - 1) % many + 1""",
+)
 def l11(v):
-    """Three copies of each parent with residues in the order of a hash."""
+    """Three copies of each parent with residues in the order of a hash, and one random candidate of the parent's length."""
     each = v.seeds.select("id", "sequence", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("copy"))
-    mixed = F.array_sort(F.transform(F.split("sequence", ""), lambda a, i: F.struct(F.xxhash64(F.col("id"), F.col("copy"), i).alias("h"), a.alias("a"))))
-    return each.select("id", "copy", F.array_join(F.transform(mixed, lambda x: x["a"]), "").alias("sequence"))
+    order = (F.col("id") % 1000003 * 7919 + F.col("copy") * 104729)
+    mixed = F.array_sort(F.transform(F.split("sequence", ""), lambda a, i: F.struct(((order + i * 1299709) % 1000003).alias("h"), i.alias("i"), a.alias("a"))))
+    scrambled = each.select("id", F.lit("scrambled").alias("kind"), F.col("copy").cast("long").alias("copy"), F.array_join(F.transform(mixed, lambda x: x["a"]), "").alias("sequence"))
+    return scrambled.unionByName(L.decoys(v.seeds, v.peptides).withColumn("kind", F.lit("decoy")).withColumn("copy", F.lit(0).cast("long")))
 
 
 @query("L12_window_library", "WITH c AS (SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS c FROM documents), w AS (SELECT doc_id, substr(c, p, 12) AS s FROM (SELECT doc_id, c, unnest(range(1, length(c) - 10)) AS p FROM c)) SELECT doc_id, count(*) AS windows, count(DISTINCT s) AS distinct_windows FROM w GROUP BY doc_id")
@@ -278,25 +303,40 @@ def c15(v):
     return reach.join(y, hit).groupBy("x.id").agg(F.count(F.lit(1)).alias("dominated_by"))
 
 
-@query("C16_nearest_neighbour_distance", with_("seeds") + f"SELECT a.id, {sql_r6('min(levenshtein(a.sequence, b.sequence) * 1.0 / greatest(length(a.sequence), length(b.sequence)))')} AS distance FROM seeds a JOIN seeds b ON a.sequence <> b.sequence GROUP BY a.id")
+@query("C16_nearest_neighbour_distance", with_("seeds") + f"SELECT a.id, {sql_r6('coalesce(min(levenshtein(a.sequence, b.sequence) * 1.0 / greatest(length(a.sequence), length(b.sequence))), 0.0)')} AS distance FROM seeds a LEFT JOIN seeds b ON a.sequence <> b.sequence GROUP BY a.id")
 def c16(v):
-    """Each member's distance to the nearest other one of the reference panel, which is dealt out in blocks against all rows."""
-    s = v.seeds.distinct()
-    a, b = s.repartition("id").alias("a"), s.alias("b")
-    gap = F.levenshtein("a.sequence", "b.sequence") / F.greatest(F.length("a.sequence"), F.length("b.sequence"))
-    return a.join(b, F.col("a.sequence") != F.col("b.sequence")).groupBy("a.id").agg(r6(F.min(gap)).alias("distance"))
+    """Each member's distance to the nearest other one of the reference panel; 0 without another.
+
+    What shares its first two residues gives a bound. Lengths then exclude whoever must be farther: a text of another length differs
+    by as many edits at least. The rest is compared in blocks of lengths, from distinct sequences.
+    """
+    distinct = stage(v.seeds.select("sequence").distinct().withColumn("n", F.length("sequence")), "panel")
+    gap = F.levenshtein("sequence", "other") / F.greatest("n", "m")
+    other = distinct.select(F.col("sequence").alias("other"), F.col("n").alias("m"))
+    alike = distinct.join(other, F.substring("sequence", 1, 2) == F.substring("other", 1, 2)).where("sequence <> other")
+    bound_ = distinct.join(alike.groupBy("sequence").agg(F.min(gap).alias("bound")), "sequence", "left").withColumn("bound", F.coalesce("bound", F.lit(1.0)))
+    # |n - m| / max(n, m) <= bound: lengths from n (1 - bound) to n / (1 - bound).
+    lengths = F.broadcast(distinct.select(F.col("n").alias("m")).distinct())
+    reach = stage(bound_, "bounds").join(lengths, F.abs(F.col("n") - F.col("m")) <= F.col("bound") * F.greatest("n", "m") + 1e-9)
+    near = reach.join(other, "m").where("sequence <> other").groupBy("sequence").agg(F.min(gap).alias("distance"))
+    return v.seeds.join(near, "sequence", "left").select("id", r6(F.coalesce("distance", F.lit(0.0))).alias("distance"))
 
 
 @query("C18_lineage_join", "WITH RECURSIVE up AS (SELECT doc_id, doc_id // 2 AS ancestor, 1 AS depth FROM documents WHERE doc_id > 0 UNION ALL SELECT doc_id, ancestor // 2, depth + 1 FROM up WHERE ancestor > 0) SELECT doc_id, ancestor, depth FROM up")
 def c18(v):
     """All ancestors of each variant (here variant n descends from n div 2), by joining the lineage with itself in doubling steps."""
-    steps = v.table("documents").where("doc_id > 0").selectExpr("doc_id", "doc_id div 2 as ancestor", "1 as depth")
-    known, jump, size = steps, steps, 1
-    for _ in range(6):
-        more = known.alias("k").join(jump.alias("j"), F.col("k.ancestor") == F.col("j.doc_id")).where(F.col("j.depth") == size).selectExpr("k.doc_id", "j.ancestor", "k.depth + j.depth as depth")
+    steps = stage(v.table("documents").where("doc_id > 0").selectExpr("doc_id", "doc_id div 2 as ancestor", "1 as depth"), "lineage")
+    known, jump = steps, steps
+    # Each step doubles the depth that is known: it stops when no lineage is that deep.
+    while True:
+        more = known.alias("k").join(jump.alias("j"), F.col("k.ancestor") == F.col("j.doc_id")).selectExpr("k.doc_id", "j.ancestor", "k.depth + j.depth as depth")
+        more = stage(more, "lineage")
+        deepest = more.agg(F.max("depth")).first()[0]
+        if deepest is None:
+            return known.select("doc_id", "ancestor", "depth")
         known = known.unionByName(more)
-        jump, size = known.where(F.col("depth") == 2 * size), 2 * size
-    return known.select("doc_id", "ancestor", "depth")
+        # Only the longest jumps of this step carry on; a shorter lineage is known in full.
+        jump = more.where(F.col("depth") == 2 * jump.agg(F.max("depth")).first()[0])
 
 
 # Scorers.
@@ -313,12 +353,18 @@ def score_distinct(df, scorer, column="sequence", name="score"):
     return df.join(some, column, "left")
 
 
-@query("K1_batch_scorer")
+_TOY_SQL = "(length({0}) - length(translate({0}, 'KR', ''))) * 1.0 / greatest(length({0}), 1) * 0.8 + 0.1"
+
+
+@query("K1_batch_scorer", with_("peptides") + f"SELECT id, {sql_r6(_TOY_SQL.format('sequence'))} AS score FROM peptides")
 def k1(v):
-    return score_distinct(v.peptides, _toy).select("id", "score")
+    return score_distinct(v.peptides, _toy).select("id", r6("score").alias("score"))
+
+
+_SHARE_SQL = "5 + (length(sequence) - length(translate(sequence, '{0}', ''))) * 1.0 / greatest(length(sequence), 1)"
 
 
-@query("K2_multi_output_scorer")
+@query("K2_multi_output_scorer", with_("peptides") + f"SELECT id, {sql_r6(_SHARE_SQL.format('KR'))} AS glp1r, {sql_r6(_SHARE_SQL.format('DE'))} AS gipr FROM peptides")
 def k2(v):
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -326,16 +372,18 @@ def k2(v):
             yield pd.DataFrame({"sequence": f["sequence"], "glp1r": 5 + f["sequence"].str.count("[KR]") / n, "gipr": 5 + f["sequence"].str.count("[DE]") / n})
 
     some = v.peptides.select("sequence").distinct().mapInPandas(score, "sequence string, glp1r double, gipr double")
-    return v.peptides.join(some, "sequence").select("id", "glp1r", "gipr")
+    return v.peptides.join(some, "sequence").select("id", r6("glp1r").alias("glp1r"), r6("gipr").alias("gipr"))
 
 
-@query("K3_pair_scorer")
+@query("K3_pair_scorer", with_("peptides", "seeds") + f"SELECT p.id, s.id AS target, {sql_r6('(' + _TOY_SQL.format('p.sequence') + ') * (' + _TOY_SQL.format('s.sequence') + ')')} AS score FROM peptides p JOIN seeds s ON right(p.sequence, 3) = right(s.sequence, 3)")
 def k3(v):
-    """(target, binder) pairs: each distinct side is encoded once, then two equi joins."""
-    targets = v.seeds.select(F.col("id").alias("target"), F.col("sequence").alias("t")).where("target % 1000000 = 0").withColumn("k", F.expr("target div 1000000"))
-    pairs = v.peptides.select("id", "sequence", F.expr("id div 1000000").alias("k")).join(F.broadcast(targets), "k")
-    side = lambda c, n: pairs.select(F.col(c).alias(n)).distinct().withColumn(f"{n}_q", _toy(n))
-    return pairs.join(side("sequence", "b").withColumnRenamed("b", "sequence"), "sequence").join(side("t", "a").withColumnRenamed("a", "t"), "t").select("id", "target", (F.col("b_q") * F.col("a_q")).alias("score"))
+    """(target, binder) pairs of a pair table (here whatever ends alike): each distinct side is encoded once, then two equi joins."""
+    end = lambda c: F.expr(f"right({c}, 3)")
+    targets = v.seeds.select(F.col("id").alias("target"), F.col("sequence").alias("t"), end("sequence").alias("k"))
+    pairs = v.peptides.select("id", "sequence", end("sequence").alias("k")).join(targets, "k").drop("k")
+    one = v.peptides.select("sequence").distinct().withColumn("b_q", _toy("sequence"))
+    two = v.seeds.select(F.col("sequence").alias("t")).distinct().withColumn("a_q", _toy("t"))
+    return pairs.join(one, "sequence").join(two, "t").select("id", "target", r6(F.col("b_q") * F.col("a_q")).alias("score"))
 
 
 @query("K4_linear_scorer", f"SELECT vec_id, {sql_r6('1 / (1 + exp(-(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::double - 0.01) / 0.5 * (0.1 - 0.001 * i))) + 0.2)))')} AS p FROM embeddings")

@@ -255,7 +255,12 @@ def e5(v):
     u = v.predictions.where("amp is not null").groupBy("sequence").agg(F.min("id").alias("id"), F.max("amp").alias("fit"))
     f = u.withColumn("family", F.expr("id div 1000000")).withColumn("pop", F.col("family") % 17)
     fit = [F.desc("fit"), F.col("id")]
-    e = f.withColumn("rn", F.row_number().over(Window.partitionBy("pop").orderBy(*fit))).withColumn("slot", F.row_number().over(Window.partitionBy("pop", "family").orderBy(*fit)))
+    f = f.withColumn("slot", F.row_number().over(Window.partitionBy("pop", "family").orderBy(*fit)))
+    # Whoever can survive is among the 44 fittest of its population, or of those with a place in their family: each of 64 deals of a
+    # population keeps so many, and only they meet.
+    deal = Window.partitionBy("pop", F.pmod(F.hash("id"), F.lit(64)), F.col("slot") <= 3).orderBy(*fit)
+    f = f.withColumn("near", F.row_number().over(deal)).where("near <= 44").drop("near")
+    e = f.withColumn("rn", F.row_number().over(Window.partitionBy("pop").orderBy(*fit)))
     c = e.withColumn("class", F.when(F.col("rn") <= 4, 0).when(F.col("slot") <= 3, 1).otherwise(2))
     return c.withColumn("place", F.row_number().over(Window.partitionBy("pop").orderBy("class", *fit))).where("place <= 40").select("id", "pop", "class")
 
@@ -296,12 +301,12 @@ def d14(v):
     return v.member_scores.select("id", p.alias("p")).groupBy("id").agg(r6(1 / (1 + F.exp(-F.avg(F.log(F.col("p") / (1 - F.col("p"))))))).alias("p"))
 
 
-_BAGS = [(b, 0.5 + b * 0.01, -0.25 - b * 0.005, -0.1 + b * 0.002) for b in range(50)]
+_BAGS = [(b, 0.5 + b * 0.001, -0.25 - b * 0.0005, -0.1 + b * 0.0002) for b in range(500)]
 
 
 @query("D15_bagged_logistic", with_("predictions", more=f"b AS (SELECT id, 1 / (1 + exp(-(wa * amp + wb * migration + c))) AS p FROM predictions CROSS JOIN {values(_BAGS, 'bag, wa, wb, c')} t WHERE amp IS NOT NULL AND migration IS NOT NULL)") + f"SELECT id, {sql_r6('avg(p)')} AS mean, {sql_r6('stddev_pop(p)')} AS std FROM b GROUP BY id")
 def d15(v):
-    """Fifty logistic bags; their coefficients are a small literal table, so the bags' outputs stay inside each row."""
+    """Five hundred logistic bags; their coefficients are a small literal table, so the bags' outputs stay inside each row."""
     bags = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for _, a, b, c in _BAGS))
     p = F.transform(bags, lambda w: 1 / (1 + F.exp(-(w["a"] * F.col("amp") + w["b"] * F.col("migration") + w["c"]))))
     n = len(_BAGS)

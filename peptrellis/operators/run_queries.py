@@ -45,7 +45,10 @@ def s3(v):
     return E.window_counts(v.table("events").where("value < 20"), "15 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("S4_window_expiry")
+_CLOSED = "SELECT minutes, user_id, start, n FROM (SELECT {m} AS minutes, user_id, {w} AS start, count(*) AS n FROM events GROUP BY ALL) WHERE start + INTERVAL '{m} minutes' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"
+
+
+@query("S4_window_expiry", " UNION ALL ".join(_CLOSED.format(m=m, w=_MINUTES("ts", m)) for m in (15, 60)))
 def s4(v):
     """A stream for each window width; what it emits are the windows that the watermark closed. Run to its end over the table."""
     source = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.dir}/events.parquet*")
@@ -53,7 +56,8 @@ def s4(v):
     for m in (15, 60):
         path = new_path(v.spark, f"windows-{m}")
         E.run_once(E.window_counts(source, f"{m} minutes").select(F.lit(m).alias("minutes"), "user_id", "start", "n"), path, new_path(v.spark, "checkpoint"))
-        outs.append(v.spark.read.schema("minutes int, user_id long, start timestamp, n long").parquet(path))
+        closed = v.spark.read.schema("minutes int, user_id long, start timestamp, n long").parquet(path)
+        outs.append(closed.withColumn("start", F.col("start").cast("timestamp_ntz")))
     return outs[0].unionByName(outs[1])
 
 
@@ -106,7 +110,10 @@ def s11(v):
     return v.run_events.select("event_id", (F.lead(at).over(Window.partitionBy("user_id", "run_no").orderBy("ts", "event_id")) - at).alias("microseconds"))
 
 
-@query("S12_streaming_screen")
+_SCREEN_SQL = with_("residues", "predictions", more=physchem()) + ", x AS (SELECT p.*, solubility, aggregation FROM physchem p JOIN predictions USING (id)) SELECT id, overall FROM (SELECT id, " + G.rollup_sql([c.name for c in G.WOUND]) + f" FROM (SELECT id, {', '.join(c.sql() for c in G.WOUND)} FROM x))"
+
+
+@query("S12_streaming_screen", _SCREEN_SQL)
 def s12(v):
     """The wound screen on a stream of candidates: the same column functions as on tables."""
     spool = new_path(v.spark, "candidates")
@@ -135,7 +142,7 @@ def c21(v):
     """The id's last part is the join key, so no pattern is compared with every row."""
     full = v.run_events.select("event_id", F.concat(F.lit("projects/p/customJobs/"), "run_no").alias("resource")).withColumn("run", F.regexp_extract("resource", "/customJobs/([^/]+)$", 1).cast("long"))
     runs = v.run_events.groupBy(F.col("run_no").alias("run")).agg(F.count(F.lit(1)).alias("n"))
-    return full.join(F.broadcast(runs), "run").select("event_id", "n")
+    return full.join(runs, "run").select("event_id", "n")
 
 
 @query("F2_page_desc", "SELECT event_id, (SELECT count(*) FROM events WHERE value >= 50) AS total FROM events WHERE value >= 50 ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40")
@@ -297,14 +304,37 @@ def d40(v):
     return t.select(r6((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"))
 
 
-@query("D41_bootstrap_interval")
+_RESAMPLES = 200
+_UNIFORM = "id % 999983 * (2 * b + 12347) % 1000003 / 1000003.0"
+_POISSON = "CASE WHEN u < 0.36788 THEN 0 WHEN u < 0.73576 THEN 1 WHEN u < 0.9197 THEN 2 WHEN u < 0.98101 THEN 3 WHEN u < 0.99634 THEN 4 ELSE 5 END"
+
+
+@query(
+    "D41_bootstrap_interval",
+    _LAB + f""", u AS (SELECT b, amp, y, {_UNIFORM} AS u FROM l CROSS JOIN (SELECT unnest(range(1, {_RESAMPLES + 1})) AS b)),
+w AS (SELECT b, amp, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM (SELECT b, amp, y, {_POISSON} AS w FROM u) GROUP BY b, amp),
+c AS (SELECT b, p, q, sum(q) OVER (PARTITION BY b ORDER BY amp) - q AS below FROM w),
+a AS (SELECT b, sum(p * (below + q / 2.0)) / (sum(p) * sum(q)) AS auroc FROM c GROUP BY b)
+SELECT {", ".join(sql_r6(f"quantile_cont(auroc, {q})") + f" AS {n}" for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high")))} FROM a""",
+)
 def d41(v):
-    """Percentile interval of the mean score difference between classes: 200 resamples with Poisson weights from a hash."""
-    u = F.pmod(F.xxhash64("id", "b"), F.lit(1 << 40)) / float(1 << 40)
-    weight = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.9197, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
-    each = labelled(v).select("id", "amp", "y", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b")).withColumn("w", weight)
-    mean = lambda c: F.sum(F.when(F.col("y") == c, F.col("w") * F.col("amp"))) / F.sum(F.when(F.col("y") == c, F.col("w")))
-    return each.groupBy("b").agg((mean(1) - mean(0)).alias("d")).agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
+    """Percentile interval of AUROC over resamples with Poisson weights from a hash.
+
+    Weights are summed by resample and score first. Scores are dealt to ranges of their order, so a window holds a range of one
+    resample, and what lies below the range is added.
+    """
+    rows = stage(labelled(v), "labelled")
+    ranges = stage(rows.select("amp").distinct().repartitionByRange("amp").withColumn("part", F.spark_partition_id()), "ranges")
+    each = rows.join(ranges, "amp").select("id", "amp", "part", "y", F.explode(F.sequence(F.lit(1), F.lit(_RESAMPLES))).alias("b"))
+    each = each.withColumn("u", F.expr(_UNIFORM)).withColumn("w", F.expr(_POISSON))
+    per = stage(each.groupBy("b", "part", "amp").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("q")), "weights")
+    parts = per.groupBy("b", "part").agg(F.sum("q").alias("all"))
+    lower = parts.select("b", "part", (F.sum("all").over(Window.partitionBy("b").orderBy("part")) - F.col("all")).alias("lower"))
+    inside = F.sum("q").over(Window.partitionBy("b", "part").orderBy("amp")) - F.col("q")
+    placed = per.withColumn("inside", inside).join(lower, ["b", "part"])
+    u = F.sum(F.col("p") * (F.col("lower") + F.col("inside") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))
+    q = placed.groupBy("b").agg(u.alias("auroc")).agg(F.percentile("auroc", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    return q.select(*(r6(F.col("q")[k]).alias(n) for k, n in enumerate(("low", "median", "high"))))
 
 
 @query("D42_topk_enrichment", _LAB + f", r AS (SELECT y, row_number() OVER (ORDER BY amp DESC, id) AS k, count(*) OVER () AS n FROM l) SELECT f, count(*) FILTER (y = 1 AND k <= ceil(f * n)) AS winners, {sql_r6('f * count(*) FILTER (y = 1)')} AS by_chance FROM r CROSS JOIN (SELECT unnest([0.05::double, 0.1::double]) AS f) GROUP BY f")
