@@ -1,8 +1,10 @@
 """Secret scans: candidates from text, judged by a random forest that removes false positives.
 
-A candidate is a run of letters, digits, + / _ - of 12 characters or more that holds a digit or is all upper case. Features: its
-length and character classes, how likely its character transitions are in the corpus, how much of it dictionary words cover, the
-path it comes from, and the words beside it. The forest is trained on labelled findings.
+Candidates are runs of letters, digits, + / _ - of 12 characters or more that hold a digit or are all upper case; whatever has the
+format of a well-known key or is a private key block, inside a run or not; and values of four characters or more assigned to a name
+with a secret's word, whatever their characters. Candidates that overlap are one. Features: its length and character classes, how
+likely its character transitions are in the corpus, how much of it dictionary words cover, the path it comes from, and the words
+beside it. The forest is trained on labelled findings; what has a well-known format is a secret in any case.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_text
-from .common import LETTERS, LOWER, FlatTexts, byte_set, map_texts, staged
+from .common import LETTERS, LOWER, FlatTexts, byte_set, least_by_hash, map_texts, staged
 
 MIN_LENGTH = 12
 BODY = byte_set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
@@ -26,12 +28,25 @@ FIT_ROWS = 20_000
 TREES, DEPTH, BINS, MIN_LEAF, SECRET = 30, 8, 32, 5, 0.5
 MASK = "[SECRET]"
 
-#: Formats of well-known keys; words beside secrets; words beside other long strings; paths of tests.
-KEY_FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}")
+#: Formats of well-known keys; words of secrets' names; names of other long strings; paths of tests.
+KEY_FORMATS = [
+    r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36}", r"xox[abp]-[0-9A-Za-z-]{10,}", r"[sr]k_live_[0-9A-Za-z]{16,}", r"AIza[0-9A-Za-z_-]{35}", r"glpat-[0-9A-Za-z_-]{20}", r"npm_[0-9A-Za-z]{36}",
+    r"eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}",
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]|-(?!----))*-----END [A-Z ]{0,20}PRIVATE KEY-----",
+]
 SECRET_WORDS = ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "auth", "credential", "bearer")
 OTHER_WORDS = ("sha", "commit", "uuid", "isbn", "phone", "order", "card", "account", "id", "page", "version", "build")
 TEST_PATHS = re.compile(r"(?i)(^|[/_.-])(test|tests|example|examples|sample|doc|docs|fixture|mock)([/_.-]|$)")
-FEATURES = ("length", "digits", "uppers", "lowers", "marks", "distinct", "entropy", "hex", "transitions", "dictionary", "test_path", "path_depth", "secret_word", "other_word", "assigned", "quoted")
+_KEY = re.compile("|".join(KEY_FORMATS).encode())
+_NAME = re.compile(rb"(?i)(?:" + "|".join(SECRET_WORDS).encode() + rb")[a-z0-9_-]*[\"']?[ \t]*$")
+_VALUE = re.compile(rb"[ \t]*[\"'`]?([^\s\"'`]{4,})")
+_OTHER_NAME = re.compile(r"(?i)(?:^|[^a-z])(?:" + "|".join(OTHER_WORDS) + r")[a-z0-9_]*\W{0,4}$")
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+_NUMBER = re.compile(r"[\d\W_TZ]+")
+#: Hexadecimal digits as long as keys are, with letters and digits, and what stands before a value.
+_HEX_KEY = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{16,}|[0-9A-F]{16,})")
+_ASSIGNED = re.compile(r"[=:][ \t]*[\"'`]?$")
+FEATURES = ("length", "digits", "uppers", "lowers", "marks", "distinct", "entropy", "transitions", "dictionary", "test_path", "path_depth", "secret_word", "other_word")
 
 
 def dictionary(path: str) -> frozenset[str]:
@@ -78,24 +93,23 @@ class Context:
     steps: np.ndarray
     words: frozenset[str]
 
-    def features(self, found: bytes, before: str, after: str, path: str) -> list[float]:
-        n, text = len(found), found.decode("ascii")
+    def features(self, found: bytes, before: str, path: str) -> list[float]:
+        n, text = len(found), found.decode("utf-8", "ignore")
         codes = LOWER[np.frombuffer(found, np.uint8)].astype(np.int64)
         counts = np.bincount(codes)
         share = counts[counts > 0] / n
         near = re.findall(r"[a-z]+", before.lower())[-3:]
         return [
-            float(n), sum(c.isdigit() for c in text) / n, sum(c.isupper() for c in text) / n, sum(c.islower() for c in text) / n, sum(c in "+/_-" for c in text) / n,
-            len(share) / n, float(-(share * np.log2(share)).sum()), float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", text))),
-            float(self.steps[codes[:-1], codes[1:]].mean()), _coverage(text.lower(), self.words),
+            float(n), sum(c.isdigit() for c in text) / n, sum(c.isupper() for c in text) / n, sum(c.islower() for c in text) / n, sum(not c.isalnum() for c in text) / n,
+            len(share) / n, float(-(share * np.log2(share)).sum()),
+            float(self.steps[codes[:-1], codes[1:]].mean()) if n > 1 else 0.0, _coverage(text.lower(), self.words),
             float(bool(TEST_PATHS.search(path))), float(path.count("/")),
             float(any(w in x for x in near for w in SECRET_WORDS)), float(any(x == w for x in near for w in OTHER_WORDS)),
-            float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in ("'", '"') and after[:1] == before[-1:]),
         ]
 
 
-def candidates(flat: FlatTexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all candidates, and their rows."""
+def _runs(flat: FlatTexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of long runs that may be keys, and their rows."""
     starts, ends, first = flat.runs(BODY)
     row = np.repeat(np.arange(flat.n), np.diff(first))
     long = ends - starts >= MIN_LENGTH
@@ -108,33 +122,70 @@ def candidates(flat: FlatTexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[keep], ends[keep], row[keep]
 
 
+def candidates(flat: FlatTexts) -> list[tuple[int, int, int, bool]]:
+    """(row, byte start, byte end, whether a well-known format is in it) of all candidates, in order; none overlap."""
+    raw = flat.data.tobytes()
+    found = [(r, a, b, False) for a, b, r in zip(*(x.tolist() for x in _runs(flat)), strict=True)]
+    for r, (lo, hi) in enumerate(zip(flat.offsets[:-1].tolist(), flat.offsets[1:].tolist(), strict=True)):
+        found += [(r, *m.span(), True) for m in _KEY.finditer(raw, lo, hi)]
+    marks = np.flatnonzero((flat.data == ord("=")) | (flat.data == ord(":")))
+    rows = np.searchsorted(flat.offsets, marks, "right") - 1
+    for r, at in zip(rows.tolist(), marks.tolist(), strict=True):
+        if _NAME.search(raw, max(int(flat.offsets[r]), at - 48), at) and (m := _VALUE.match(raw, at + 1, int(flat.offsets[r + 1]))):
+            a, b = m.span(1)
+            b = a + len(raw[a:b].rstrip(b",;)]}>."))
+            if b - a >= 4:
+                found.append((r, a, b, False))
+    out: list[tuple[int, int, int, bool]] = []
+    for r, a, b, known in sorted(found):
+        if out and out[-1][0] == r and a < out[-1][2]:
+            out[-1] = (r, out[-1][1], max(b, out[-1][2]), known or out[-1][3])
+        else:
+            out.append((r, a, b, known))
+    return out
+
+
 def findings(docs: DataFrame, context: Context) -> DataFrame:
-    """doc_id, start, length (characters), format (a well-known key's), features, for each candidate of each row of docs (doc_id,
-    text, source as the path)."""
+    """doc_id, start, length (characters), known_format, label (see label_of), features, for each candidate of each row of docs
+    (doc_id, text, source as the path)."""
     held = docs.sparkSession.sparkContext.broadcast(context)
 
     def rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
         ids, paths = part.column("doc_id").to_pylist(), part.column("source").to_pylist()
-        out = [(ids[r], s, n, f, x) for r, s, n, f, x, *_ in _described(flat, held.value, paths)]
-        return pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64())))], names=["doc_id", "start", "length", "known_format", "features"])
+        out = [(ids[r], s, n, f, y, x) for r, s, n, f, y, x in _described(flat, held.value, paths)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.float64()))
+        return pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "length", "known_format", "label", "features"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")), rows, "doc_id long, start long, length long, known_format boolean, features array<double>")
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", source), rows, "doc_id long, start long, length long, known_format boolean, label int, features array<double>")
+
+
+def label_of(found: str, before: str, known: bool, coverage: float) -> int | None:
+    """A finding's label by form, which no feature states, so that the forest has to learn from words beside it and statistics: 1 for
+    well-known formats and for assigned hexadecimal digits of a key's length; 0 for numbers and times, UUIDs, dictionary words, and what is named otherwise (a
+    commit, an account); None (not learnt from) for the rest."""
+    if known:
+        return 1
+    if _NUMBER.fullmatch(found) or _UUID.fullmatch(found) or coverage >= 0.6 or _OTHER_NAME.search(before) or found.isalpha() and found.isupper():
+        return 0
+    return 1 if _HEX_KEY.fullmatch(found) and _ASSIGNED.search(before) else None
 
 
 def _described(flat: FlatTexts, context: Context, paths: list):
-    """(row, start and length in characters, known format, features, byte start and end in the row) of each candidate."""
+    """(row, start and length in characters, known format, label, features) of each candidate."""
     raw = flat.data.tobytes()
     seen, chars, byte = -1, 0, 0
-    for a, b, r in zip(*(x.tolist() for x in candidates(flat)), strict=True):
-        lo, hi = int(flat.offsets[r]), int(flat.offsets[r + 1])
+    dictionary_at = FEATURES.index("dictionary")
+    for r, a, b, known in candidates(flat):
+        lo = int(flat.offsets[r])
         if r != seen:
             seen, chars, byte = r, 0, lo
         chars += len(raw[byte:a].decode("utf-8"))
         byte = a
         before = raw[max(lo, a - 48) : a].decode("utf-8", "ignore")
-        after = raw[b : min(hi, b + 4)].decode("utf-8", "ignore")
-        found = raw[a:b]
-        yield r, chars, b - a, bool(KEY_FORMATS.fullmatch(found.decode("ascii"))), context.features(found, before, after, paths[r] or ""), a - lo, b - lo
+        text = raw[a:b].decode("utf-8")
+        x = context.features(raw[a:b], before, paths[r] or "")
+        yield r, chars, len(text), known, label_of(text, before, known, x[dictionary_at]), x
 
 
 @dataclass
@@ -196,17 +247,9 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Forest:
     return forest
 
 
-def label() -> Column:
-    """Labels of findings by formats alone: 1 for well-known key formats and for hexadecimal strings that are assigned beside a
-    secret's word; 0 for those without either; null (not labelled) between."""
-    of = {n: F.col("features")[k] for k, n in enumerate(FEATURES)}
-    named = (of["secret_word"] == 1) & (of["assigned"] == 1)
-    return F.when(F.col("known_format") | (named & (of["hex"] == 1)), 1).when(~named & (of["secret_word"] == 0), 0)
-
-
 def train(labelled: DataFrame) -> Forest | None:
     """The forest; None without both classes. labelled: doc_id, start, features, label (0, 1; null is skipped)."""
-    some = labelled.where("label is not null").orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(FIT_ROWS).select("doc_id", "start", "features", "label").collect()
+    some = least_by_hash(labelled.where("label is not null").select("doc_id", "start", "features", "label"), ["doc_id", "start"], FIT_ROWS).collect()
     some.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.start, r.features))
     x, y = np.array([r.features for r in some]), np.array([r.label for r in some], float)
     return grow(x, y) if len(set(y.tolist())) == 2 else None
@@ -215,17 +258,17 @@ def train(labelled: DataFrame) -> Forest | None:
 def scan(docs: DataFrame, words: str) -> DataFrame:
     """doc_id, start, length (characters), known_format, p_secret, is_secret, for each candidate in each row of docs (doc_id, text,
     source; other columns are dropped). words: path of a tokenizer's file, for its words. Null and empty texts hold none; a null
-    source is an empty path. Repeated rows give repeated findings. Without labelled findings of both classes only well-known
+    source is an empty path; a null doc_id stays null. Repeated rows give repeated findings. Without labelled findings of both classes only well-known
     formats are secrets."""
     found = staged(findings(docs, Context(transitions(docs), dictionary(words))), "findings")
-    model = docs.sparkSession.sparkContext.broadcast(train(found.withColumn("label", label())))
+    model = docs.sparkSession.sparkContext.broadcast(train(found))
 
     def rows(batches):
         for batch in batches:
             known = np.array(batch.column("known_format").to_pylist(), float)
             x = np.array(batch.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
             p = model.value.probability(x) if model.value else known
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "length", "known_format")), pa.array(p), pa.array(p >= SECRET)], names=["doc_id", "start", "length", "known_format", "p_secret", "is_secret"])
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "length", "known_format")), pa.array(p), pa.array((p >= SECRET) | (known > 0))], names=["doc_id", "start", "length", "known_format", "p_secret", "is_secret"])
 
     return found.mapInArrow(rows, "doc_id long, start long, length long, known_format boolean, p_secret double, is_secret boolean")
 
@@ -236,18 +279,18 @@ def masked(docs: DataFrame, words: str) -> DataFrame:
     context = Context(transitions(docs), dictionary(words))
     source = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")
     found = staged(findings(docs.select("doc_id", "text", source), context), "findings")
-    held = docs.sparkSession.sparkContext.broadcast((context, train(found.withColumn("label", label()))))
+    held = docs.sparkSession.sparkContext.broadcast((context, train(found)))
 
     def rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:
         context, forest = held.value
         found = list(_described(flat, context, part.column("source").to_pylist()))
         if not found:
             return part
-        p = forest.probability(np.array([f[4] for f in found])) if forest else np.array([float(f[3]) for f in found])
+        p = forest.probability(np.array([f[5] for f in found])) if forest else np.zeros(len(found))
         texts = part.column("text").to_pylist()
         cuts: dict[int, list] = {}
         for f, q in zip(found, p, strict=True):
-            if q >= SECRET:
+            if q >= SECRET or f[3]:
                 cuts.setdefault(f[0], []).append((f[1], f[1] + f[2]))
         sizes = part.column("n_chars").to_pylist() if "n_chars" in part.schema.names else None
         for r, spans in cuts.items():
