@@ -48,6 +48,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(docs, None).where("rejected").count() == 0
 
 
+def test_toxicity_without_telling_features(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "e"), (None, "a"), (3, "word " * 100_000)], "doc_id long, text string")
+    two = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, two) is None
+    assert toxicity.fit(docs.limit(0), two) is None
+    assert toxicity.clean(docs, None).count() == toxicity.scored(docs, None).count() == 5
+
+
+def test_toxicity_takes_one_text_of_an_id(spark):
+    rows = corpus(random.Random(8), 300)
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int")
+    once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    again = once.union(spark.createDataFrame([(i, "~ " + t) for i, t, _ in rows] * 3, "doc_id long, text string")).repartition(5)
+    one, two = toxicity.fit(once, labels), toxicity.fit(again, labels)
+    assert (one.words == two.words).all() and np.allclose(one.weights, two.weights)
+
+
 def test_ordinal_gradient_finds_ordered_grades():
     rng = np.random.default_rng(0)
     x = rng.standard_normal(4000)
