@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from peptrellis import queries as registry
 from peptrellis.functions import descriptors as D
+from peptrellis.functions import scales as S
 from peptrellis.operators import gates as G
+from peptrellis.operators import library as L
 from peptrellis.operators import pareto
 from peptrellis.operators import ranking as R
 from peptrellis.sources.files import read_fasta
 from peptrellis.sources.shared import stage
 from peptrellis.streaming import events as E
 
+ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -82,6 +85,63 @@ def test_missing_scores_count_as_zero_in_layers(spark):
     assert {r.id: r.layer for r in pareto.pareto_layers(df, ["a", "b"], stage).collect()} == {1: 2, 2: 1}
 
 
+def generated_by_hand(seeds, rounds):
+    """The rounds of library.generations in plain Python."""
+    fit = lambda s: round(fitness[s], 9)
+    positive = lambda s: sum(c in "KR" for c in s) > sum(c in "DE" for c in s)
+    pools = {f: [(s, fit(s)) for s in ss] for f, ss in seeds.items()}
+    out = []
+    for g in range(1, rounds + 1):
+        for f, pool in pools.items():
+            members, made = sorted(pool, key=lambda m: (-m[1], m[0])), set()
+            for slot in range(L.CHILDREN):
+                draw = lambda side: members[min((f * 7919 + slot * 104729 + (side * L.DRAWS + d) * 1299709 + g * 15485863) % len(members) for d in range(L.DRAWS))][0]  # noqa: B023, E731
+                a, b = draw(0), draw(1)
+                at = lambda s, k: (f * 31 + slot * 17 + k + g) % max(len(s) - 1, 1) + 1  # noqa: B023, E731
+                child, tries = a[: at(a, 5)] + b[at(b, 3) :], []
+                for k in range(L.ATTEMPTS):
+                    p, x = (f + slot * 3 + k * 7 + g) % len(child), ALPHABET[(f * 3 + slot + k + g) % 20]
+                    cut = max(len(child) - 1, 1)
+                    s = [child[:p] + x + child[p + 1 :], child[:cut], child[len(child) - cut :]][k % 3]
+                    tries.append(s[: L.LONGEST].ljust(L.SHORTEST, x))
+                made.add(next((s for s in tries if positive(s)), tries[-1]))
+            new = [(s, fit(s) if positive(s) else L.FLOOR) for s in made - {s for s, _ in pool}]
+            best = sorted(new, key=lambda m: (-m[1], m[0]))[: L.SURVIVORS]
+            out += [(f, g, s, x) for s, x in best]
+            pool.extend(best)
+    return sorted(out)
+
+
+class Fitness(dict):
+    """Fitness by the engine's own columns, which other tests compare with SQL, for all sequences at once."""
+
+    def __missing__(self, s):
+        kd = sum(S.EISENBERG[c] for c in s) / len(s)
+        charge = sum(s.count(a) / (1 + 10 ** (7.4 - pk)) for a, pk in S.PK_POSITIVE.items()) - sum(s.count(a) / (1 + 10 ** (pk - 7.4)) for a, pk in S.PK_NEGATIVE.items())
+        charge += 1 / (1 + 10 ** (7.4 - S.PK_N_TERM_OF.get(s[0], S.PK_N_TERM))) - 1 / (1 + 10 ** (S.PK_C_TERM_OF.get(s[-1], S.PK_C_TERM) - 7.4))
+        return kd - abs(charge - 3) / 10
+
+
+fitness = Fitness()
+
+
+def test_generations_equal_plain_python(spark):
+    rng = random.Random(14)
+    seeds = {f: sorted({"".join(rng.choice(ALPHABET) for _ in range(rng.randrange(6, 36))) for _ in range(rng.choice([1, 3, 6]))}) for f in range(6)}
+    start = spark.createDataFrame([(f, s) for f, ss in seeds.items() for s in ss], "family long, sequence string")
+    got = sorted((r.family, r.generation, r.sequence, round(r.fitness, 9)) for r in L.generations(start, 3, stage).collect())
+    want = generated_by_hand(seeds, 3)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
+    assert {g[1] for g in got} == {1, 2, 3}
+
+
+def test_decoys_match_lengths(spark):
+    winners = spark.createDataFrame([(i, "A" * (5 + i % 3)) for i in range(9)], "id long, sequence string")
+    pool = spark.createDataFrame([(100 + i, "C" * (5 + i % 2) ) for i in range(40)] + [(900, "C" * 7)], "id long, sequence string")
+    got = L.decoys(winners, pool).collect()
+    assert sorted((r.id, len(r.sequence)) for r in got) == [(i, 5 + i % 3) for i in range(9)]
+
+
 def test_percentile_ranks_share_ties(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 2.0), (4, 5.0), (5, None)], "id int, x double")
     got = {r.id: r.percentile for r in R.avg_rank_percentile(df, "x", stage).collect()}
