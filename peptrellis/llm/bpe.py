@@ -156,7 +156,10 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text; other columns are dropped).
+
+    A null or empty text has no tokens and the digests of nothing. Repeated rows give repeated rows; a null doc_id stays null. The
+    strings of special tokens in a text become their ids, as the library has it."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
 
     def rows(part: pa.RecordBatch, flat: FlatTexts) -> pa.RecordBatch:

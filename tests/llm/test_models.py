@@ -254,3 +254,21 @@ def test_statistics_and_decision_list(spark):
             assert not r.kept
     assert quality.judged(docs, labels.limit(0)).where("kept").count() > 0
     assert quality.judged(docs.limit(0), labels).count() == 0
+
+
+def test_statistics_of_rows_without_id_and_long_texts(spark):
+    long = "\n".join(["one line of some words that comes again", "# other line"] * 20_000)
+    docs = spark.createDataFrame([(None, long), (None, None), (1, "x " * 60), (1, "y z"), (1, "y z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1)], "doc_id long, quality int")
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judged(docs, labels).collect())
+    assert got == Counter((r.doc_id, *plain_statistics(r.text)) for r in docs.collect())
+
+
+def test_language_model_takes_rows_without_id_and_long_texts(spark):
+    rng = random.Random(2)
+    rows = [(None, "a b c"), (None, None), (5, "w " * 60_000), (5, "other"), (5, "other")] + [(10 + i, " ".join(prose(rng, 50))) for i in range(40)]
+    got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    n = {(r.doc_id, r.n_tokens) for r in got}
+    assert {(None, 4), (None, 1), (5, 60_001), (5, 2)} <= n
+    assert all(np.isfinite(r.score) and r.score < 0 and r.base_score < 0 for r in got)
