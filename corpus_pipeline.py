@@ -11,28 +11,30 @@ from peptrellis.llm.common import staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the ordinal model rejects."""
+    """Without the documents that the ordinal model rejects, each row judged by its own text: null and empty texts, rows without an
+    id and repeated rows stay or go like others. Without labels of both classes nothing goes."""
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id stays; of repeated rows of it, one. Documents without an id are
-    classed by their text, and different texts of one id apart."""
+    classed by their text, and different texts of one id apart; texts without a word all stay, but for repeated rows of an id."""
     return nearcopy.first_of_classes(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
+    """Without the documents that hold a benchmark item, or enough of one; null and empty texts and rows without an id stay like
+    others, and repeated rows as often as they came."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked."""
+    """All documents, their secrets masked; null and empty texts, null ids and repeated rows stay as they are."""
     return secrets.masked(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the token ids of all documents and of the texts decoded from them."""
+    """Digests of the token ids of all documents and of the texts decoded from them, a row for each row (a null text is empty)."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -244,9 +244,11 @@ def e4(v):
 def e6(v):
     """Of each parent those that pass, topped up to five with the next best."""
     q = v.predictions.selectExpr("id", "id div 1000000 as grp", "coalesce(amp, 0) as a", "coalesce(migration, 0) as b").selectExpr("id", "grp", "sqrt(a * b) as gm", "greatest(a, b) as best").withColumn("pass", F.expr("gm >= 0.8 or best >= 0.97"))
-    w = Window.partitionBy("grp")
-    placed = q.withColumn("k", F.row_number().over(w.orderBy(F.desc("pass"), F.desc(F.round("gm", 9)), F.desc("best"), "id"))).withColumn("n", F.count_if("pass").over(w))
-    return placed.where(F.col("k") <= F.greatest("n", F.lit(5))).select("id", "pass")
+    # Whoever passes stays without an order; of the others five a parent at most matter.
+    n = q.where("pass").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc(F.round("gm", 9)), F.desc("best"), "id"))
+    rest = q.where(~F.col("pass")).withColumn("k", place).where("k <= 5").join(n, "grp", "left").where(F.col("k") <= 5 - F.coalesce("n", F.lit(0)))
+    return q.where("pass").select("id", "pass").unionByName(rest.select("id", "pass"))
 
 
 @query("E5_family_capped_survivors", with_("predictions", more="u AS (SELECT sequence, min(id) AS id, max(amp) AS fit FROM predictions WHERE amp IS NOT NULL GROUP BY sequence), f AS (SELECT *, id // 1000000 AS family, id // 1000000 % 17 AS pop FROM u), e AS (SELECT *, row_number() OVER (PARTITION BY pop ORDER BY fit DESC, id) AS rn, row_number() OVER (PARTITION BY pop, family ORDER BY fit DESC, id) AS slot FROM f), c AS (SELECT *, CASE WHEN rn <= 4 THEN 0 WHEN slot <= 3 THEN 1 ELSE 2 END AS class FROM e), s AS (SELECT *, row_number() OVER (PARTITION BY pop ORDER BY class, fit DESC, id) AS place FROM c)") + "SELECT id, pop, class FROM s WHERE place <= 40")
