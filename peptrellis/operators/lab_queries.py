@@ -18,6 +18,7 @@ from ..sources.views import values, with_
 from . import gates as G
 from . import library as L
 from . import synthesis as Y
+from .pareto import dominators
 
 _BLOCK_AT = {"d_amino_acid": 4, "lipid_tail": 6, "peg_chain": 11, "cyclic": 9}
 _DRIVERS = """drv AS (SELECT id, pos, aa AS motif, CASE aa WHEN 'R' THEN 0.03 ELSE 0.01 END AS penalty FROM residues WHERE aa IN ('R', 'M', 'W')
@@ -294,13 +295,9 @@ def l12(v):
 
 @query("C15_pareto_dominance_join", with_("seeds", more="s AS (SELECT id, cast(id * 7919 % 101 AS double) / 100 AS a, cast(id * 104729 % 103 AS double) / 100 AS b FROM seeds)") + "SELECT x.id, count(*) AS dominated_by FROM s x JOIN s y ON y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b) GROUP BY x.id")
 def c15(v):
-    """How many of the panel dominate each member. A cell grid on one score turns the theta join into an equi join: a dominator is in
-    the same or a higher cell, and the panel has eleven of them."""
-    s = v.seeds.selectExpr("id", "cast(id * 7919 % 101 as double) / 100 as a", "cast(id * 104729 % 103 as double) / 100 as b").withColumn("cell", F.floor(F.col("a") * 10).cast("int"))
-    reach = s.select("id", "a", "b", F.explode(F.sequence(F.col("cell"), F.lit(10))).alias("cell")).alias("x")
-    y = s.alias("y")
-    hit = (F.col("x.cell") == F.col("y.cell")) & F.expr("y.a >= x.a and y.b >= x.b and (y.a > x.a or y.b > x.b)")
-    return reach.join(y, hit).groupBy("x.id").agg(F.count(F.lit(1)).alias("dominated_by"))
+    """How many of the panel dominate each member."""
+    s = v.seeds.selectExpr("id", "cast(id * 7919 % 101 as double) / 100 as a", "cast(id * 104729 % 103 as double) / 100 as b")
+    return dominators(s, "a", "b", stage).where("dominated_by > 0").select("id", "dominated_by")
 
 
 @query("C16_nearest_neighbour_distance", with_("seeds") + f"SELECT a.id, {sql_r6('coalesce(min(levenshtein(a.sequence, b.sequence) * 1.0 / greatest(length(a.sequence), length(b.sequence))), 0.0)')} AS distance FROM seeds a LEFT JOIN seeds b ON a.sequence <> b.sequence GROUP BY a.id")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Distinct vectors of a run that one task layers at once.
@@ -124,3 +124,41 @@ def _peeled(left: DataFrame, names: list[str], stage: Callable[[DataFrame, str],
         front = stage(front.withColumn("layer", F.lit(layer)), "layer")
         found = front if found is None else found.unionByName(front)
         left = stage(left.join(front.drop("layer"), ["_run", *names], "left_anti"), "vectors")
+
+
+def _heavier(ranks: np.ndarray, weights: np.ndarray, strict: bool) -> np.ndarray:
+    """For each row of two columns: the weight of all rows that are at least as great in both (strict: greater in the first)."""
+    out = np.zeros(len(ranks), np.int64)
+    for k in range(0, len(ranks), 256):
+        some = ranks[k : k + 256]
+        first = ranks[None, :, 0] > some[:, None, 0] if strict else ranks[None, :, 0] >= some[:, None, 0]
+        out[k : k + 256] = (first & (ranks[None, :, 1] >= some[:, None, 1])) @ weights
+    return out
+
+
+def dominators(df: DataFrame, one: str, two: str, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """df with dominated_by: how many rows are at least as great in both columns and greater in one.
+
+    Both columns are cut into ranges of their order. Rows in a higher range of both are counted by prefix sums over the grid of
+    ranges; what shares a range of the first column, or of the second with a higher range of the first, is compared in that range.
+    """
+    vectors = stage(df.groupBy(one, two).agg(F.count(F.lit(1)).alias("_n")), "vectors")
+    ranges = lambda c, name: stage(vectors.select(c).distinct().repartitionByRange(F.desc(c)).withColumn(name, F.spark_partition_id()), "ranges")
+    p, q = ranges(one, "_p"), ranges(two, "_q")
+    put = stage(vectors.join(p, one).join(q, two), "placed")
+    # Ranges times ranges.
+    grid = p.select("_p").distinct().crossJoin(F.broadcast(q.select("_q").distinct())).join(put.groupBy("_p", "_q").agg(F.sum("_n").alias("_n")), ["_p", "_q"], "left")
+    before = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    corner = grid.withColumn("_row", before("_n", "_p", "_q")).withColumn("_corner", before("_row", "_q", "_p")).select("_p", "_q", "_corner")
+
+    def inside(f: pd.DataFrame) -> pd.DataFrame:
+        n = f["_n"].to_numpy()
+        return f[[one, two]].assign(_k=_heavier(f[[one, two]].to_numpy(float), n, False) - n)
+
+    def beside(f: pd.DataFrame) -> pd.DataFrame:
+        return f[[one, two]].assign(_k=_heavier(np.c_[-f["_p"].to_numpy(float), f[two].to_numpy(float)], f["_n"].to_numpy(), True))
+
+    schema = f"{one} double, {two} double, _k long"
+    parts = put.groupBy("_p").applyInPandas(inside, schema).unionByName(put.groupBy("_q").applyInPandas(beside, schema))
+    parts = parts.unionByName(put.join(corner, ["_p", "_q"]).select(one, two, F.col("_corner").alias("_k")))
+    return df.join(parts.groupBy(one, two).agg(F.sum("_k").alias("dominated_by")), [one, two])

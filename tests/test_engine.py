@@ -80,6 +80,13 @@ def test_pareto_layers(spark, monkeypatch):
     assert pareto.pareto_layers(df.limit(0), ["a", "b"], stage).count() == 0
 
 
+def test_dominators_are_counted(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(30) / 30, rng.random() if i % 2 else 0.5) for i in range(400)]
+    got = {r.id: r.dominated_by for r in pareto.dominators(spark.createDataFrame(rows, "id int, a double, b double"), "a", "b", stage).collect()}
+    assert got == {i: sum(x >= a and y >= b and (x, y) != (a, b) for _, x, y in rows) for i, a, b in rows}
+
+
 def test_missing_scores_count_as_zero_in_layers(spark):
     df = spark.createDataFrame([(1, None, 0.5), (2, 0.1, 0.5)], "id int, a double, b double")
     assert {r.id: r.layer for r in pareto.pareto_layers(df, ["a", "b"], stage).collect()} == {1: 2, 2: 1}
