@@ -14,9 +14,9 @@ _P = with_("residues", "predictions", more=physchem())
 _SCREEN = ", x AS (SELECT p.*, solubility, aggregation FROM physchem p JOIN predictions USING (id))"
 
 
-def screened(v):
-    """Candidates with their descriptors and model outputs."""
-    return D.physchem(v.predictions)
+def screened(v, *outputs, only=None):
+    """Candidates with their descriptors (or those in `only`) and the model outputs named."""
+    return D.physchem(v.predictions.select("id", "sequence", *(outputs or ("solubility", "aggregation"))), only=only)
 
 
 def seed_bounds(v):

@@ -100,7 +100,8 @@ def d25(v):
 
 
 def flags(v):
-    out = D.physchem(v.predictions)
+    used = ("net_charge", "hydrophobic_moment", "amphipathicity", "instability_index", "disulfide_category", "n_oxidation", "n_deamidation")
+    out = D.physchem(v.predictions.select("id", "sequence", "aggregation", "solubility"), only=used)
     return out.select("id", "net_charge", "hydrophobic_moment", "amphipathicity", "instability_index", "aggregation", "solubility", "disulfide_category", D.risk_category(F.col("n_oxidation")).alias("oxidation_risk"), D.risk_category(F.col("n_deamidation")).alias("deamidation_risk"))
 
 

@@ -190,7 +190,8 @@ _FUNNEL_SQL = with_("residues", "predictions", more=physchem() + f", g AS (SELEC
 
 def gated(v):
     """One pass: each candidate's furthest stage; nobody is dropped, so reports come from the same table."""
-    return screened(v).select("id", G.first_of(*((F.expr(c), n) for n, c in FUNNEL)).alias("left_at")).withColumn("stage", F.coalesce("left_at", F.lit("ranked")))
+    rows = screened(v, "amp", "cytotoxicity", "hemolysis", "feasibility", only=("hydrophobicity", "molecular_weight"))
+    return rows.select("id", G.first_of(*((F.expr(c), n) for n, c in FUNNEL)).alias("left_at")).withColumn("stage", F.coalesce("left_at", F.lit("ranked")))
 
 
 def funnel(gone, *keys):

@@ -54,8 +54,9 @@ class Views:
             # A few small files only: deal their texts out to all cores before each becomes hundreds of peptides.
             texts = texts.select(key, "text").repartition(cores, key)
         clean = texts.select(F.col(key).alias("k"), F.regexp_replace(letters, f"[^{ALPHABET}]", "").alias("c")).where("length(c) > 0")
-        wide = clean.withColumn("w", (8 + F.col("k") % 33).cast("int"))
-        return wide.select("k", "c", "w", F.explode(F.expr("sequence(0, cast(ceil(length(c) / w) as int) - 1)")).alias("n")).select((F.col("k") * 1000000 + F.col("n")).alias("id"), F.expr("substr(c, n * w + 1, w)").alias("sequence"))
+        # One pass over each text: tiles are taken off in order, so no row carries the whole text.
+        tiles = F.expr("regexp_extract_all(c, concat('.{1,', 8 + k % 33, '}'), 0)")
+        return clean.select("k", F.posexplode(tiles).alias("n", "sequence")).select((F.col("k") * 1000000 + F.col("n")).alias("id"), "sequence")
 
     @cached_property
     def peptides(self) -> DataFrame:
@@ -115,7 +116,7 @@ class Views:
     @cached_property
     def predictions(self) -> DataFrame:
         """id, sequence and one column for each stand-in model output; some are missing."""
-        p = lambda m, a, miss: f"case when id % {miss} = 0 then null else cast((id * {m} + {a}) % 1009 as double) / 1008 end"
+        p = lambda m, a, miss: f"case when id % {miss} = 0 then null else cast((id % 1009 * {m} + {a}) % 1009 as double) / 1008 end"
         return self.peptides.select("id", "sequence", *(F.expr(p(*v)).alias(n) for n, v in PREDICTIONS.items()))
 
 
@@ -154,7 +155,7 @@ CTES = {
     "exposure": (("residues",), "exposure AS (SELECT id, pos, cast((id * 13 + pos * 17) % 21 AS double) / 20 AS exposure FROM residues WHERE id % 4 <> 3)"),
     "atoms": (("seed_residues",), "atoms AS (SELECT id AS structure_id, pos AS residue_idx, atom, cast((id * k + pos * 37) % 97 AS double) / 10 AS x, cast((id * 3 + pos * k * 11) % 89 AS double) / 10 AS y, cast((id + pos * 5 + k * 29) % 83 AS double) / 10 AS z FROM seed_residues CROSS JOIN (VALUES (1, 'N'), (2, 'CA'), (3, 'C')) AS a(k, atom))"),
     "run_events": ((), "run_events AS (SELECT event_id, ts, user_id, user_id % 7 AS run_no, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS status, CASE WHEN event_id % 3 = 0 THEN NULL ELSE cast(event_id % 9 AS varchar) END AS stage FROM events)"),
-    "predictions": (("peptides",), "predictions AS (SELECT id, sequence, " + ", ".join(f"CASE WHEN id % {q} = 0 THEN NULL ELSE cast((id * {m} + {a}) % 1009 AS double) / 1008 END AS {n}" for n, (m, a, q) in PREDICTIONS.items()) + " FROM peptides)"),
+    "predictions": (("peptides",), "predictions AS (SELECT id, sequence, " + ", ".join(f"CASE WHEN id % {q} = 0 THEN NULL ELSE cast((id % 1009 * {m} + {a}) % 1009 AS double) / 1008 END AS {n}" for n, (m, a, q) in PREDICTIONS.items()) + " FROM peptides)"),
 }
 
 
