@@ -106,11 +106,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _table(base: int, n: int) -> np.ndarray:
+    """The first n powers. A worker keeps those that parts of usual size need; a longer text's are made for it and let go."""
     have = _powers.get(str(base))
     if have is None or len(have) < n:
         grown = np.full(max(n, CHUNK_BYTES + 1), np.uint64(base))
         grown[0] = 1
-        _powers[str(base)] = have = np.multiply.accumulate(grown)
+        have = np.multiply.accumulate(grown)
+        if len(have) <= 4 * CHUNK_BYTES:
+            _powers[str(base)] = have
     return have[:n]
 
 
@@ -171,6 +174,8 @@ def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch, FlatTexts], pa.RecordB
                 out = f(part, FlatTexts.of(part.column(column)))
                 if out is not None and out.num_rows:
                     yield out
+        # Workers live on: what Arrow holds for the next task goes back to the system.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
