@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, lm, nearcopy, orcids, quality, secrets, toxicity, urlrules
+from . import bpe, decontaminate, importance, licences, lm, nearcopy, orcids, quality, secrets, toxicity, urlrules
 from .common import stage_path, table
 
-ORACLE: dict[str, str] = {"op6_licence_digests": licences.SQL, "op8_rare_token_urls": urlrules.SQL}
+ORACLE: dict[str, str] = {"op6_licence_digests": licences.SQL, "op8_rare_token_urls": urlrules.SQL, "op11_importance_draw": importance.SQL}
 
 
 def op1_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards the benchmark's texts, and those drawn."""
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_rare_seed_alignment": op1_rare_seed_alignment,
     "op2_ordinal_severity": op2_ordinal_severity,
@@ -75,4 +80,5 @@ QUERIES = {
     "op8_rare_token_urls": op8_rare_token_urls,
     "op9_bpe_rounds": op9_bpe_rounds,
     "op10_decision_lists": op10_decision_lists,
+    "op11_importance_draw": op11_importance_draw,
 }
