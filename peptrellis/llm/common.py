@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -101,6 +102,8 @@ LETTERS = byte_set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", abov
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes of a run from which on a digest takes the polynomial's place.
+LONG_RUN = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
@@ -127,14 +130,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of data[starts[i]:ends[i]], alike wherever a run stands."""
+    """64-bit hashes of data[starts[i]:ends[i]], alike wherever a run stands: polynomials of up to LONG_RUN bytes, digests of longer runs,
+    since a polynomial modulo 2^64 gives some pairs of 1,024 bytes and more the same value."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table(_BASE, n), out=sums[1:])
     inverse = pow(_BASE, -1, 1 << 64)
-    return mix((sums[ends] - sums[starts]) * _table(inverse, n)[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * _table(inverse, n)[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_RUN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def hash_words(words: list[str]) -> np.ndarray:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, importance, licences, lm, nearcopy, orcids, quality, secrets, toxicity, urlrules
+from . import bpe, decontaminate, importance, licences, lm, nearcopy, orcids, quality, secrets, substrings, toxicity, urlrules
 from .common import stage_path, table
 
-ORACLE: dict[str, str] = {"op6_licence_digests": licences.SQL, "op8_rare_token_urls": urlrules.SQL, "op11_importance_draw": importance.SQL}
+ORACLE: dict[str, str] = {"op6_licence_digests": licences.SQL, "op8_rare_token_urls": urlrules.SQL, "op11_importance_draw": importance.SQL, "op12_repeated_spans": substrings.SQL}
 
 
 def op1_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of long passages that a document of a smaller id has."""
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_rare_seed_alignment": op1_rare_seed_alignment,
     "op2_ordinal_severity": op2_ordinal_severity,
@@ -81,4 +86,5 @@ QUERIES = {
     "op9_bpe_rounds": op9_bpe_rounds,
     "op10_decision_lists": op10_decision_lists,
     "op11_importance_draw": op11_importance_draw,
+    "op12_repeated_spans": op12_repeated_spans,
 }
