@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, importance, licences, lm, nearcopy, orcids, quality, secrets, substrings, toxicity, urlrules
+from . import bpe, decontaminate, importance, licences, lm, nearcopy, orcids, quality, repair, secrets, substrings, toxicity, urlrules
 from .common import stage_path, table
 
 ORACLE: dict[str, str] = {"op6_licence_digests": licences.SQL, "op8_rare_token_urls": urlrules.SQL, "op11_importance_draw": importance.SQL, "op12_repeated_spans": substrings.SQL}
@@ -74,6 +74,11 @@ def op12_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage: their faults, the cheapest repair and a digest of what it gives."""
+    return repair.digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_rare_seed_alignment": op1_rare_seed_alignment,
     "op2_ordinal_severity": op2_ordinal_severity,
@@ -87,4 +92,5 @@ QUERIES = {
     "op10_decision_lists": op10_decision_lists,
     "op11_importance_draw": op11_importance_draw,
     "op12_repeated_spans": op12_repeated_spans,
+    "op13_grammar_repair": op13_grammar_repair,
 }
