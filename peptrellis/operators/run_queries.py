@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import descriptors as D
 from ..functions import scales as S
 from ..functions.sql import physchem
-from ..registry import query, r6, sql_r6
+from ..registry import ORACLE, query, r6, sql_r6
 from ..sources.shared import new_path, stage
 from ..sources.views import MODULES, values, with_
 from ..streaming import events as E
+from ..streaming.keyed import claims, first_claims, latest_states, states
+from ..streaming.limits import STORE, over_limit
 from . import gates as G
 from . import ranking as R
 from .gate_queries import _FLAGS_SQL, _REJECT_SQL, BOUNDS_SQL, CASCADE, banded, screened
@@ -39,6 +41,18 @@ def s2(v):
     return e.withColumn("k", k).where(F.col("k") > _LIMIT).select("event_id", "user_id", F.col("k").cast("long").alias("k"), left.cast("long").alias("retry_minutes"))
 
 
+def event_stream(v):
+    return v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.dir}/events.parquet*")
+
+
+@query("S2_over_limit_stream", ORACLE["S2_over_limit_events"])
+def s2_stream(v):
+    """The same refusals from a stream run to its end: counted in keyed state as events come, cleared by a timer when a window ends."""
+    path = new_path(v.spark, "refused")
+    E.run_once(over_limit(event_stream(v), _LIMIT), path, new_path(v.spark, "checkpoint"), settings=STORE)
+    return v.spark.read.schema("event_id long, user_id long, k long, retry_minutes long").parquet(path)
+
+
 @query("S3_failed_only_count", f"SELECT user_id, {_MINUTES('ts', 15)} AS start, count(*) AS n FROM events WHERE value < 20 GROUP BY ALL")
 def s3(v):
     """Only failures count."""
@@ -51,8 +65,7 @@ _CLOSED = "SELECT minutes, user_id, start, n FROM (SELECT {m} AS minutes, user_i
 @query("S4_window_expiry", " UNION ALL ".join(_CLOSED.format(m=m, w=_MINUTES("ts", m)) for m in (15, 60)))
 def s4(v):
     """A stream for each window width; what it emits are the windows that the watermark closed. Run to its end over the table."""
-    source = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.dir}/events.parquet*")
-    outs = []
+    source, outs = event_stream(v), []
     for m in (15, 60):
         path = new_path(v.spark, f"windows-{m}")
         E.run_once(E.window_counts(source, f"{m} minutes").select(F.lit(m).alias("minutes"), "user_id", "start", "n"), path, new_path(v.spark, "checkpoint"))
@@ -75,6 +88,32 @@ def s6(v):
     return v.run_events.groupBy("user_id", "run_no").agg(last("status"), last("stage"), F.max("ts").alias("observed_at"))
 
 
+def _run_stream(v):
+    return v.spark.readStream.schema(v.run_events.schema).parquet(_spooled(v.run_events, "run-events"))
+
+
+def _spooled(df, name):
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+@query("S5_first_observer_stream", ORACLE["S5_first_observer_wins"])
+def s5_stream(v):
+    """The same owners from a stream, kept in a table that each batch is merged into."""
+    owners = first_claims(v.spark, new_path(v.spark, "owners"))
+    owners.follow(claims(_run_stream(v)), new_path(v.spark, "checkpoint"))
+    return owners.read().select("run_no", "owner")
+
+
+@query("S6_latest_state_stream", ORACLE["S6_latest_non_null_state"])
+def s6_stream(v):
+    """The same states from a stream, kept in a table that each batch is merged into."""
+    latest = latest_states(v.spark, new_path(v.spark, "latest"))
+    latest.follow(states(_run_stream(v)), new_path(v.spark, "checkpoint"))
+    return latest.read().select("user_id", "run_no", "status", "stage", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
+
+
 _ENVELOPE = "CASE event_id % 4 WHEN 0 THEN '{\"job_id\": \"j\", \"result_path\": \"p\"}' WHEN 1 THEN '{\"job_id\": \"j\", \"vertex_state\": \"s\"}' WHEN 2 THEN '{\"job_id\": \"j\", \"candidates\": [1, 2]}' ELSE '{\"x\": 1}' END"
 
 

@@ -1,13 +1,9 @@
-"""Run events as streams: windowed counts per limit, latest state per run, first observers, and a stateless screen."""
+"""Run events as streams: times, windowed counts, and runs to the end of what a stream has."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def as_stream_time(events: DataFrame) -> DataFrame:
@@ -22,30 +18,16 @@ def window_counts(events: DataFrame, width: str, key: str = "user_id", delay: st
     return timed.groupBy(F.window("ts", width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def first_observers(events: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
-    """The first event of each key within the watermark, on a stream."""
-    return as_stream_time(events).withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
-
-
-def latest_state(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """A row for each run whenever its events come: the last status and stage that were not null, and the last time seen."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, stage, seen = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for name, values in (("status", rows["status"].dropna()), ("stage", rows["stage"].dropna())):
-            if len(values):
-                status, stage = (values.iloc[-1], stage) if name == "status" else (status, values.iloc[-1])
-        seen = max(seen, int(rows["ts"].max().value // 1000))
-        state.update((status, stage, seen))
-        yield pd.DataFrame({"run_no": [key[0]], "status": [status], "stage": [stage], "observed_us": [seen]})
-
-    timed = as_stream_time(events).withWatermark("ts", delay)
-    return timed.groupBy("run_no").applyInPandasWithState(update, "run_no long, status string, stage string, observed_us long", "status string, stage string, seen long", "update", GroupStateTimeout.NoTimeout)
-
-
-def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Write all that a stream has now to Parquet."""
-    query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", settings: dict[str, str] | None = None):
+    """Write all that a stream has now to Parquet. settings hold while the query starts and are put back."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        conf.set(k, v)
+    try:
+        query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return query

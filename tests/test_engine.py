@@ -207,12 +207,3 @@ def test_streamed_windows_equal_the_closed_ones(spark, tmp_path):
     last = table.agg(F.max(F.col("ts").cast("timestamp")).alias("t")).first().t
     closed = {k: n for k, n in every.items() if (last - k[0]).total_seconds() >= 3600 + 900}
     assert got == closed
-
-
-def test_streamed_state_keeps_the_last_known_values(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, "a", None), (2, "2024-01-01 00:01:00", 1, None, "3"), (3, "2024-01-01 00:02:00", 2, None, None)], "event_id long, ts string, run_no long, status string, stage string").withColumn("ts", F.to_timestamp("ts"))
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    query = E.latest_state(stream).writeStream.format("memory").queryName("latest").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    query.awaitTermination()
-    assert sorted((r.run_no, r.status, r.stage) for r in spark.table("latest").collect()) == [(1, "a", "3"), (2, None, None)]
