@@ -186,7 +186,8 @@ def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame,
     marked = staged(placed.join(repeated, "edge").groupBy("doc_id", "row").agg(F.collect_list(mark).alias("marks")), "marks")
     windows = staged(map_texts(texts_of(docs, marked), _window_rows(window, k), _WINDOW_SCHEMA), "windows")
     branching = windows.where("d1 is not null")
-    least = branching.where("role >= 2").groupBy("d1", "d2").agg(F.min("doc_id").alias("low"))
+    # Written first, so that a window of very many documents can be split between tasks of the join.
+    least = staged(branching.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("d1", "d2", "low"), "windows-least")
     later = branching.where("role % 2 = 1").join(least, ["d1", "d2"]).where("low < doc_id").select("doc_id", "row", "start", "n")
     lost = windows.where("d1 is null").select("doc_id", "row", "start", "n").union(later)
     run = F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")
