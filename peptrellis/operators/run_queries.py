@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import descriptors as D
 from ..functions import scales as S
 from ..functions.sql import physchem
 from ..registry import ORACLE, query, r6, sql_r6
+from ..sources.audit import Audit
 from ..sources.shared import new_path, stage
-from ..sources.views import MODULES, values, with_
+from ..sources.views import ENZYMES, MODULES, values, with_
 from ..streaming import events as E
 from ..streaming.keyed import claims, first_claims, latest_states, states
 from ..streaming.limits import STORE, over_limit
@@ -452,22 +453,52 @@ def a3(v):
     return v.spark.read.parquet(path).select("run_id", "stage", "id")
 
 
-@query("A5_audit_append", _FUNNEL_SQL + "SELECT 's05' AS stage, count(*) AS n_in, count(*) FILTER (stage <> 'physchem') AS n_out FROM g")
+_AUDIT_SQL = _FUNNEL_SQL + ", log AS (SELECT ord + 1 AS no, 'stage' AS kind, stage, total - before AS n_in, total - before - n AS n_out, n AS n_removed FROM (SELECT t.ord, t.stage, total, n, coalesce(sum(n) OVER (ORDER BY t.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT t.ord, t.stage, (SELECT count(*) FROM g) AS total, (SELECT count(*) FROM g WHERE g.stage = t.stage) AS n FROM t) t)) "
+
+
+def audited_funnel(v):
+    """The run's log after its stages have run one after another, each on what the one before it kept."""
+    log = Audit(v.spark, new_path(v.spark, "audit"), "r1")
+    log.start().stage("old", v.table("labels"), lambda rows: rows)
+    rows = gated(v)
+    log.start()
+    for k, (name, _) in enumerate(FUNNEL):
+        rows = log.stage(name, rows, lambda r, n=name: r.where(F.col("stage") != n), warn={"one of a run's first ten": F.col("id") % 1000000 < 10} if not k else None)
+    try:
+        log.stage("structure", rows, lambda r: r.where(F.raise_error(F.lit("no structures")).isNull()))
+    except Exception:  # noqa: BLE001 the failed stage is part of the log
+        pass
+    return log.read()
+
+
+@query("A5_audit_append", _AUDIT_SQL + "SELECT 0 AS no, 'setup' AS kind, 'run' AS stage, NULL::bigint AS n_in, NULL::bigint AS n_out, NULL::bigint AS n_removed, '' AS warnings, true AS timed UNION ALL SELECT no, kind, stage, n_in, n_out, n_removed, CASE WHEN no = 1 THEN 'one of a run''s first ten: ' || (SELECT count(*) FROM g WHERE id % 1000000 < 10) ELSE '' END, true FROM log UNION ALL SELECT 5, 'failure', 'structure', NULL, NULL, NULL, 'failed', true")
 def a5(v):
-    """Counts are observed while the table is written, in the same pass."""
-    seen = Observation("audit")
-    df = gated(v).observe(seen, F.count(F.lit(1)).alias("n_in"), F.count_if(F.col("stage") != "physchem").alias("n_out"))
-    stage(df, "audited")
-    return v.rows([("s05", int(seen.get["n_in"]), int(seen.get["n_out"]))], "stage string, n_in long, n_out long")
+    """Setup, four stages and a failed one, appended as they end; the run that was there before is cut."""
+    fine = F.when(F.col("kind") == "failure", "failed").otherwise(F.array_join("warnings", "; "))
+    return audited_funnel(v).select("no", "kind", "stage", "n_in", "n_out", "n_removed", fine.alias("warnings"), (F.col("ts").isNotNull() & (F.col("duration_s") >= 0)).alias("timed"))
+
+
+@query("D4_funnel_from_log", ORACLE["D4_funnel"])
+def d4_log(v):
+    """The funnel as the run's log has it."""
+    log = audited_funnel(v).where("kind = 'stage'")
+    first = log.agg(F.max_by("n_in", -F.col("no")).alias("total"))
+    return log.crossJoin(F.broadcast(first)).select("stage", "n_in", "n_removed", "n_out", r6(100.0 * F.col("n_out") / F.col("total")).alias("percent"))
 
 
-@query("A6_scan_tables_by_header", with_("peptides") + "SELECT DISTINCT sequence FROM peptides WHERE length(sequence) BETWEEN 8 AND 40")
+@query("A6_scan_tables_by_header", with_("peptides") + "SELECT DISTINCT sequence FROM (SELECT sequence FROM peptides WHERE id % 4 < 3 UNION ALL SELECT reverse(sequence) FROM peptides WHERE id % 4 = 2) WHERE length(sequence) BETWEEN 8 AND 40")
 def a6(v):
+    """Files of four layouts in one folder, each read by its own header: other order and case, tabs, two sequence columns, none."""
     from ..sources.files import read_peptide_columns
 
-    path = new_path(v.spark, "csv")
-    v.peptides.select("id", F.lower("sequence").alias("Peptide_Sequence")).write.option("header", True).csv(path)
-    return read_peptide_columns(v.spark.read.option("header", True).csv(path), 8, 40)
+    path = new_path(v.spark, "tables")
+    some = lambda k: v.peptides.where(F.col("id") % 4 == k)
+    put = lambda df, **more: df.write.mode("append").options(header=True, **more).csv(path)
+    put(some(0).select("id", F.lower("sequence").alias("Peptide_Sequence")))
+    put(some(1).select(F.concat(F.lit("  "), "sequence").alias("SEQ"), F.lit("a, b").alias("note"), "id"), ignoreLeadingWhiteSpace=False)
+    put(some(2).select(F.lit("x").alias("kind"), F.col("sequence").alias("Sequence"), F.reverse("sequence").alias("seq"), "id"), sep="\t")
+    put(some(3).select("id", F.col("sequence").alias("peptide")))
+    return read_peptide_columns(v.spark, path, 8, 40)
 
 
 @query("A7_csv_to_fasta", with_("peptides") + "SELECT 'CP_' || min(id) AS id, sequence FROM peptides GROUP BY sequence")
@@ -489,6 +520,19 @@ def a8(v):
     return read_briefs(v.spark, path).select("brief_id", "depth", "min_length")
 
 
+@query("A8_scan_brief_files", "SELECT lang || '-' || source AS name, min(doc_id) AS brief_id, CASE lang WHEN 'en' THEN 'dermis' ELSE 'epidermis' END AS depth, cast(7 + count(*) % 2 AS int) AS min_length, 12 AS max_length, 5.5::double AS ph FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source")
+def a8_files(v):
+    """One brief a file, on many lines, named by its file; what a brief leaves out gets its default."""
+    from ..sources.files import read_briefs
+
+    path = new_path(v.spark, "brief-files")
+    each = v.table("documents").where("lang is not null and source is not null").groupBy("lang", "source").agg(F.min("doc_id").alias("brief_id"), (7 + F.count(F.lit(1)) % 2).alias("n"))
+    brief = F.expr("named_struct('brief_id', brief_id, 'functions', named_struct('primary', case lang when 'en' then 'collagen_ecm' else 'antioxidant' end), 'peptide', named_struct('min_length', n))")
+    each.select(F.concat_ws("-", "lang", "source").alias("name"), F.to_json(brief, {"pretty": "true"}).alias("value")).write.partitionBy("name").text(path)
+    found = read_briefs(v.spark, path, one_a_file=True)
+    return found.select(F.url_decode(F.regexp_extract("file", "/name=([^/]+)/", 1)).alias("name"), "brief_id", "depth", "min_length", "max_length", "ph")
+
+
 @query("A9_brief_vocab_report", "WITH a AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'infected' WHEN 1 THEN 'frozen' WHEN 2 THEN 'soaked' ELSE 'chronic' END AS entry FROM documents) SELECT entry, count(*) AS n FROM a WHERE entry NOT IN ('infected', 'chronic') GROUP BY entry")
 def a9(v):
     """Entries that the vocabulary lacks, the most common first."""
@@ -497,13 +541,22 @@ def a9(v):
     return entries.join(F.broadcast(known), "entry", "left_anti").groupBy("entry").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entry").limit(5)
 
 
-@query("A10_scan_reference_dims", with_("residues") + f"SELECT aa, count(*) AS n, {sql_r6('any_value(mass)')} AS mass FROM residues JOIN {values([(a, S.MASS[a]) for a in S.ALPHABET], 'aa, mass')} m USING (aa) GROUP BY aa")
+_SOLVENTS = [("buffer", 7.4), ("acid", 4.0), ("base", 9.0)]
+
+
+@query("A10_scan_reference_dims", with_("residues") + f"SELECT aa, solvent, accession, count(*) AS n, {sql_r6('any_value(mass)')} AS mass, {sql_r6('any_value(ph)')} AS ph FROM residues JOIN {values([(a, S.MASS[a]) for a in S.ALPHABET], 'aa, mass')} m USING (aa) JOIN {values([(k, n, p) for k, (n, p) in enumerate(_SOLVENTS)], 'k, solvent, ph')} s ON id % 3 = k JOIN {values([e[:2] for e in ENZYMES], 'e, accession')} z ON pos % 4 + 1 = e GROUP BY ALL")
 def a10(v):
-    """A dimension table from CSV, joined by broadcast."""
-    path = new_path(v.spark, "dim")
-    v.rows([(a, S.MASS[a]) for a in S.ALPHABET], "aa string, mass double").write.option("header", True).csv(path)
-    dim = v.spark.read.option("header", True).schema("aa string, mass double").csv(path)
-    return v.residues.join(F.broadcast(dim), "aa").groupBy("aa").agg(F.count(F.lit(1)).alias("n"), r6(F.first("mass")).alias("mass"))
+    """Dimensions from CSV, from one JSON object over many lines, and from Parquet; each is a fixed table, joined by broadcast."""
+    paths = {k: new_path(v.spark, f"dim-{k}") for k in ("residues", "solvents", "enzymes")}
+    v.rows([(a, S.MASS[a]) for a in S.ALPHABET], "aa string, mass double").write.option("header", True).csv(paths["residues"])
+    listed = v.rows([([(k, n, p) for k, (n, p) in enumerate(_SOLVENTS)],)], "solvents array<struct<k: int, solvent: string, ph: double>>")
+    listed.select(F.to_json(F.struct("solvents"), {"pretty": "true"}).alias("value")).coalesce(1).write.text(paths["solvents"])
+    v.rows([e[:2] for e in ENZYMES], "e int, accession string").write.parquet(paths["enzymes"])
+    residues = v.spark.read.option("header", True).schema("aa string, mass double").csv(paths["residues"])
+    solvents = v.spark.read.option("multiLine", True).schema("solvents array<struct<k: int, solvent: string, ph: double>>").json(paths["solvents"]).select(F.inline("solvents"))
+    enzymes = v.spark.read.schema("e int, accession string").parquet(paths["enzymes"])
+    rows = v.residues.join(F.broadcast(residues), "aa").join(F.broadcast(solvents), F.col("id") % 3 == F.col("k")).join(F.broadcast(enzymes), F.col("pos") % 4 + 1 == F.col("e"))
+    return rows.groupBy("aa", "solvent", "accession").agg(F.count(F.lit(1)).alias("n"), r6(F.first("mass")).alias("mass"), r6(F.first("ph")).alias("ph"))
 
 
 def _features(df):
@@ -528,8 +581,11 @@ def c19(v):
 
 @query("A12_run_stats_table", _FUNNEL_SQL + f", f AS (SELECT t.stage, 1 - sum(n) OVER (ORDER BY ord) * 1.0 / total AS share FROM (SELECT t.ord, t.stage, (SELECT count(*) FROM g) AS total, (SELECT count(*) FROM g WHERE g.stage = t.stage) AS n FROM t) t) SELECT stage, {sql_r6('100 * share')} AS percent, repeat('#', cast(round_even(share * 30, 0) AS bigint)) AS bar FROM f")
 def a12(v):
-    share = F.col("n_out") / (F.col("n_in") * 0 + F.max("n_in").over(Window.partitionBy()))
-    return funnel(gated(v)).withColumn("share", share).select("stage", r6(100 * F.col("share")).alias("percent"), F.expr("repeat('#', cast(bround(share * 30) as int))").alias("bar"))
+    """Read from the run's log."""
+    log = audited_funnel(v).where("kind = 'stage'")
+    share = F.col("n_out") / F.col("total")
+    whole = log.agg(F.max("n_in").alias("total"))
+    return log.crossJoin(F.broadcast(whole)).select("stage", r6(100 * share).alias("percent"), F.expr("repeat('#', cast(bround(n_out / total * 30) as int))").alias("bar"))
 
 
 def _steps_of(pair):
