@@ -8,7 +8,9 @@ from ..functions import descriptors as D
 from ..functions.sql import WIDE, physchem
 from ..registry import query, r6, sql_r6
 from ..sources.views import ENZYMES, values, with_
+from ..sources.shared import stage
 from . import gates as G
+from .quantiles import quantiles
 
 _P = with_("residues", "predictions", more=physchem())
 _SCREEN = ", x AS (SELECT p.*, solubility, aggregation FROM physchem p JOIN predictions USING (id))"
@@ -21,10 +23,11 @@ def screened(v, *outputs, only=None):
 
 def seed_bounds(v):
     """One row: hydrophobicity_low, hydrophobicity_high, moment_high, medium_min, high_min, n_seeds; bounds are null under two seeds."""
-    some = D.physchem(v.seeds).select("hydrophobicity", "hydrophobic_moment", G.irritation_score().alias("irritation"))
-    at = some.agg(F.count(F.lit(1)).alias("n_seeds"), F.percentile("hydrophobicity", F.array(F.lit(0.05), F.lit(0.95))).alias("h"), F.percentile("hydrophobic_moment", 0.9).alias("m"), F.percentile("irritation", F.array(F.lit(0.75), F.lit(0.9))).alias("i"))
-    two = F.col("n_seeds") >= 2
-    return at.select("n_seeds", *(F.when(two, F.round(c, 9)).alias(n) for n, c in (("hydrophobicity_low", F.col("h")[0]), ("hydrophobicity_high", F.col("h")[1]), ("moment_high", F.col("m")), ("medium_min", F.col("i")[0]), ("high_min", F.col("i")[1]))))
+    some = D.physchem(v.seeds).select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("x") if isinstance(c, str) else c.alias("x")) for n, c in (("h", "hydrophobicity"), ("m", "hydrophobic_moment"), ("i", G.irritation_score()))))).alias("y")).select("y.*")
+    q = quantiles(some, "x", [0.05, 0.75, 0.9, 0.95], ["name"], stage)
+    # One row; a panel of one or none has no bounds.
+    of = lambda name, k: F.max(F.when((F.col("name") == name) & (F.col("n") >= 2), F.round(F.col("q")[k], 9)))
+    return q.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_seeds"), of("h", 0).alias("hydrophobicity_low"), of("h", 3).alias("hydrophobicity_high"), of("m", 2).alias("moment_high"), of("i", 1).alias("medium_min"), of("i", 2).alias("high_min"))
 
 
 BOUNDS_SQL = f"""{physchem('seeds', 'seed_residues', 'seedchem')},

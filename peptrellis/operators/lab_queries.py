@@ -18,6 +18,7 @@ from ..sources.views import values, with_
 from . import gates as G
 from . import library as L
 from . import synthesis as Y
+from .lineage import ancestry, edges_of
 from .pareto import dominators
 
 _BLOCK_AT = {"d_amino_acid": 4, "lipid_tail": 6, "peg_chain": 11, "cyclic": 9}
@@ -319,21 +320,17 @@ def c16(v):
     return v.seeds.join(near, "sequence", "left").select("id", r6(F.coalesce("distance", F.lit(0.0))).alias("distance"))
 
 
-@query("C18_lineage_join", "WITH RECURSIVE up AS (SELECT doc_id, doc_id // 2 AS ancestor, 1 AS depth FROM documents WHERE doc_id > 0 UNION ALL SELECT doc_id, ancestor // 2, depth + 1 FROM up WHERE ancestor > 0) SELECT doc_id, ancestor, depth FROM up")
+_PARENTS = "concat_ws(',', cast({d} AS {s}), case when doc_id % 3 <> 0 then cast({t} AS {s}) end)"
+
+
+@query("C18_lineage_join", f"WITH RECURSIVE history AS (SELECT doc_id, source, {_PARENTS.format(d='doc_id // 2', t='doc_id // 3', s='varchar')} AS parents FROM documents WHERE doc_id > 0), edges AS (SELECT doc_id, cast(unnest(string_split(parents, ',')) AS bigint) AS ancestor FROM history), up AS (SELECT doc_id, ancestor, 1 AS depth FROM edges UNION SELECT up.doc_id, e.ancestor, depth + 1 FROM up JOIN edges e ON up.ancestor = e.doc_id), least AS (SELECT doc_id, ancestor, min(depth) AS depth FROM up GROUP BY ALL) SELECT doc_id, ancestor, depth, source AS ancestor_source FROM least LEFT JOIN (SELECT doc_id AS ancestor, source FROM documents) USING (ancestor)")
 def c18(v):
-    """All ancestors of each variant (here variant n descends from n div 2), by joining the lineage with itself in doubling steps."""
-    steps = stage(v.table("documents").where("doc_id > 0").selectExpr("doc_id", "doc_id div 2 as ancestor", "1 as depth"), "lineage")
-    known, jump = steps, steps
-    # Each step doubles the depth that is known: it stops when no lineage is that deep.
-    while True:
-        more = known.alias("k").join(jump.alias("j"), F.col("k.ancestor") == F.col("j.doc_id")).selectExpr("k.doc_id", "j.ancestor", "k.depth + j.depth as depth")
-        more = stage(more, "lineage")
-        deepest = more.agg(F.max("depth")).first()[0]
-        if deepest is None:
-            return known.select("doc_id", "ancestor", "depth")
-        known = known.unionByName(more)
-        # Only the longest jumps of this step carry on; a shorter lineage is known in full.
-        jump = more.where(F.col("depth") == 2 * jump.agg(F.max("depth")).first()[0])
+    """All ancestors of each variant at their least depth, with where they come from. Here variant n was crossed from n div 2 and n div
+    3, or only mutated from the former, so most have two parents and many meet an ancestor on several ways."""
+    history = v.table("documents").where("doc_id > 0").select("doc_id", F.expr(_PARENTS.format(d="doc_id div 2", t="doc_id div 3", s="string")).alias("parents"))
+    up = ancestry(edges_of(history, "doc_id", "parents"), stage)
+    up = up.select(F.col("child").cast("long").alias("doc_id"), F.col("ancestor").cast("long").alias("ancestor"), "depth")
+    return up.join(v.table("documents").select(F.col("doc_id").alias("ancestor"), F.col("source").alias("ancestor_source")), "ancestor", "left")
 
 
 # Scorers.

@@ -12,6 +12,7 @@ from ..sources.shared import stage
 from ..sources.views import ENZYMES, MODULES, values, with_
 from . import ranking as R
 from .pareto import pareto_layers
+from .quantiles import quantiles
 
 _M = values(MODULES, "k, module, grp")
 _FUNCTIONS = [f[0] for f in R.FUNCTION_LINKS]
@@ -456,7 +457,8 @@ _PROPS = ("molecular_weight", "net_charge", "hydrophobicity")
 def seed_bands(v):
     """(property, q10, q90, scale): bands of the reference panel; the scale is the interquartile range, else the range, else null."""
     long = D.physchem(v.seeds).select(F.explode(F.array(*(F.struct(F.lit(p).alias("property"), F.col(p).alias("x")) for p in _PROPS))).alias("y")).select("y.*")
-    q = long.groupBy("property").agg(F.percentile("x", F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9)))).alias("q"), (F.max("x") - F.min("x")).alias("range"))
+    spread = long.groupBy("property").agg((F.max("x") - F.min("x")).alias("range"))
+    q = quantiles(long, "x", [0.1, 0.25, 0.75, 0.9], ["property"], stage).join(spread, "property")
     iqr = F.col("q")[2] - F.col("q")[1]
     return q.select("property", F.col("q")[0].alias("q10"), F.col("q")[1].alias("q25"), F.col("q")[2].alias("q75"), F.col("q")[3].alias("q90"), F.when(iqr > 0, iqr).when(F.col("range") > 0, F.col("range")).alias("scale"))
 

@@ -18,6 +18,7 @@ from ..streaming.limits import STORE, over_limit
 from . import gates as G
 from . import ranking as R
 from .gate_queries import _FLAGS_SQL, _REJECT_SQL, BOUNDS_SQL, CASCADE, banded, screened
+from .quantiles import quantiles
 from .rank_queries import RANKED_SQL, ranked_wound
 
 _MINUTES = lambda c, m: f"time_bucket(INTERVAL '{m} minutes', {c}, TIMESTAMP '1970-01-01')"
@@ -204,7 +205,10 @@ _STATS = f"count(score) AS count, {sql_r6('avg(score)')} AS mean, {sql_r6('media
 
 
 def _stats(df, *keys):
-    return df.groupBy(*keys).agg(F.count("score").alias("count"), r6(F.avg("score")).alias("mean"), r6(F.median("score")).alias("median"), F.min("score").alias("low"), F.max("score").alias("high"))
+    """Medians by selection over ranges of the order: no buffer holds a component's scores."""
+    rest = df.groupBy(*keys).agg(F.count("score").alias("count"), r6(F.avg("score")).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
+    middle = quantiles(df, "score", [0.5], list(keys), stage).select(*keys, r6(F.col("q")[0]).alias("median"))
+    return rest.join(middle, list(keys))
 
 
 @query("D1_component_stats", with_("module_scores") + f"SELECT module, {_STATS} FROM module_scores WHERE score IS NOT NULL GROUP BY module")
