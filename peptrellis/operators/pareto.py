@@ -1,164 +1,235 @@
-"""Pareto layers: 1 for vectors that none dominates, then what only those dominate, to the last one.
+"""Pareto layers: 1 for vectors that none dominates, then what only those dominate, to the last one; and counts of dominators.
 
-Layers are counted within runs. A run of up to RUN_VECTORS distinct vectors is layered in one pass of one task; in a larger one
-layers are peeled off one after another, each found by all tasks: local skylines first, then blocks of what is left of them against
-each other, so that no task holds a whole front.
+A vector's layer is 1 + the deepest layer of those that dominate it. Layers are counted within runs. A run of up to RUN_VECTORS rows is
+layered by one task, rows passing through it once. Larger runs are cut into blocks of an order in which a vector stands behind all
+that dominate it; a block is compared with each earlier one by tasks of their own and then chained in itself, so the number of jobs
+follows the number of blocks and not that of layers, and all large runs advance together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Distinct vectors of a run that one task layers at once.
+from .ranking import in_order
+
+Stage = Callable[[DataFrame, str], DataFrame]
+#: Rows of a run that one task layers at once, and vectors of a block of a larger run.
 RUN_VECTORS = 20_000
-#: Vectors of a front's candidates that one task compares with as many others.
-BLOCK = 20_000
+#: Vectors that are compared with each other all at once.
+DENSE = 1024
+#: Vectors of a range in which dominators are counted.
+RANGE = 50_000
 
 
 def _falling(vectors: np.ndarray) -> np.ndarray:
     """An order in which a vector stands behind all that dominate it: by falling sum, and by falling entries where sums are equal but
     for rounding."""
-    return np.lexsort((*(-vectors.T), -np.round(vectors.sum(axis=1), 9)))
+    return np.lexsort((*(-vectors.T[::-1]), -np.round(vectors.sum(axis=1), 9)))
+
+
+def _dense(v: np.ndarray) -> np.ndarray:
+    """Layers of distinct vectors by peeling fronts off the matrix of who dominates whom."""
+    over = (v[:, None, :] <= v[None, :, :]).all(axis=2)
+    np.fill_diagonal(over, False)
+    left, out, layer = over.sum(axis=1), np.zeros(len(v), np.int32), 0
+    while True:
+        front = np.flatnonzero((left == 0) & (out == 0))
+        if not len(front):
+            return out
+        layer += 1
+        out[front] = layer
+        left = left - over[:, front].sum(axis=1)
+
+
+def _plane(v: np.ndarray) -> np.ndarray:
+    """Layers of distinct vectors of two entries: by falling entries, the longest chain that never rises in the second ends at each."""
+    order = np.lexsort((-v[:, 1], -v[:, 0]))
+    # Of each layer the highest second entry so far, negated: a vector stands behind the last layer that reaches its own.
+    tops: list[float] = []
+    out = np.zeros(len(v), np.int32)
+    for i, y in zip(order.tolist(), (-v[order, 1]).tolist()):
+        k = bisect_right(tops, y)
+        tops[k : k + 1] = [y]
+        out[i] = k + 1
+    return out
+
+
+def _fronts(v: np.ndarray) -> np.ndarray:
+    """Layers of distinct vectors in falling order: a vector's layer is the first without a dominator of it, and all before have one."""
+    held, sizes, out = [], [], np.zeros(len(v), np.int32)
+    for i, x in enumerate(v):
+        low, high = 0, len(held)
+        while low < high:
+            k = (low + high) // 2
+            # The latest of a front are nearest in the order and dominate soonest.
+            if (held[k][: sizes[k]] >= x).all(axis=1).any():
+                low = k + 1
+            else:
+                high = k
+        if low == len(held):
+            held.append(np.empty((4, v.shape[1])))
+            sizes.append(0)
+        if sizes[low] == len(held[low]):
+            held[low] = np.concatenate([held[low], np.empty_like(held[low])])
+        held[low][sizes[low]] = x
+        sizes[low] += 1
+        out[i] = low + 1
+    return out
 
 
 def layers_of(vectors: np.ndarray) -> np.ndarray:
-    """Layers of distinct vectors (higher is better): 1 + the deepest layer of those that dominate."""
+    """Layers of vectors (higher is better); equal ones share theirs."""
+    if not len(vectors):
+        return np.zeros(0, np.int32)
+    v, back = np.unique(vectors, axis=0, return_inverse=True)
+    back = back.reshape(-1)
+    if v.shape[1] == 2:
+        return _plane(v)[back]
+    if len(v) <= DENSE:
+        return _dense(v)[back]
+    order = _falling(v)
+    layers = np.empty(len(v), np.int32)
+    layers[order] = _fronts(v[order])
+    return layers[back]
+
+
+def chained(vectors: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Layers of distinct vectors where each has `base` layers above it outside."""
     order = _falling(vectors)
-    v = vectors[order]
-    out = np.ones(len(v), np.int32)
+    v, out = vectors[order], base[order].astype(np.int32) + 1
     for i in range(1, len(v)):
         over = (v[:i] >= v[i]).all(axis=1)
         if over.any():
-            out[i] = out[:i][over].max() + 1
+            out[i] = max(out[i], out[:i][over].max() + 1)
     layers = np.empty_like(out)
     layers[order] = out
     return layers
 
 
-def front_of(vectors: np.ndarray) -> np.ndarray:
-    """The distinct vectors that none of the others dominates."""
-    left = np.unique(vectors, axis=0)
-    left = left[_falling(left)]
-    kept: list[np.ndarray] = []
-    while len(left):
-        kept.append(left[0])
-        left = left[1:][~(left[0] >= left[1:]).all(axis=1)]
-    return np.stack(kept) if kept else vectors
-
-
-def undominated(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of mine no vector of others dominates (equal ones don't)."""
-    out = np.ones(len(mine), bool)
-    for k in range(0, len(others), 512):
-        some = others[k : k + 512]
-        for i in np.flatnonzero(out):
-            over = (some >= mine[i]).all(axis=1)
-            out[i] = not (over & (some > mine[i]).any(axis=1)).any()
+def deepest_over(mine: np.ndarray, others: np.ndarray, layers: np.ndarray) -> np.ndarray:
+    """For each of mine the deepest layer among the others that are at least as great everywhere (0: none)."""
+    order = np.argsort(-layers, kind="stable")
+    out, left = np.zeros(len(mine), np.int64), np.arange(len(mine))
+    for k in range(0, len(order), 512):
+        some = order[k : k + 512]
+        over = (others[some][None, :, :] >= mine[left][:, None, :]).all(axis=2)
+        hit = over.any(axis=1)
+        out[left[hit]] = layers[some][over[hit].argmax(axis=1)]
+        left = left[~hit]
+        if not len(left):
+            break
     return out
 
 
-def pareto_layers(df: DataFrame, scores: list[str], stage: Callable[[DataFrame, str], DataFrame], by: str | None = None) -> DataFrame:
-    """df with layer, within each value of `by` (all rows without it).
-
-    A missing score counts as 0. Equal vectors share a layer, so only distinct ones are compared. stage(df, name) writes a table to
-    shared storage and reads it back, which cuts the lineage.
-    """
+def pareto_layers(df: DataFrame, scores: list[str], stage: Stage, by: str | None = None) -> DataFrame:
+    """df with layer, within each value of `by` (all rows without it). A missing score counts as 0. Equal vectors share a layer. df is
+    read once to count runs and once to layer them. stage(df, name) writes a table to shared storage and reads it back."""
     names = [f"_s{k}" for k in range(len(scores))]
     full = df.withColumns({n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in zip(names, scores, strict=True)})
     full = full.withColumn("_run", F.lit(0).cast("long") if by is None else F.col(by).cast("long"))
-    keys = ["_run", *names]
-    every = stage(full.select(*keys).distinct(), "vectors")
-    sizes = every.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > RUN_VECTORS).select("_run")
-    found = every.join(large, "_run", "left_anti").groupBy("_run").applyInPandas(_layered(names), _schema(names))
-    # Runs beyond RUN_VECTORS: a run's id each, so no more than a RUN_VECTORS-th of all vectors.
-    for run in [r["_run"] for r in large.collect()]:
-        found = found.unionByName(_peeled(every.where(F.col("_run") == run), names, stage))
-    return full.join(found, keys, "left").drop(*keys)
-
-
-def _schema(names: list[str]) -> str:
-    return "_run long, " + ", ".join(f"{n} double" for n in names) + ", layer int"
-
-
-def _layered(names: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        return f.assign(layer=layers_of(f[names].to_numpy()))
+    large = full.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RUN_VECTORS).select(F.col("_run").alias("_large"))
+    large = stage(large, "large-runs")
+    schema = T.StructType([*full.schema.fields, T.StructField("layer", T.IntegerType())])
+    same = F.col("_run").eqNullSafe(F.col("_large"))
+    none = large.isEmpty()
+    small = full if none else full.join(large, same, "left_anti")
+    out = small.groupBy("_run").applyInArrow(_layered(names), schema)
+    if not none:
+        rest = full.join(large, same, "left_semi")
+        found = _in_blocks(stage(rest.select("_run", *names).distinct(), "vectors"), names, stage)
+        on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"f{c}")) for c in ("_run", *names)))
+        found = found.select(*(F.col(c).alias(f"f{c}") for c in ("_run", *names)), "layer")
+        out = out.unionByName(rest.join(found, on).drop(*(f"f{c}" for c in ("_run", *names))))
+    return out.drop("_run", *names)
+
+
+def _layered(names: list[str]) -> Callable[[pa.Table], pa.Table]:
+    def run(t: pa.Table) -> pa.Table:
+        vectors = np.column_stack([t.column(n).to_numpy() for n in names])
+        return t.append_column("layer", pa.array(layers_of(vectors), pa.int32()))
 
     return run
 
 
-def _peeled(left: DataFrame, names: list[str], stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The vectors of one run (_run and names) with their layers."""
-    columns = "_run long, " + ", ".join(f"{n} double" for n in names)
-
-    def skyline(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, best = 0, np.zeros((0, len(names)))
-        for f in frames:
-            run = f["_run"].iloc[0] if len(f) else run
-            best = front_of(np.concatenate([best, f[names].to_numpy()]))
-        if len(best):
-            yield pd.DataFrame(best, columns=names).assign(_run=run)[["_run", *names]]
-
-    def survivors(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        return one[undominated(one[names].to_numpy(), two[names].to_numpy())][["_run", *names]]
-
-    found, layer = None, 0
-    while True:
-        tops = stage(left.mapInPandas(skyline, columns), "tops")
-        n = tops.count()
-        if not n:
-            return found
-        layer += 1
-        blocks = -(-n // BLOCK)
-        put = tops.withColumn("_b", F.pmod(F.hash(*names), F.lit(blocks)))
-        each = lambda c: put.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # noqa: B023, E731
-        one, two = each("_o").withColumnRenamed("_b", "_i"), each("_i").withColumnRenamed("_b", "_o")
-        pairs = one.groupBy("_i", "_o").cogroup(two.groupBy("_i", "_o")).applyInPandas(survivors, columns)
-        front = pairs.groupBy("_run", *names).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") == blocks).drop("_k")
-        front = stage(front.withColumn("layer", F.lit(layer)), "layer")
-        found = front if found is None else found.unionByName(front)
-        left = stage(left.join(front.drop("layer"), ["_run", *names], "left_anti"), "vectors")
-
-
-def _heavier(ranks: np.ndarray, weights: np.ndarray, strict: bool) -> np.ndarray:
-    """For each row of two columns: the weight of all rows that are at least as great in both (strict: greater in the first)."""
-    out = np.zeros(len(ranks), np.int64)
-    for k in range(0, len(ranks), 256):
-        some = ranks[k : k + 256]
-        first = ranks[None, :, 0] > some[:, None, 0] if strict else ranks[None, :, 0] >= some[:, None, 0]
-        out[k : k + 256] = (first & (ranks[None, :, 1] >= some[:, None, 1])) @ weights
+def _in_blocks(vectors: DataFrame, names: list[str], stage: Stage) -> DataFrame:
+    """Distinct vectors of some runs (_run, names) with their layers."""
+    total = F.round(reduce(lambda a, b: a + b, map(F.col, names)), 9)
+    order = [F.col("_run"), F.desc("_sum"), *map(F.desc, names)]
+    placed = in_order(vectors.withColumn("_sum", total), order, stage, written=False).drop("_sum")
+    first = placed.groupBy(F.col("_run").alias("_r")).agg(F.min("_before").alias("_first"))
+    placed = placed.join(first, F.col("_run").eqNullSafe(F.col("_r"))).select("_run", *names, F.col("_before").alias("_at"), F.floor((F.col("_before") - F.col("_first")) / RUN_VECTORS).cast("int").alias("_b"))
+    placed = stage(placed, "blocks")
+
+    def above(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_at": one["_at"], "_base": deepest_over(one[names].to_numpy(), two[names].to_numpy(), two["layer"].to_numpy())})
+
+    def chain(f: pd.DataFrame) -> pd.DataFrame:
+        return f.assign(layer=chained(f[names].to_numpy(), f["_base"].to_numpy())).drop(columns="_base")
+
+    schema = "_run long, " + ", ".join(f"{n} double" for n in names) + ", _at long, _b int, layer int"
+    done = None
+    for block in range((placed.agg(F.max("_b")).first()[0] or 0) + 1):
+        mine = placed.where(F.col("_b") == block)
+        base = mine.withColumn("_base", F.lit(0).cast("long"))
+        if done is not None:
+            each = mine.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+            found = each.groupBy("_run", "_o").cogroup(done.groupBy("_run", "_b")).applyInPandas(above, "_at long, _base long")
+            base = mine.join(found.groupBy("_at").agg(F.max("_base").alias("_base")), "_at").select(*mine.columns, "_base")
+        layer = stage(base.groupBy("_run").applyInPandas(chain, schema), "layers")
+        done = layer if done is None else done.unionByName(layer)
+    return done.select("_run", *names, "layer")
+
+
+def heavier(first: np.ndarray, second: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each row the weight of all rows with a smaller `first` and a smaller `second` (ranks; `first` may repeat, `second` doesn't).
+
+    By halves of the first ranks, at each level of their bits: what the lower half holds before a row of the upper half, in the order
+    of the second."""
+    out = np.zeros(len(first), np.int64)
+    for bit in range(int(first.max()).bit_length() if len(first) else 0):
+        group, upper = first >> (bit + 1), (first >> bit) & 1
+        order = np.lexsort((second, group))
+        lower = np.where(upper[order] == 0, weights[order], 0)
+        sums = np.concatenate([[0], np.cumsum(lower)])
+        edge = np.searchsorted(group[order], group[order])
+        found = sums[:-1] - sums[edge]
+        out[order] += np.where(upper[order] == 1, found, 0)
     return out
 
 
-def dominators(df: DataFrame, one: str, two: str, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def dominators(df: DataFrame, one: str, two: str, stage: Stage) -> DataFrame:
     """df with dominated_by: how many rows are at least as great in both columns and greater in one.
 
-    Both columns are cut into ranges of their order. Rows in a higher range of both are counted by prefix sums over the grid of
-    ranges; what shares a range of the first column, or of the second with a higher range of the first, is compared in that range.
+    Distinct vectors get a rank by falling (one, two) and one by falling (two, one); whoever dominates stands before in both, and
+    nobody else does. Ranks are cut into ranges of RANGE: what lies in earlier ranges of both is counted by prefix sums over the grid of
+    ranges, what shares a range by halving inside it, so ties make no range larger and no pairs are compared.
     """
     vectors = stage(df.groupBy(one, two).agg(F.count(F.lit(1)).alias("_n")), "vectors")
-    ranges = lambda c, name: stage(vectors.select(c).distinct().repartitionByRange(F.desc(c)).withColumn(name, F.spark_partition_id()), "ranges")
-    p, q = ranges(one, "_p"), ranges(two, "_q")
-    put = stage(vectors.join(p, one).join(q, two), "placed")
+    put = in_order(vectors, [F.desc(one), F.desc(two)], stage, written=True).withColumnRenamed("_before", "_i")
+    put = in_order(put, [F.desc(two), F.desc(one)], stage).withColumnRenamed("_before", "_j")
+    put = stage(put.withColumns({"_p": F.floor(F.col("_i") / RANGE), "_q": F.floor(F.col("_j") / RANGE)}), "placed")
     # Ranges times ranges.
-    grid = p.select("_p").distinct().crossJoin(F.broadcast(q.select("_q").distinct())).join(put.groupBy("_p", "_q").agg(F.sum("_n").alias("_n")), ["_p", "_q"], "left")
+    grid = put.select("_p").distinct().crossJoin(F.broadcast(put.select("_q").distinct())).join(put.groupBy("_p", "_q").agg(F.sum("_n").alias("_n")), ["_p", "_q"], "left")
     before = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     corner = grid.withColumn("_row", before("_n", "_p", "_q")).withColumn("_corner", before("_row", "_q", "_p")).select("_p", "_q", "_corner")
 
     def inside(f: pd.DataFrame) -> pd.DataFrame:
-        n = f["_n"].to_numpy()
-        return f[[one, two]].assign(_k=_heavier(f[[one, two]].to_numpy(float), n, False) - n)
+        i = f["_i"].to_numpy()
+        return pd.DataFrame({"_i": i, "_k": heavier(i - i.min(), f["_j"].to_numpy(), f["_n"].to_numpy())})
 
     def beside(f: pd.DataFrame) -> pd.DataFrame:
-        return f[[one, two]].assign(_k=_heavier(np.c_[-f["_p"].to_numpy(float), f[two].to_numpy(float)], f["_n"].to_numpy(), True))
+        return pd.DataFrame({"_i": f["_i"], "_k": heavier(f["_p"].to_numpy(), f["_j"].to_numpy(), f["_n"].to_numpy())})
 
-    schema = f"{one} double, {two} double, _k long"
-    parts = put.groupBy("_p").applyInPandas(inside, schema).unionByName(put.groupBy("_q").applyInPandas(beside, schema))
-    parts = parts.unionByName(put.join(corner, ["_p", "_q"]).select(one, two, F.col("_corner").alias("_k")))
-    return df.join(parts.groupBy(one, two).agg(F.sum("_k").alias("dominated_by")), [one, two])
+    parts = put.groupBy("_p").applyInPandas(inside, "_i long, _k long").unionByName(put.groupBy("_q").applyInPandas(beside, "_i long, _k long"))
+    parts = parts.unionByName(put.join(corner, ["_p", "_q"]).select("_i", F.col("_corner").alias("_k")))
+    counts = put.select(one, two, "_i").join(parts.groupBy("_i").agg(F.sum("_k").alias("dominated_by")), "_i").drop("_i")
+    return df.join(counts, [one, two])

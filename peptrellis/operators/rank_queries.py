@@ -153,7 +153,7 @@ def ranked_wound(v, keep=()):
     """The flagship plan: deduct flags, weight by the brief, order all candidates; those without evidence come last, unranked."""
     out = stage(scored_wound(v).select("id", "final_score", "evidence_coverage", "status", "stability", *keep), "scored")
     ties = [F.desc("evidence_coverage"), F.desc(F.coalesce(F.round("stability", 9), F.lit(-1.0))), F.col("id")]
-    ranked = R.global_rank(out.where("status = 'ranked'"), "final_score", ties, stage)
+    ranked = R.global_rank(out.where("status = 'ranked'"), "final_score", ties, stage, written=True)
     return ranked.unionByName(out.where("status <> 'ranked'"), allowMissingColumns=True)
 
 
@@ -225,7 +225,7 @@ _LAYERED = ["cleavage_stability", "feasibility", "confidence"]
 @query("E2_pareto_layers", with_("predictions", more=layers_sql("predictions", _LAYERED)).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT id, pareto_rank AS layer FROM lay")
 def e2(v):
     """All layers over three modules, within runs."""
-    wide = v.predictions.select("id", *_LAYERED)
+    wide = stage(v.predictions.select("id", *_LAYERED), "predictions")
     return layered(wide, _LAYERED).select("id", F.col("pareto_rank").alias("layer"))
 
 

@@ -156,13 +156,14 @@ def combined_in_row(df: DataFrame, scores: Mapping[str, Column], weights: Mappin
     return bound(out)
 
 
-def in_order(df: DataFrame, order: list[Column], stage: Callable[[DataFrame, str], DataFrame], weight: str | None = None) -> DataFrame:
+def in_order(df: DataFrame, order: list[Column], stage: Callable[[DataFrame, str], DataFrame], weight: str | None = None, written: bool = False) -> DataFrame:
     """df with _before: the rows (or the sum of `weight`) that stand before each row in the order.
 
     Ranges of the order are sorted by all tasks. A row's place is its place in its range plus what the ranges before it hold: one
-    number for each range. Rows are written twice, so that neither the order's bounds nor a lost task can move a row between ranges.
+    number for each range. Rows are written twice (once if df is written already), so that neither the order's bounds nor a lost task can
+    move a row between ranges.
     """
-    rows = stage(df, "unordered")
+    rows = df if written else stage(df, "unordered")
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     placed = stage(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "ordered")
     n = F.lit(1) if weight is None else F.col(weight)
@@ -173,9 +174,9 @@ def in_order(df: DataFrame, order: list[Column], stage: Callable[[DataFrame, str
     return placed.withColumn("_inside", inside).join(F.broadcast(above), "_part").withColumn("_before", F.col("_above") + F.col("_inside")).drop("_part", "_at", "_above", "_inside")
 
 
-def global_rank(df: DataFrame, score: str, ties: list[Column], stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def global_rank(df: DataFrame, score: str, ties: list[Column], stage: Callable[[DataFrame, str], DataFrame], written: bool = False) -> DataFrame:
     """df with rank: position from 1 by falling score, then ties. No task sees more than a range of the order, however scores lie."""
-    return in_order(df, [F.desc(score), *ties], stage).withColumn("rank", (F.col("_before") + 1).cast("long")).drop("_before")
+    return in_order(df, [F.desc(score), *ties], stage, written=written).withColumn("rank", (F.col("_before") + 1).cast("long")).drop("_before")
 
 
 def avg_rank_percentile(df: DataFrame, value: str, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,16 +72,57 @@ def test_pareto_layers(spark, monkeypatch):
     rows = [(i, 7, *v) for i, v in enumerate(golden)] + [(100 + i, 8, *v) for i, v in enumerate(many)]
     df = spark.createDataFrame(rows, "id int, run long, a double, b double").repartition(5)
     want = dict(zip([r[0] for r in rows], layers_by_hand(golden) + layers_by_hand(many), strict=True))
-    # Once in one pass for each run, once peeled in blocks.
+    # Once in one pass for each run, once in blocks.
     for most in (pareto.RUN_VECTORS, 20):
         monkeypatch.setattr(pareto, "RUN_VECTORS", most)
-        monkeypatch.setattr(pareto, "BLOCK", 3)
         assert {r.id: r.layer for r in pareto.pareto_layers(df, ["a", "b"], stage, by="run").collect()} == want
     whole = {r.id: r.layer for r in pareto.pareto_layers(df.where("run = 8"), ["a", "b"], stage).collect()}
     assert whole == {i: k for i, k in want.items() if i >= 100}
     assert pareto.pareto_layers(df.limit(0), ["a", "b"], stage).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 5])
+def test_layers_by_every_way(width, monkeypatch):
+    rng = random.Random(width)
+    for levels in (3, 50):
+        rows = [tuple(rng.randrange(levels) / 7 for _ in range(width)) for _ in range(160)]
+        want = layers_by_hand(rows)
+        for dense in (pareto.DENSE, 2):
+            monkeypatch.setattr(pareto, "DENSE", dense)
+            assert pareto.layers_of(np.array(rows)).tolist() == want
+        distinct = np.array(sorted(set(rows)))
+        first, rest = distinct[distinct[:, 0] >= 2 / 7], distinct[distinct[:, 0] < 2 / 7]
+        above = pareto.layers_of(first)
+        got = pareto.chained(rest, pareto.deepest_over(rest, first, above))
+        assert dict(zip(map(tuple, [*first.tolist(), *rest.tolist()]), [*above.tolist(), *got.tolist()])) == dict(zip(rows, want))
+
+
+def test_jobs_of_a_large_run_do_not_follow_its_layers(spark, monkeypatch):
+    monkeypatch.setattr(pareto, "RUN_VECTORS", 2500)
+    rng = np.random.default_rng(4)
+    x = rng.random(10_000)
+    y = x + rng.random(10_000) / 50
+    df = spark.createDataFrame(pd.DataFrame({"id": range(10_000), "a": x, "b": y}))
+    spark.sparkContext.setJobGroup("layers", "layers")
+    got = {r.id: r.layer for r in pareto.pareto_layers(df, ["a", "b"], stage).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("layers"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = pareto.layers_of(np.column_stack([x, y]))
+    assert got == dict(enumerate(want.tolist()))
+    assert max(got.values()) > 500 and jobs < 120
+
+
+def test_dominators_in_small_ranges_and_with_ties(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, 0.5 if i % 3 else rng.randrange(5) / 5, rng.randrange(40) / 40 if i % 2 else 0.25) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    want = {i: sum(x >= a and y >= b and (x, y) != (a, b) for _, x, y in rows) for i, a, b in rows}
+    for most in (7, 64):
+        monkeypatch.setattr(pareto, "RANGE", most)
+        assert {r.id: r.dominated_by for r in pareto.dominators(df, "a", "b", stage).collect()} == want
+    assert pareto.dominators(df.limit(0), "a", "b", stage).count() == 0
+
+
 def test_dominators_are_counted(spark):
     rng = random.Random(5)
     rows = [(i, rng.randrange(30) / 30, rng.random() if i % 2 else 0.5) for i in range(400)]
