@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -170,29 +172,17 @@ def h22(v):
     return each.groupBy("id", "triad").agg(F.count(F.lit(1)).alias("n")).withColumn("share", r6(F.col("n") / F.max("n").over(Window.partitionBy("id"))))
 
 
-_STD = {n: {a: (s[a] - sum(s.values()) / 20) / (sum((x - sum(s.values()) / 20) ** 2 for x in s.values()) / 20) ** 0.5 for a in s} for n, s in {"h1": S.KYTE_DOOLITTLE, "h2": S.BOMAN, "m": S.MASS}.items()}
-_STD_SQL = values([(a, *(_STD[n][a] for n in _STD)) for a in S.ALPHABET], "aa, h1, h2, m")
-
-
-def _lagged(v, lag: int):
-    """Pairs of residues `lag` apart, each with its three standardised properties."""
-    table = v.rows([(a, *(_STD[n][a] for n in _STD)) for a in S.ALPHABET], "aa string, h1 double, h2 double, m double")
-    w = Window.partitionBy("id").orderBy("pos")
-    each = v.residues.join(F.broadcast(table), "aa")
-    return each.select("id", *_STD, *(F.lead(n, lag).over(w).alias(f"{n}_{lag}") for n in _STD)).where(F.col(f"h1_{lag}").isNotNull())
-
+def _standard(scale):
+    """A scale's values less their mean, over their spread (population)."""
+    mean = sum(scale.values()) / 20
+    spread = (sum((x - mean) ** 2 for x in scale.values()) / 20) ** 0.5
+    return {a: (scale[a] - mean) / spread for a in scale}
 
-_LAG_SQL = lambda lag: with_("residues", more=f"s AS (SELECT id, pos, h1, h2, m FROM residues JOIN {_STD_SQL} t USING (aa)), l AS (SELECT a.id, a.h1, a.h2, a.m, b.h1 AS g1, b.h2 AS g2, b.m AS gm FROM s a JOIN s b ON a.id = b.id AND b.pos = a.pos + {lag})")
 
-
-@query("H23_paac", _LAG_SQL(2) + f"SELECT id, {sql_r6('avg(((h1-g1)*(h1-g1) + (h2-g2)*(h2-g2) + (m-gm)*(m-gm)) / 3)')} AS theta2 FROM l GROUP BY id")
-def h23(v):
-    return _lagged(v, 2).groupBy("id").agg(r6(F.avg(sum(F.pow(F.col(n) - F.col(f"{n}_2"), 2) for n in _STD) / 3)).alias("theta2"))
-
-
-@query("H24_apaac", _LAG_SQL(1) + f"SELECT id, {sql_r6('avg(h1 * g1)')} AS tau_h1, {sql_r6('avg(h2 * g2)')} AS tau_h2 FROM l GROUP BY id")
-def h24(v):
-    return _lagged(v, 1).groupBy("id").agg(r6(F.avg(F.col("h1") * F.col("h1_1"))).alias("tau_h1"), r6(F.avg(F.col("h2") * F.col("h2_1"))).alias("tau_h2"))
+_STD = {n: _standard(s) for n, s in {"h1": S.KYTE_DOOLITTLE, "h2": S.BOMAN, "m": S.MASS}.items()}
+_STD_SQL = values([(a, *(_STD[n][a] for n in _STD)) for a in S.ALPHABET], "aa, h1, h2, m")
+_PSEUDO = {n: _standard(s) for n, s in S.PSEUDO.items()}
+_PSEUDO_SQL = values([(a, *(_PSEUDO[n][a] for n in _PSEUDO)) for a in S.ALPHABET], "aa, hb, hl, sc")
 
 
 #: Lags of the sequence-order couplings and of the autocorrelations.
@@ -213,6 +203,58 @@ def _lag_sum(one, lag, term, two=None):
     return F.when(n > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x))
 
 
+#: Weight of the correlation terms of pseudo-composition.
+_WEIGHT = 0.05
+
+
+def _pseudo_sql(terms):
+    """Vectors by SQL. terms: the mean over pairs (a, b) of each correlation, by name; a lag that a sequence is too short for counts 0."""
+    named = [(f"{n}{k}", f"max({n}) FILTER (lag = {k})") for n in terms for k in LAGS]
+    each = lambda lam: " + ".join(f"{n}{k}" for n in terms for k in LAGS if k <= lam)
+    return with_("residues", more=f"""s AS MATERIALIZED (SELECT id, pos, hb, hl, sc FROM residues JOIN {_PSEUDO_SQL} t USING (aa)),
+t AS (SELECT a.id, lag, {", ".join(f"avg({e}) AS {n}" for n, e in terms.items())} FROM s a CROSS JOIN {_MAXLAG_SQL} g JOIN s b ON a.id = b.id AND b.pos = a.pos + lag GROUP BY ALL),
+p AS (SELECT id, {", ".join(f"{e} AS {n}" for n, e in named)} FROM t GROUP BY id),
+c AS (SELECT id, {", ".join(f"count(*) FILTER (aa = '{a}') AS n_{a}" for a in S.ALPHABET)} FROM residues GROUP BY id),
+f AS (SELECT id, {", ".join(f"n_{a}" for a in S.ALPHABET)}, {", ".join(f"coalesce({n}, 0.0) AS {n}" for n, _ in named)} FROM c LEFT JOIN p USING (id)),
+d AS (SELECT *, CASE lam {" ".join(f"WHEN {lam} THEN 1 + {_WEIGHT} * ({each(lam)})" for lam in LAGS)} END AS w FROM f CROSS JOIN (SELECT unnest({list(LAGS)}) AS lam))""") + (
+        f"SELECT id, lam, {', '.join(sql_r6(f'n_{a} / w') + f' AS x_{a}' for a in S.ALPHABET)}, "
+        + ", ".join(f"CASE WHEN {k} <= lam THEN {sql_r6(f'{_WEIGHT} * {n}{k} / w')} + 0.0 END AS {n}{k}" for n in terms for k in LAGS)
+        + " FROM d"
+    )
+
+
+def _pseudo(v, terms):
+    """(id, lam, 20 composition terms, correlation terms of each lag up to lambda), for each lambda of LAGS, from one pass over the
+    row: all under one denominator, 1 + the weighted sum of the correlations. terms: name to (properties, term of two values)."""
+    rows = _in_row(v, _PSEUDO)
+
+    def mean(k, properties, term):
+        sums = [_lag_sum(F.col(c), k, term) for c in properties]
+        return F.coalesce(reduce(lambda a, b: a + b, sums) / len(sums) / (F.length("sequence") - k), F.lit(0.0))
+
+    rows = D.bound(rows.select("id", "sequence", *(mean(k, *how).alias(f"{n}{k}") for n, how in terms.items() for k in LAGS)))
+    counts = {a: D.count_of(a) for a in S.ALPHABET}
+    rows = D.bound(rows.select("id", *(c.alias(f"n_{a}") for a, c in counts.items()), *(f"{n}{k}" for n in terms for k in LAGS)))
+    whole = F.array(*(F.struct(F.lit(lam).alias("lam"), (1 + _WEIGHT * reduce(lambda a, b: a + b, (F.col(f"{n}{k}") for n in terms for k in LAGS if k <= lam))).alias("w")) for lam in LAGS))
+    each = D.bound(rows.select("*", F.explode(whole).alias("x")).select("*", "x.lam", "x.w"))
+    return each.select("id", "lam", *(r6(F.col(f"n_{a}") / F.col("w")).alias(f"x_{a}") for a in S.ALPHABET), *(F.when(F.col("lam") >= k, r6(_WEIGHT * F.col(f"{n}{k}") / F.col("w"))).alias(f"{n}{k}") for n in terms for k in LAGS))
+
+
+_SQUARES = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _PSEUDO)
+
+
+@query("H23_paac", _pseudo_sql({"theta": f"({_SQUARES}) / 3"}))
+def h23(v):
+    """Type 1: the mean squared difference of three standardised properties at each lag."""
+    return _pseudo(v, {"theta": (tuple(_PSEUDO), lambda x, y: (x - y) * (x - y))})
+
+
+@query("H24_apaac", _pseudo_sql({c: f"a.{c} * b.{c}" for c in _PSEUDO}))
+def h24(v):
+    """Amphiphilic: the mean product of each property at each lag."""
+    return _pseudo(v, {c: ((c,), lambda x, y: x * y) for c in _PSEUDO})
+
+
 @query(
     "H25_qso_soc",
     with_("residues", more=f"""s AS MATERIALIZED (SELECT id, pos, h1, m FROM residues JOIN {_STD_SQL} t USING (aa)),

@@ -79,3 +79,13 @@ DIWV = {
     "WG": -9.37, "WH": 24.68, "WL": 13.34, "WM": 24.68, "WN": 13.34, "WT": -14.03, "WV": -7.49, "YD": 24.68, "YE": -6.54, "YG": -7.49, "YH": 13.34,
     "YM": 44.94, "YP": 13.34, "YR": -15.91, "YT": -7.49, "YW": -9.37, "YY": 13.34,
 }
+
+#: The three properties of pseudo-composition (hydrophobicity, hydrophilicity, side-chain mass), by residue in the order
+#: ARNDCQEGHILKMFPSTWYV.
+_PSEUDO_ORDER = "ARNDCQEGHILKMFPSTWYV"
+PSEUDO = {
+    "hb": [0.62, -2.53, -0.78, -0.9, 0.29, -0.85, -0.74, 0.48, -0.4, 1.38, 1.06, -1.5, 0.64, 1.19, 0.12, -0.18, -0.05, 0.81, 0.26, 1.08],
+    "hl": [-0.5, 3, 0.2, 3, -1, 0.2, 3, 0, -0.5, -1.8, -1.8, 3, -1.3, -2.5, 0, 0.3, -0.4, -3.4, -2.3, -1.5],
+    "sc": [15, 101, 58, 59, 47, 72, 73, 1, 82, 57, 57, 73, 75, 91, 42, 31, 45, 130, 107, 43],
+}
+PSEUDO = {n: dict(zip(_PSEUDO_ORDER, map(float, v), strict=True)) for n, v in PSEUDO.items()}
