@@ -3,36 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Bytes of text that one numpy step handles; bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 19
 #: Rows of whole documents that travel to a Python worker at once; bounds the Arrow buffers on both sides.
 BATCH_ROWS = 1000
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session without one (tests) gets a folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
-        _own[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -163,6 +150,40 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(at)
 
 
+#: Keys of different rows that may be told apart by name.
+TOLD_APART = 1000
+
+
+def _first_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text")
+
+
+def _second_key() -> Column:
+    """64 bits of a digest of what _first_key hashes."""
+    whole = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce(F.md5("text"), F.lit("")))
+    half = lambda k: F.conv(F.substring(F.md5(whole), k, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A long for each row of docs (doc_id long, text), equal for rows of equal doc_id (or none) and text only: a hash, but rows whose
+    hash other rows have too are keyed by a second one. 64 bits alone would give some of 10^10 rows the key of another."""
+    both = docs.select(_first_key().alias("k"), _second_key().alias("s")).groupBy("k").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    shared = [r.k for r in both.where("low < high").select("k").limit(TOLD_APART + 1).collect()]
+    if len(shared) > TOLD_APART:
+        # Not by chance: the hash was aimed at.
+        return _second_key()
+    return F.when(_first_key().isin(shared), _second_key()).otherwise(_first_key()) if shared else _first_key()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send BATCH_ROWS rows at a time to Python, if the session allows more."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, FlatTexts, byte_set, hash_runs, map_texts, mix, staged
+from .common import LOWER, FlatTexts, byte_set, free_name, hash_runs, map_texts, mix, row_key, staged
 
 SEED_WORDS, MATCH, MISMATCH, GAP, LEAK = 3, 2, -1, -1, 0.5
 #: Items of fewer words are looked for as they stand.
@@ -177,11 +177,6 @@ def _hits(docs: DataFrame, seeds: DataFrame, widths: list[int]) -> DataFrame:
     return map_texts(docs.select("row", "text"), rows, "row long, gram long, at long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with row: equal for rows of equal doc_id (or none) and text only."""
-    return docs.withColumn("row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-
-
 def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """row, windows (item, low, high): where in which rows seeds of which items stand, a window for hits near each other."""
     grams = items.select("item", "size", F.explode("grams").alias("g")).select("item", "size", "g.*")
@@ -210,7 +205,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     without a word or with a null id are skipped; of one item id, each different text is an item. Items of fewer than SHORT words
     leak where all their words stand in a row. Repeated rows of docs give repeated leaks; repeated items count once.
     """
-    return _leaks(_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), benchmark).drop("row")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _leaks(own.withColumn("row", row_key(own)), benchmark).drop("row")
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -266,9 +262,9 @@ def similarities(pieces: list[np.ndarray], items: list[np.ndarray]) -> np.ndarra
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a leak; all columns and other rows (null and empty texts, null ids, repeated ones) stay."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bad = staged(_leaks(_keyed(own), benchmark).select("row").distinct(), "leaked")
-    key: Column = F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text"))
-    return docs.withColumn("_leak_row", key).join(_small(bad.withColumnRenamed("row", "_leak_row")), "_leak_row", "left_anti").select(*docs.columns)
+    key, name = row_key(own), free_name(docs, "_row")
+    bad = staged(_leaks(own.withColumn("row", key), benchmark).select("row").distinct(), "leaked")
+    return docs.withColumn(name, key).join(_small(bad.withColumnRenamed("row", name)), name, "left_anti").select(*docs.columns)
 
 
 def drop_rows(docs: DataFrame, bad: Callable[[FlatTexts], np.ndarray]) -> DataFrame:

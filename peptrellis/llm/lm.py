@@ -9,8 +9,8 @@ share (c + 1) / Z, with one unit left for words never seen, so the probabilities
 corpus' log frequencies.
 
 Training. A warm-up on each WARM_PART-th document, in replicas that are averaged, gives the starting point. Then each task trains
-its own replica on all training documents of its partition, windows of WINDOW steps with the state carried on, and the replicas are
-averaged, weighted by their tokens, in a tree. Scores therefore depend on how the input is split into partitions (not the counts or
+its own replica on all training documents of its partition, windows of WINDOW steps with the state carried on (lanes that begin
+inside a document take it from the BURN_IN tokens before), and the replicas are averaged, weighted by their tokens, in a tree. Scores therefore depend on how the input is split into partitions (not the counts or
 the base). Scoring carries the state through each whole document.
 """
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, NON_SPACE, FlatTexts, hash_runs, slices, small_batches, staged
 
 HIDDEN, CLASSES, VOCABULARY, WINDOW, LANES = 16, 24, 1535, 16, 512
+#: Tokens that lead to the state of a training lane that begins inside a document.
+BURN_IN = 64
 FREQUENT = 1 << 20
 #: Of so many documents (by a hash of their ids) one takes part in the warm-up.
 WARM_PART = 16
@@ -187,20 +189,31 @@ class Gru:
         return log_p, d_states, grads
 
     def learn(self, stream: np.ndarray, rate: float, squares: dict) -> None:
-        """One pass of truncated backpropagation over a stream of documents (model ids, each ended by END), in lanes; AdaGrad."""
+        """One pass of truncated backpropagation over a stream of documents (model ids, each ended by END), in lanes; AdaGrad. Every
+        token is predicted once: the last lane is filled up with -1, which is not. A lane that begins inside a document takes the
+        state that the BURN_IN tokens before it lead to."""
         lanes = max(1, min(LANES, len(stream) // 64))
-        steps = len(stream) // lanes
-        y = stream[: steps * lanes].reshape(lanes, steps).T
-        x = np.vstack([np.full((1, lanes), END, y.dtype), y[:-1]])
+        steps = -(-len(stream) // lanes)
+        y = np.append(stream, np.full(lanes * steps - len(stream), -1, stream.dtype)).reshape(lanes, steps).T
+        # What each step reads: the token before, back to BURN_IN before a lane's first.
+        padded = np.concatenate([np.full(BURN_IN + 1, END, stream.dtype), stream, np.full(lanes * steps - len(stream), END, stream.dtype)])
+        at = np.arange(lanes) * steps
+        early = padded[at[None, :] + np.arange(BURN_IN)[:, None]]
+        h = self.run(early, (early != END).astype(np.float32), np.zeros((lanes, HIDDEN), np.float32))[-1]
+        x = padded[at[None, :] + BURN_IN + np.arange(steps)[:, None]]
         keep = (x != END).astype(np.float32)
-        h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, steps, WINDOW):
             h = self._step(x[t : t + WINDOW], y[t : t + WINDOW], keep[t : t + WINDOW], h, rate, squares)
 
     def _step(self, x, y, keep, h, rate, squares) -> np.ndarray:
         p, n, trace = self.p, HIDDEN, []
         states = self.run(x, keep, h, trace)
-        _, d, grads = self.predict(states.reshape(-1, n), y.reshape(-1), True)
+        real = y.reshape(-1) >= 0
+        if real.all():
+            _, d, grads = self.predict(states.reshape(-1, n), y.reshape(-1), True)
+        else:
+            d = np.zeros((y.size, n), np.float32)
+            _, d[real], grads = self.predict(states.reshape(-1, n)[real], y.reshape(-1)[real], True)
         d = d.reshape(states.shape)
         da = np.empty((*x.shape, 3 * n), np.float32)
         carry = np.zeros_like(h)
@@ -223,7 +236,7 @@ class Gru:
         starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
         touched = ids[order][starts]
         gx = np.add.reduceat(flat[order], starts, axis=0)
-        scale = np.float32(1 / np.sqrt(x.size))
+        scale = np.float32(1 / np.sqrt(max(real.sum(), 1)))
         gx *= scale
         squares["x"][touched] += gx * gx
         p["x"][touched] -= rate * gx / np.sqrt(squares["x"][touched])

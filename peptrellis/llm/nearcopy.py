@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, FlatTexts, hash_runs, map_texts, mix, staged
+from .common import LOWER, NON_SPACE, FlatTexts, free_name, hash_runs, map_texts, mix, row_key, staged
 
 WORDS, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
 #: Texts of a similarity of SIMILARITY share a sketch with probability of 0.6 at least; a pair with fewer than AGREE equal sketches
@@ -202,7 +202,7 @@ def _verified(docs: DataFrame, rays: DataFrame, repeated: bool) -> DataFrame:
     return staged(together.mapInArrow(check, "a long, b long"), "links")
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, part): the least doc_id that links (a, b) connect to each node. Rounds of neighbour minima and pointer jumps; nodes
     with many links send their labels by broadcast, so no task holds all links of one node."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
@@ -212,7 +212,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     busy = 0 < n_hot <= BROADCAST_ROWS
     calm = both.join(F.broadcast(hot), "b", "left_anti") if busy else both
     labels = staged(both.select(F.col("a").alias("doc_id")).distinct().withColumn("part", F.col("doc_id")), "labels")
-    for _ in range(rounds):
+    while True:
         near = calm.join(labels, calm.b == labels.doc_id).select("a", "part")
         if busy:
             told = labels.join(F.broadcast(hot), labels.doc_id == hot.b, "left_semi").select(F.col("doc_id").alias("b"), "part")
@@ -230,16 +230,9 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
         labels = new.drop("was")
         if not changed:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.select("doc_id").join(labels, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
 
 
-def _row_key() -> Column:
-    """Equal for rows of equal doc_id (or none) and text only."""
-    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of its class), n_copies (rows with its exact shingles, itself
     included), n_links (links of its text to other texts that were verified to find its class: not more than that takes), n_class (rows of the class).
@@ -248,20 +241,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Different texts of one doc_id are classed apart. A row without doc_id is classed by its text like others; class_id is null where
     no row of the class has a doc_id. Exact copies (equal shingles) collapse before the search.
     """
-    return _classed(docs).select("id", "class_id", "n_copies", "n_links", "n_class").withColumnRenamed("id", "doc_id")
+    return _classed(docs, row_key(_own(docs))).select("id", "class_id", "n_copies", "n_links", "n_class").withColumnRenamed("id", "doc_id")
 
 
 def first_of_classes(docs: DataFrame) -> DataFrame:
     """Of each class of near copies the row with the least doc_id (then of the least row key); of repeated rows of it, one. A row
     without doc_id stays only where no row of its class has one. Rows without doc_id and without a word all stay."""
-    found = _classed(docs)
+    key, name = row_key(_own(docs)), free_name(docs, "_row")
+    found = _classed(docs, key)
     least = found.where("part is not null").groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x")).select("x.row")
     blank = found.where("part is null")
-    keyed = docs.withColumn("_row", _row_key())
-    one = least.union(blank.where("id is not null").select("row")).select(F.col("row").alias("_row")).distinct()
-    every = blank.where("id is null").select(F.col("row").alias("_row")).distinct()
-    kept = keyed.join(one, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.unionByName(keyed.where("doc_id is null").join(every, "_row", "left_semi")).select(*docs.columns)
+    keyed = docs.withColumn(name, key)
+    one = least.union(blank.where("id is not null").select("row")).select(F.col("row").alias(name)).distinct()
+    every = blank.where("id is null").select(F.col("row").alias(name)).distinct()
+    kept = keyed.join(one, name, "left_semi").dropDuplicates([name])
+    return kept.unionByName(keyed.where("doc_id is null").join(every, name, "left_semi")).select(*docs.columns)
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -397,10 +395,10 @@ def _across(docs: DataFrame, rows: DataFrame, repeated: bool) -> DataFrame:
     return staged(together.mapInArrow(links, "a long, b long"), "links")
 
 
-def _classed(docs: DataFrame) -> DataFrame:
+def _classed(docs: DataFrame, key: Column) -> DataFrame:
     """near_duplicates with id for doc_id, row (the row's key) and part (of the class; null without a word)."""
     # From here on, doc_id is the row key.
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), _row_key().alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("doc_id"), "text")
     prints = [f"f{k}" for k in range(PRINTS)]
     rows = staged(map_texts(docs, _sketch_rows, "doc_id long, id long, same binary, n_shingles long, " + "".join(f"{f} long, " for f in prints) + "sketch array<long>"), "sketches")
     worded = rows.where("n_shingles > 0")

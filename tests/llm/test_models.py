@@ -272,3 +272,30 @@ def test_language_model_takes_rows_without_id_and_long_texts(spark):
     n = {(r.doc_id, r.n_tokens) for r in got}
     assert {(None, 4), (None, 1), (5, 60_001), (5, 2)} <= n
     assert all(np.isfinite(r.score) and r.score < 0 and r.base_score < 0 for r in got)
+
+
+def test_training_predicts_each_token_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    counts = np.array([50, 40, 30, 20, 10])
+    words = lm.Words(150, 5, np.array([int(lm.END_HASH), 11, 22, 33, 44], np.uint64), counts)
+    seen, states = [], []
+    step = lm.Gru._step
+
+    def watched(self, x, y, keep, h, rate, squares):
+        seen.append(y[y >= 0].copy())
+        states.append((x[0].copy(), h.copy()))
+        return step(self, x, y, keep, h, rate, squares)
+
+    monkeypatch.setattr(lm.Gru, "_step", watched)
+    for n in (1, 63, 64, 1000, 64 * 7 + 5):
+        seen.clear(), states.clear()
+        stream = rng.integers(0, 5, n).astype(np.int32)
+        stream[-1] = lm.END
+        model = lm.Gru(words)
+        model.learn(stream, 0.01, model.squares())
+        assert np.bincount(np.concatenate(seen), minlength=5).tolist() == np.bincount(stream, minlength=5).tolist()
+        # Lanes read the token before their first one, and start from a state where they begin inside a document.
+        lanes, steps = max(1, min(lm.LANES, n // 64)), -(-n // max(1, min(lm.LANES, n // 64)))
+        x, h = states[0]
+        assert x.tolist() == [lm.END, *(stream[k * steps - 1] for k in range(1, lanes))]
+        assert all(np.abs(h[k]).sum() > 0 for k in range(1, lanes) if x[k] != lm.END)

@@ -196,3 +196,28 @@ def test_seeds_find_what_all_pairs_alignment_finds(spark, monkeypatch):
         assert got <= want and len(got) >= 0.9 * len(want) > 50
     assert decontaminate.leaks(df.limit(0), bench).collect() == []
     assert decontaminate.leaks(df, bench.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("told", [1000, 2])
+def test_rows_whose_keys_collide_stay_apart(spark, monkeypatch, told):
+    from pyspark.sql import functions as F
+
+    from peptrellis.llm import common
+
+    rng = random.Random(12)
+    bases = [words(rng, 60) for _ in range(15)]
+    texts = {k: " ".join(edited(rng, bases[k % 15], k // 15)) for k in range(40)}
+    item = words(rng, 40)
+    texts[40], texts[41] = " ".join(words(rng, 30) + item + words(rng, 30)), " ".join(words(rng, 80))
+    docs = spark.createDataFrame([(i, t, "r", "l", "k") for i, t in texts.items()], "doc_id long, text string, _row string, _LEAK_row string, __ROW string").repartition(3)
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = {i: c for i, c in brute(texts).items()}
+    monkeypatch.setattr(common, "_first_key", lambda: F.pmod(F.xxhash64("doc_id", "text"), F.lit(7)))
+    monkeypatch.setattr(common, "TOLD_APART", told)
+    assert {r.doc_id: r.class_id for r in nearcopy.near_duplicates(docs).collect()} == want
+    kept = nearcopy.first_of_classes(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted((i, texts[i], "r", "l", "k") for i in set(want.values()))
+    clean = decontaminate.clean(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect())) == sorted((i, t, "r", "l", "k") for i, t in texts.items() if i != 40)
