@@ -256,11 +256,14 @@ def l9(v):
     return new.select("sequence", F.when(F.length("sequence").between(8, 35), r6(D.mean_of(S.KYTE_DOOLITTLE))).otherwise(F.lit(-10.0)).alias("fitness"))
 
 
-@query("L10_generation_round")
+_ROUNDS = 3
+
+
+@query("L10_generation_round", with_("seeds", more="start AS (SELECT id // 1000000 AS family, sequence FROM seeds),\n" + L.generations_sql("start", _ROUNDS)) + " UNION ALL ".join(f"SELECT {k} AS round, pop, family, generation, sequence, {sql_r6('fitness')} AS fitness, class FROM p{k}" for k in range(1, _ROUNDS + 1)))
 def l10(v):
-    """Three rounds of generation from the reference panel, by family."""
+    """Three rounds of generation from the reference panel: who survives each."""
     start = v.seeds.selectExpr("id div 1000000 as family", "sequence")
-    return L.generations(start, 3, stage).select("family", "generation", "sequence", r6("fitness").alias("fitness"))
+    return L.generations(start, _ROUNDS, stage).withColumn("fitness", r6("fitness"))
 
 
 _SHUFFLED = "(id % 1000003 * 7919 + copy * 104729 + i * 1299709) % 1000003"

@@ -11,6 +11,7 @@ from ..registry import query, r6, sql_r6
 from ..sources.shared import stage
 from ..sources.views import ENZYMES, MODULES, values, with_
 from . import ranking as R
+from .library import survivors
 from .pareto import pareto_layers
 from .quantiles import quantiles
 
@@ -257,16 +258,8 @@ def e6(v):
 def e5(v):
     """Per population: four elites, then the fittest with at most three of a family, then whoever is fittest, up to forty."""
     u = v.predictions.where("amp is not null").groupBy("sequence").agg(F.min("id").alias("id"), F.max("amp").alias("fit"))
-    f = u.withColumn("family", F.expr("id div 1000000")).withColumn("pop", F.col("family") % 17)
-    fit = [F.desc("fit"), F.col("id")]
-    f = f.withColumn("slot", F.row_number().over(Window.partitionBy("pop", "family").orderBy(*fit)))
-    # Whoever can survive is among the 44 fittest of its population, or of those with a place in their family: each of 64 deals of a
-    # population keeps so many, and only they meet.
-    deal = Window.partitionBy("pop", F.pmod(F.hash("id"), F.lit(64)), F.col("slot") <= 3).orderBy(*fit)
-    f = f.withColumn("near", F.row_number().over(deal)).where("near <= 44").drop("near")
-    e = f.withColumn("rn", F.row_number().over(Window.partitionBy("pop").orderBy(*fit)))
-    c = e.withColumn("class", F.when(F.col("rn") <= 4, 0).when(F.col("slot") <= 3, 1).otherwise(2))
-    return c.withColumn("place", F.row_number().over(Window.partitionBy("pop").orderBy("class", *fit))).where("place <= 40").select("id", "pop", "class")
+    f = u.withColumn("family", F.expr("id div 1000000")).withColumn("pop", F.col("family") % 17).withColumnRenamed("fit", "fitness")
+    return survivors(f, tie="id").select("id", "pop", "class")
 
 
 @query("E13_max_normalise", with_("residues", "exposure") + f"SELECT id, pos, {sql_r6('CASE WHEN max(exposure) OVER (PARTITION BY id) > 0 THEN least(1.0, exposure / max(exposure) OVER (PARTITION BY id)) ELSE 0.0 END')} AS exposure FROM exposure")

@@ -135,30 +135,43 @@ def test_missing_scores_count_as_zero_in_layers(spark):
     assert {r.id: r.layer for r in pareto.pareto_layers(df, ["a", "b"], stage).collect()} == {1: 2, 2: 1}
 
 
+def survivors_by_hand(pool):
+    """pool: (family, sequence, fitness, generation) of one population."""
+    best, families, classed = sorted(pool, key=lambda m: (-m[2], m[1])), {}, []
+    for rank, m in enumerate(best):
+        families[m[0]] = families.get(m[0], 0) + 1
+        classed.append((0 if rank < L.ELITES else 1 if families[m[0]] <= L.FAMILY_CAP else 2, *m))
+    return sorted(classed, key=lambda m: (m[0], -m[3], m[2]))[: L.SIZE]
+
+
 def generated_by_hand(seeds, rounds):
     """The rounds of library.generations in plain Python."""
-    fit = lambda s: round(fitness[s], 9)
     positive = lambda s: sum(c in "KR" for c in s) > sum(c in "DE" for c in s)
-    pools = {f: [(s, fit(s)) for s in ss] for f, ss in seeds.items()}
-    out = []
+    fit = lambda s: round(fitness[s], 9) if positive(s) else L.FLOOR
+    pops, out = {}, []
+    for f, ss in sorted(seeds.items()):
+        for s in ss:
+            pops.setdefault(f % L.POPULATIONS, {}).setdefault(s, f)
+    pops = {p: [m[1:] for m in survivors_by_hand([(f, s, fit(s), 0) for s, f in ss.items()])] for p, ss in pops.items()}
     for g in range(1, rounds + 1):
-        for f, pool in pools.items():
-            members, made = sorted(pool, key=lambda m: (-m[1], m[0])), set()
+        for p, pool in pops.items():
+            members, made = sorted(pool, key=lambda m: (-m[2], m[1])), {}
             for slot in range(L.CHILDREN):
-                draw = lambda side: members[min((f * 7919 + slot * 104729 + (side * L.DRAWS + d) * 1299709 + g * 15485863) % len(members) for d in range(L.DRAWS))][0]  # noqa: B023, E731
-                a, b = draw(0), draw(1)
-                at = lambda s, k: (f * 31 + slot * 17 + k + g) % max(len(s) - 1, 1) + 1  # noqa: B023, E731
+                draw = lambda side: members[min((p * 7919 + slot * 104729 + (side * L.DRAWS + d) * 1299709 + g * 15485863) % len(members) for d in range(L.DRAWS))]  # noqa: B023, E731
+                (family, a, *_), (_, b, *_) = draw(0), draw(1)
+                at = lambda s, k: (p * 31 + slot * 17 + k + g) % max(len(s) - 1, 1) + 1  # noqa: B023, E731
                 child, tries = a[: at(a, 5)] + b[at(b, 3) :], []
                 for k in range(L.ATTEMPTS):
-                    p, x = (f + slot * 3 + k * 7 + g) % len(child), ALPHABET[(f * 3 + slot + k + g) % 20]
+                    q, x = (p + slot * 3 + k * 7 + g) % len(child), ALPHABET[(p * 3 + slot + k + g) % 20]
                     cut = max(len(child) - 1, 1)
-                    s = [child[:p] + x + child[p + 1 :], child[:cut], child[len(child) - cut :]][k % 3]
+                    s = [child[:q] + x + child[q + 1 :], child[:cut], child[len(child) - cut :]][k % 3]
                     tries.append(s[: L.LONGEST].ljust(L.SHORTEST, x))
-                made.add(next((s for s in tries if positive(s)), tries[-1]))
-            new = [(s, fit(s) if positive(s) else L.FLOOR) for s in made - {s for s, _ in pool}]
-            best = sorted(new, key=lambda m: (-m[1], m[0]))[: L.SURVIVORS]
-            out += [(f, g, s, x) for s, x in best]
-            pool.extend(best)
+                s = next((s for s in tries if positive(s)), tries[-1])
+                made[s] = min(made.get(s, family), family)
+            have = {m[1] for m in pool}
+            kept = survivors_by_hand([*pool, *((f, s, fit(s), g) for s, f in made.items() if s not in have)])
+            pops[p] = [m[1:] for m in kept]
+            out += [(g, p, f, born, s, x, c) for c, f, s, x, born in kept]
     return sorted(out)
 
 
@@ -175,14 +188,17 @@ class Fitness(dict):
 fitness = Fitness()
 
 
-def test_generations_equal_plain_python(spark):
+def test_generations_equal_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(L, "POPULATIONS", 3)
+    monkeypatch.setattr(L, "SIZE", 9)
     rng = random.Random(14)
-    seeds = {f: sorted({"".join(rng.choice(ALPHABET) for _ in range(rng.randrange(6, 36))) for _ in range(rng.choice([1, 3, 6]))}) for f in range(6)}
+    seeds = {f: sorted({"".join(rng.choice(ALPHABET) for _ in range(rng.randrange(6, 36))) for _ in range(rng.choice([1, 3, 9]))}) for f in range(8)}
+    seeds[7].append(seeds[4][0])
     start = spark.createDataFrame([(f, s) for f, ss in seeds.items() for s in ss], "family long, sequence string")
-    got = sorted((r.family, r.generation, r.sequence, round(r.fitness, 9)) for r in L.generations(start, 3, stage).collect())
+    got = sorted((r.round, r.pop, r.family, r.generation, r.sequence, round(r.fitness, 9), r["class"]) for r in L.generations(start, 3, stage).collect())
     want = generated_by_hand(seeds, 3)
-    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
-    assert {g[1] for g in got} == {1, 2, 3}
+    assert [g[:5] + g[6:] for g in got] == [w[:5] + w[6:] for w in want] and all(abs(g[5] - w[5]) < 1e-8 for g, w in zip(got, want, strict=True))
+    assert {g[3] for g in got} == {0, 1, 2, 3} and {g[6] for g in got} == {0, 1, 2}
 
 
 def test_decoys_match_lengths(spark):
