@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import descriptors as D
 from ..functions import scales as S
@@ -20,6 +16,7 @@ from . import library as L
 from . import synthesis as Y
 from .lineage import ancestry, edges_of
 from .pareto import dominators
+from .scorers import from_scalar, score_distinct, scorer
 
 _BLOCK_AT = {"d_amino_acid": 4, "lipid_tail": 6, "peg_chain": 11, "cyclic": 9}
 _DRIVERS = """drv AS (SELECT id, pos, aa AS motif, CASE aa WHEN 'R' THEN 0.03 ELSE 0.01 END AS penalty FROM residues WHERE aa IN ('R', 'M', 'W')
@@ -297,6 +294,16 @@ def l12(v):
     return v.table("documents").select("doc_id", c.alias("c")).where("length(c) >= 12").select("doc_id", (F.length("c") - 11).cast("long").alias("windows"), F.size(F.array_distinct(every)).cast("long").alias("distinct_windows"))
 
 
+@query("L12_windows", "WITH c AS (SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS c FROM documents), w AS (SELECT doc_id, p, substr(c, p, 12) AS sequence FROM (SELECT doc_id, c, unnest(range(1, length(c) - 10)) AS p FROM c)) SELECT doc_id, sequence, min(p) - 1 AS first_at, count(*) AS n FROM w GROUP BY doc_id, sequence")
+def l12_windows(v):
+    """The windows themselves: each document's distinct ones, where each stands first and how often. Windows combine in the task that
+    cuts them, before any shuffle."""
+    c = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), f"[^{S.ALPHABET}]", "")
+    rows = v.table("documents").select("doc_id", c.alias("c")).where("length(c) >= 12")
+    each = rows.select("doc_id", "c", F.explode(F.sequence(F.lit(1), F.length("c") - 11)).alias("p")).select("doc_id", "p", F.substr("c", F.col("p"), F.lit(12)).alias("sequence"))
+    return each.groupBy("doc_id", "sequence").agg((F.min("p") - 1).cast("long").alias("first_at"), F.count(F.lit(1)).alias("n"))
+
+
 @query("C15_pareto_dominance_join", with_("seeds", more="s AS (SELECT id, cast(id * 7919 % 101 AS double) / 100 AS a, cast(id * 104729 % 103 AS double) / 100 AS b FROM seeds)") + "SELECT x.id, count(*) AS dominated_by FROM s x JOIN s y ON y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b) GROUP BY x.id")
 def c15(v):
     """How many of the panel dominate each member."""
@@ -337,17 +344,12 @@ def c18(v):
 
 
 # Scorers.
-@F.pandas_udf(T.DoubleType())
-def _toy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A stand-in for a predictor that is loaded once for each worker: share of cationic residues, squashed."""
-    for s in batches:
-        yield s.str.count("[KR]") / s.str.len().clip(lower=1) * 0.8 + 0.1
+def _load_toy():
+    """A stand-in for a predictor: share of cationic residues, squashed."""
+    return from_scalar(lambda s: sum(map(s.count, "KR")) / max(len(s), 1) * 0.8 + 0.1)
 
 
-def score_distinct(df, scorer, column="sequence", name="score"):
-    """Score each distinct value once and join the scores back."""
-    some = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(name, scorer(column))
-    return df.join(some, column, "left")
+_toy = scorer("cationic share", _load_toy)
 
 
 _TOY_SQL = "(length({0}) - length(translate({0}, 'KR', ''))) * 1.0 / greatest(length({0}), 1) * 0.8 + 0.1"
@@ -363,13 +365,9 @@ _SHARE_SQL = "5 + (length(sequence) - length(translate(sequence, '{0}', ''))) *
 
 @query("K2_multi_output_scorer", with_("peptides") + f"SELECT id, {sql_r6(_SHARE_SQL.format('KR'))} AS glp1r, {sql_r6(_SHARE_SQL.format('DE'))} AS gipr FROM peptides")
 def k2(v):
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            n = f["sequence"].str.len().clip(lower=1)
-            yield pd.DataFrame({"sequence": f["sequence"], "glp1r": 5 + f["sequence"].str.count("[KR]") / n, "gipr": 5 + f["sequence"].str.count("[DE]") / n})
-
-    some = v.peptides.select("sequence").distinct().mapInPandas(score, "sequence string, glp1r double, gipr double")
-    return v.peptides.join(some, "sequence").select("id", r6("glp1r").alias("glp1r"), r6("gipr").alias("gipr"))
+    """Two outputs of one sequence, both from its counts: column functions do."""
+    share = lambda letters: 5 + D.count_of(letters) / F.greatest(F.length("sequence"), F.lit(1))
+    return v.peptides.select("id", r6(share("KR")).alias("glp1r"), r6(share("DE")).alias("gipr"))
 
 
 @query("K3_pair_scorer", with_("peptides", "seeds") + f"SELECT p.id, s.id AS target, {sql_r6('(' + _TOY_SQL.format('p.sequence') + ') * (' + _TOY_SQL.format('s.sequence') + ')')} AS score FROM peptides p JOIN seeds s ON right(p.sequence, 3) = right(s.sequence, 3)")

@@ -318,10 +318,14 @@ def d16(v):
 
 @query("D17_cleavage_stability", with_("sites", "exposure", more="b AS (SELECT s.id, sum(probability * coalesce(e.exposure, 1.0)) AS burden, count(*) AS n FROM sites s LEFT JOIN exposure e ON s.id = e.id AND s.pos = e.pos WHERE probability >= 0.5 GROUP BY s.id)") + f"SELECT p.id, {sql_r6('exp(-0.5 * coalesce(burden, 0))')} AS stability, coalesce(n, 0) AS n_sites FROM peptides p LEFT JOIN b USING (id)")
 def d17(v):
-    """exp(-k times the exposed cleavage probability of all sites at or over one half); 1 without sites."""
-    hot = v.sites.where("probability >= 0.5").join(v.exposure, ["id", "pos"], "left")
-    burden = hot.groupBy("id").agg(F.sum(F.col("probability") * F.coalesce("exposure", F.lit(1.0))).alias("burden"), F.count(F.lit(1)).alias("n"))
-    return v.peptides.select("id").join(burden, "id", "left").select("id", r6(F.exp(-0.5 * F.coalesce("burden", F.lit(0.0)))).alias("stability"), F.coalesce("n", F.lit(0)).alias("n_sites"))
+    """exp(-k times the exposed cleavage probability of all sites at or over one half); 1 without sites. A candidate's sites and
+    exposures lie in its row, so nothing is shuffled."""
+    places = F.sequence(F.lit(0), F.length("sequence") - 1)
+    chances = lambda k: F.transform(places, lambda i: F.named_struct(F.lit("p"), v.probability(i, F.lit(k)), F.lit("e"), F.coalesce(v.exposed(i), F.lit(1.0))))
+    sites = F.filter(F.concat(*(chances(k) for k, _ in v.site_enzymes)), lambda x: x["p"] >= 0.5)
+    rows = D.bound(v.peptides.select("id", sites.alias("sites")))
+    burden = F.aggregate("sites", F.lit(0.0), lambda a, x: a + x["p"] * x["e"])
+    return rows.select("id", r6(F.exp(-0.5 * burden)).alias("stability"), F.size("sites").cast("long").alias("n_sites"))
 
 
 @query("D18_cleavage_summary", with_("sites", more="e AS (SELECT id, accession, max(probability) AS p, count(*) FILTER (probability >= 0.5) AS n FROM sites GROUP BY ALL)") + "SELECT id, coalesce(string_agg(CASE WHEN n > 0 THEN accession END, ',' ORDER BY accession), '') AS susceptible_to, bool_or(n > 0) AS any_site, max(p) AS worst FROM e GROUP BY id")

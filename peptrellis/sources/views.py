@@ -89,16 +89,29 @@ class Views:
         """id, member, value: five members of an ensemble."""
         return self.peptides.select("id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("member")).withColumn("value", F.expr("cast((id * 6151 + member * 15485863) % 1013 as double) / 1012"))
 
+    #: The enzymes that have sites: number and accession.
+    site_enzymes = [e[:2] for e in ENZYMES if e[0] <= 3]
+
+    @staticmethod
+    def probability(pos: Column | str, k: Column | str) -> Column:
+        """How likely enzyme k cuts candidate id at pos."""
+        return ((F.col("id") * 31 + pos * 977 + k * 7) % 101).cast("double") / 100
+
+    @staticmethod
+    def exposed(pos: Column) -> Column:
+        """How exposed the residue at pos of candidate id is; null for candidates without a structure (id % 4 = 3)."""
+        return F.when(F.col("id") % 4 != 3, ((F.col("id") * 13 + pos * 17) % 21).cast("double") / 20)
+
     @cached_property
     def sites(self) -> DataFrame:
         """id, accession, pos, probability: cleavage sites of three enzymes at every residue."""
-        enzymes = self.rows([e[:2] for e in ENZYMES if e[0] <= 3], "k int, accession string")
-        return self.residues.crossJoin(F.broadcast(enzymes)).select("id", "accession", "pos", F.expr("cast((id * 31 + pos * 977 + k * 7) % 101 as double) / 100").alias("probability"))
+        enzymes = self.rows(self.site_enzymes, "k int, accession string")
+        return self.residues.crossJoin(F.broadcast(enzymes)).select("id", "accession", "pos", self.probability(F.col("pos"), F.col("k")).alias("probability"))
 
     @cached_property
     def exposure(self) -> DataFrame:
-        """id, pos, exposure: only for candidates with a structure (id % 4 <> 3)."""
-        return self.residues.where("id % 4 <> 3").select("id", "pos", F.expr("cast((id * 13 + pos * 17) % 21 as double) / 20").alias("exposure"))
+        """id, pos, exposure: only for candidates with a structure."""
+        return self.residues.where("id % 4 <> 3").select("id", "pos", self.exposed(F.col("pos")).alias("exposure"))
 
     @cached_property
     def atoms(self) -> DataFrame:
