@@ -44,7 +44,7 @@ def scorer(name: str, load: Callable[[], Batch]) -> Callable[[Column | str], Col
             out = pd.Series([None] * len(s), index=s.index, dtype="float64")
             have = s.notna()
             if have.any():
-                out[have] = checked(score, s[have].tolist())
+                out[have] = [float("nan") if x is None else x for x in checked(score, s[have].tolist())]
             yield out
 
     return run
