@@ -15,6 +15,7 @@ from . import gates as G
 from . import library as L
 from . import synthesis as Y
 from .lineage import ancestry, edges_of
+from .neighbours import nearest
 from .pareto import dominators
 from .scorers import from_scalar, score_distinct, scorer
 
@@ -313,21 +314,8 @@ def c15(v):
 
 @query("C16_nearest_neighbour_distance", with_("seeds") + f"SELECT a.id, {sql_r6('coalesce(min(levenshtein(a.sequence, b.sequence) * 1.0 / greatest(length(a.sequence), length(b.sequence))), 0.0)')} AS distance FROM seeds a LEFT JOIN seeds b ON a.sequence <> b.sequence GROUP BY a.id")
 def c16(v):
-    """Each member's distance to the nearest other one of the reference panel; 0 without another.
-
-    What shares its first two residues gives a bound. Lengths then exclude whoever must be farther: a text of another length differs
-    by as many edits at least. The rest is compared in blocks of lengths, from distinct sequences.
-    """
-    distinct = stage(v.seeds.select("sequence").distinct().withColumn("n", F.length("sequence")), "panel")
-    gap = F.levenshtein("sequence", "other") / F.greatest("n", "m")
-    other = distinct.select(F.col("sequence").alias("other"), F.col("n").alias("m"))
-    alike = distinct.join(other, F.substring("sequence", 1, 2) == F.substring("other", 1, 2)).where("sequence <> other")
-    bound_ = distinct.join(alike.groupBy("sequence").agg(F.min(gap).alias("bound")), "sequence", "left").withColumn("bound", F.coalesce("bound", F.lit(1.0)))
-    # |n - m| / max(n, m) <= bound: lengths from n (1 - bound) to n / (1 - bound).
-    lengths = F.broadcast(distinct.select(F.col("n").alias("m")).distinct())
-    reach = stage(bound_, "bounds").join(lengths, F.abs(F.col("n") - F.col("m")) <= F.col("bound") * F.greatest("n", "m") + 1e-9)
-    near = reach.join(other, "m").where("sequence <> other").groupBy("sequence").agg(F.min(gap).alias("distance"))
-    return v.seeds.join(near, "sequence", "left").select("id", r6(F.coalesce("distance", F.lit(0.0))).alias("distance"))
+    """Each member's distance to the nearest other one of the reference panel; 0 without another."""
+    return v.seeds.join(nearest(v.seeds, stage), "sequence", "left").select("id", r6(F.coalesce("distance", F.lit(0.0))).alias("distance"))
 
 
 _PARENTS = "concat_ws(',', cast({d} AS {s}), case when doc_id % 3 <> 0 then cast({t} AS {s}) end)"
