@@ -161,9 +161,9 @@ def findings(docs: DataFrame, context: Context) -> DataFrame:
 
 
 def label_of(found: str, before: str, known: bool, coverage: float) -> int | None:
-    """A finding's label by form, which no feature states, so that the forest has to learn from words beside it and statistics: 1 for
-    well-known formats and for assigned hexadecimal digits of a key's length; 0 for numbers and times, UUIDs, dictionary words, and what is named otherwise (a
-    commit, an account); None (not learnt from) for the rest."""
+    """A finding's label by form and name: 1 for well-known formats and for assigned hexadecimal digits of a key's length; 0 for numbers
+    and times, UUIDs, dictionary words, and what is named otherwise (a commit, an account); None (not learnt from) for the rest. Coverage
+    and other names are features too; transitions, entropy, path and secret names are not looked at here."""
     if known:
         return 1
     if _NUMBER.fullmatch(found) or _UUID.fullmatch(found) or coverage >= 0.6 or _OTHER_NAME.search(before) or found.isalpha() and found.isupper():
