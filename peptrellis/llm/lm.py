@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NON_SPACE, FlatTexts, hash_runs, slices, small_batches, staged
 
-HIDDEN, CLASSES, VOCABULARY, WINDOW, LANES = 16, 24, 1535, 16, 512
+HIDDEN, CLASSES, VOCABULARY, WINDOW, LANES = 16, 32, 2047, 16, 512
 #: Tokens that lead to the state of a training lane that begins inside a document.
 BURN_IN = 64
 FREQUENT = 1 << 20
