@@ -8,10 +8,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import batches as B
 from . import scales as S
 
 SEQ = "sequence"
@@ -202,17 +204,61 @@ def bound(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+_CHEM = {
+    "length": "int", "molecular_weight": "double", "net_charge": "double", "hydrophobicity": "double", "hydrophobic_moment": "double",
+    "amphipathicity": "double", "instability_index": "double", "n_oxidation": "int", "n_deamidation": "int", "disulfide_category": "string",
+}
+
+
+def moments(r: B.Residues, scale: Mapping[str, float], period: int = 18) -> np.ndarray:
+    """`moment` for 100 degrees a residue, of a batch."""
+    turn, value = r.place % period, B.scale(scale, np.nan)[r.codes]
+    sines, cosines = (np.array([f(math.radians(100.0 * k)) for k in range(period)]) for f in (math.sin, math.cos))
+    return np.sqrt(r.add(value * sines[turn]) ** 2 + r.add(value * cosines[turn]) ** 2) / r.n
+
+
+def _chem(sequences: pa.Array, ph: float, names: tuple[str, ...]) -> pa.StructArray:
+    """The named descriptors of a batch; doubles to nine decimals."""
+    r = B.Residues(sequences)
+    counts, out = r.counts(), {}
+    count = lambda letters: counts[:, [ord(a) - 64 for a in letters]].sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if "molecular_weight" in names:
+            out["molecular_weight"] = counts @ B.scale(S.MASS) - (r.n - 1) * S.WATER
+        if "net_charge" in names:
+            plus, minus = (lambda pk: 1 / (1 + 10.0 ** (ph - pk))), (lambda pk: 1 / (1 + 10.0 ** (pk - ph)))
+            ends = [np.where(r.n > 0, np.append(r.codes, 0)[np.minimum(at, len(r.codes))], 0) for at in (r.at[:-1], np.maximum(r.at[1:] - 1, 0))]
+            charge = counts @ B.scale({a: plus(pk) for a, pk in S.PK_POSITIVE.items()}) - counts @ B.scale({a: minus(pk) for a, pk in S.PK_NEGATIVE.items()})
+            out["net_charge"] = charge + plus(B.scale(S.PK_N_TERM_OF, S.PK_N_TERM))[ends[0]] - minus(B.scale(S.PK_C_TERM_OF, S.PK_C_TERM))[ends[1]]
+        if "hydrophobicity" in names:
+            out["hydrophobicity"] = counts @ B.scale(S.EISENBERG) / r.n
+        if {"hydrophobic_moment", "amphipathicity"} & set(names):
+            out["hydrophobic_moment"] = moments(r, S.EISENBERG)
+            size = counts @ B.scale({a: abs(v) for a, v in S.EISENBERG.items()}) / r.n
+            out["amphipathicity"] = np.where(size > 0, np.clip(out["hydrophobic_moment"] / size, 0.0, 1.0), 0.0)
+        if "instability_index" in names:
+            table = np.array([[S.DIWV.get(chr(64 + a) + chr(64 + b), S.DIWV_DEFAULT) for b in range(_CODES)] for a in range(_CODES)], float)
+            at = r.pairs(1)
+            out["instability_index"] = np.where(r.n < 2, 0.0, r.add_at(at, table[r.codes[at], r.codes[at + 1]]) * 10.0 / r.n)
+        out = {n: B.decimals(x, 9) for n, x in out.items()}
+        if "n_deamidation" in names:
+            at = r.pairs(1)
+            at = at[(r.letters[at] == ord("N")) & np.isin(r.letters[at + 1], [ord("G"), ord("S")])]
+            out["n_deamidation"] = np.bincount(r.row[at], minlength=len(r.n)).astype(np.int32)
+    out |= {"length": r.n.astype(np.int32), "n_oxidation": count("MCW").astype(np.int32)}
+    if "disulfide_category" in names:
+        n = count("C")
+        kind = np.select([n == 0, n % 2 == 1, n == 2, n == 4], [0, 1, 2, 3], 4)
+        out["disulfide_category"] = pa.DictionaryArray.from_arrays(pa.array(kind, pa.int32(), mask=r.null), ["none", "flag", "low", "medium", "high"]).cast(pa.string())
+    return B.columns(r.null, **{n: out[n] for n in names})
+
+
 def physchem(df: DataFrame, ph: float = 7.4, only: tuple[str, ...] | None = None) -> DataFrame:
     """df (with sequence) and length, molecular_weight, net_charge, hydrophobicity, hydrophobic_moment, amphipathicity,
     instability_index, n_oxidation, n_deamidation, disulfide_category (or those in `only`), each computed once a row. Doubles are
-    rounded to nine decimals, so that a threshold judges a sum the same whatever the order of its terms."""
-    exact = lambda c: F.round(c, 9)
-    every = {
-        "length": length(), "molecular_weight": exact(molecular_weight()), "net_charge": exact(net_charge(ph)), "hydrophobicity": exact(hydrophobicity()),
-        "hydrophobic_moment": exact(F.col("_moment")), "amphipathicity": exact(amphipathicity(F.col("_moment"))), "instability_index": exact(instability()),
-        "n_oxidation": count_of("MCW"), "n_deamidation": F.size(motif_positions(("NG", "NS"))), "disulfide_category": disulfide_category(),
-    }
-    names = only or tuple(every)
-    if {"hydrophobic_moment", "amphipathicity"} & set(names):
-        df = df.withColumn("_moment", moment())
-    return bound(df.withColumns({n: every[n] for n in names}).drop("_moment"))
+    rounded to nine decimals, so that a threshold judges a sum the same whatever the order of its terms. Computed for whole batches: a
+    row's own loops over its residues run uncompiled in Spark's expressions."""
+    names = tuple(only or _CHEM)
+    # Nondeterministic to the optimizer: no condition on a descriptor is moved below, where all would be computed again.
+    chem = F.arrow_udf(lambda seq: _chem(seq, ph, names), ", ".join(f"{n} {_CHEM[n]}" for n in names)).asNondeterministic()
+    return df.withColumn("_chem", chem(SEQ)).select(*df.columns, *(F.col(f"_chem.{n}").alias(n) for n in names))
