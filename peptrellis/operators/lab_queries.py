@@ -44,17 +44,17 @@ def _assessed(v):
 
 @query("H10_penalty_drivers", with_("residues", more=_DRIVERS) + f"SELECT id, pos AS position, motif, {sql_r6('penalty')} AS penalty FROM drv")
 def h10(v):
-    return v.peptides.select("id", F.explode(Y.drivers()).alias("d")).select("id", "d.position", "d.motif", r6("d.penalty").alias("penalty"))
+    return Y.with_drivers(v.peptides).select("id", F.explode("drivers").alias("d")).select("id", "d.position", "d.motif", r6("d.penalty").alias("penalty"))
 
 
 @query("K6_row_to_many", with_("residues", more=_DRIVERS) + "SELECT id, count(*) AS n FROM drv GROUP BY id")
 def k6(v):
-    return v.peptides.select("id", F.explode(Y.drivers()).alias("d")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return Y.with_drivers(v.peptides).select("id", F.explode("drivers").alias("d")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F4_sorted_drivers", with_("residues", more=_DRIVERS) + "SELECT id, string_agg(pos || ':' || motif, ',' ORDER BY pos, motif) AS drivers FROM drv GROUP BY id")
 def f4(v):
-    return v.peptides.select("id", Y.drivers().alias("d")).where("size(d) > 0").select("id", F.array_join(F.transform("d", lambda d: F.concat(d["position"].cast("string"), F.lit(":"), d["motif"])), ",").alias("drivers"))
+    return Y.with_drivers(v.peptides).select("id", F.col("drivers").alias("d")).where("size(d) > 0").select("id", F.array_join(F.transform("d", lambda d: F.concat(d["position"].cast("string"), F.lit(":"), d["motif"])), ",").alias("drivers"))
 
 
 @query("H11_synthesis_flags", with_("residues") + "SELECT p.id, d.at AS dg_at, m.at AS oxidation_at FROM peptides p LEFT JOIN (SELECT a.id, string_agg(a.pos, ',' ORDER BY a.pos) AS at FROM residues a JOIN residues b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.aa || b.aa = 'DG' GROUP BY a.id) d USING (id) LEFT JOIN (SELECT id, string_agg(pos, ',' ORDER BY pos) AS at FROM residues WHERE aa IN ('M', 'W') GROUP BY id) m USING (id)")
@@ -289,20 +289,15 @@ def l11(v):
 
 @query("L12_window_library", "WITH c AS (SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS c FROM documents), w AS (SELECT doc_id, substr(c, p, 12) AS s FROM (SELECT doc_id, c, unnest(range(1, length(c) - 10)) AS p FROM c)) SELECT doc_id, count(*) AS windows, count(DISTINCT s) AS distinct_windows FROM w GROUP BY doc_id")
 def l12(v):
-    """Every window of twelve residues of every whole text, counted; distinct ones are found inside each row."""
-    c = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), f"[^{S.ALPHABET}]", "")
-    every = F.transform(F.sequence(F.lit(1), F.length("c") - 11), lambda i: F.substr(F.col("c"), i, F.lit(12)))
-    return v.table("documents").select("doc_id", c.alias("c")).where("length(c) >= 12").select("doc_id", (F.length("c") - 11).cast("long").alias("windows"), F.size(F.array_distinct(every)).cast("long").alias("distinct_windows"))
+    """Every window of twelve residues of every whole text, counted; distinct ones are found inside each text."""
+    per = L.window_runs(v.table("documents"), "doc_id", counts=True)
+    return per.select("doc_id", "windows", "distinct_windows")
 
 
 @query("L12_windows", "WITH c AS (SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS c FROM documents), w AS (SELECT doc_id, p, substr(c, p, 12) AS sequence FROM (SELECT doc_id, c, unnest(range(1, length(c) - 10)) AS p FROM c)) SELECT doc_id, sequence, min(p) - 1 AS first_at, count(*) AS n FROM w GROUP BY doc_id, sequence")
 def l12_windows(v):
-    """The windows themselves: each document's distinct ones, where each stands first and how often. Windows combine in the task that
-    cuts them, before any shuffle."""
-    c = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), f"[^{S.ALPHABET}]", "")
-    rows = v.table("documents").select("doc_id", c.alias("c")).where("length(c) >= 12")
-    each = rows.select("doc_id", "c", F.explode(F.sequence(F.lit(1), F.length("c") - 11)).alias("p")).select("doc_id", "p", F.substr("c", F.col("p"), F.lit(12)).alias("sequence"))
-    return each.groupBy("doc_id", "sequence").agg((F.min("p") - 1).cast("long").alias("first_at"), F.count(F.lit(1)).alias("n"))
+    """The windows themselves: each document's distinct ones, where each stands first and how often."""
+    return L.window_runs(v.table("documents"), "doc_id")
 
 
 @query("C15_pareto_dominance_join", with_("seeds", more="s AS (SELECT id, cast(id * 7919 % 101 AS double) / 100 AS a, cast(id * 104729 % 103 AS double) / 100 AS b FROM seeds)") + "SELECT x.id, count(*) AS dominated_by FROM s x JOIN s y ON y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b) GROUP BY x.id")

@@ -5,14 +5,17 @@ Choices that a seeded generator would draw are arithmetic on family, generation
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import descriptors as D
 from ..functions import scales as S
+from ..sources.views import residues_of
 
 #: Populations; children of one in a round, draws of a tournament, attempts at a mutation.
 POPULATIONS, CHILDREN, DRAWS, ATTEMPTS = 17, 24, 3, 25
@@ -156,6 +159,57 @@ def generations_sql(start: str, rounds: int) -> str:
     return ",\n".join(out)
 
 
+#: Residues of a window.
+WIDTH = 12
+
+
+def _windows(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's distinct windows the residues (a row each), the first place and how many there are. A window is a number of five bits
+    a residue."""
+    each = np.frombuffer(residues_of(text), np.uint8)
+    n = max(0, len(each) - WIDTH + 1)
+    word = np.zeros(n, np.int64)
+    for k in range(WIDTH):
+        word = word << 5 | (each[k : k + n] - 64)
+    _, first, count = np.unique(word, return_index=True, return_counts=True)
+    return each[first[:, None] + np.arange(WIDTH)], first, count
+
+
+def window_runs(texts: DataFrame, key: str, counts: bool = False) -> DataFrame:
+    """(key, sequence, first_at, n): each key's distinct windows; counts: (key, windows, distinct_windows). A text's windows combine where
+    they are cut, and are not shuffled; only the windows of keys that several texts share meet again."""
+    schema = f"{key} long, sequence string, first_at long, n long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in zip(batch.column(0), batch.column(1), strict=True):
+                letters, first, count = _windows(text.as_py())
+                for at in range(0, len(first), 65_536):
+                    part = slice(at, at + 65_536)
+                    n = len(first[part])
+                    sequence = pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, WIDTH * (n + 1), WIDTH, dtype=np.int32)), pa.py_buffer(letters[part].tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, pa.int64()), sequence, pa.array(first[part], pa.int64()), pa.array(count[part], pa.int64())], [key, "sequence", "first_at", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [(int(n.sum()), len(n)) for _, _, n in map(_windows, batch.column(1).to_pylist())]
+            out = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([s[k] for s in sizes], pa.int64()) for k in (0, 1))], [key, "windows", "distinct_windows"])
+            yield out.filter(pa.array([s[0] > 0 for s in sizes], pa.bool_()))
+
+    several = texts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_several"))
+    same = F.col(key).eqNullSafe(F.col("_several"))
+    rows = texts.select(key, "text")
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, key)
+    once, shared = rows.join(several, same, "left_anti"), rows.join(several, same, "left_semi").mapInArrow(cut, schema)
+    met = shared.groupBy(key, "sequence").agg(F.min("first_at").alias("first_at"), F.sum("n").alias("n"))
+    if counts:
+        met = met.groupBy(key).agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("distinct_windows"))
+        return once.mapInArrow(count, f"{key} long, windows long, distinct_windows long").unionByName(met)
+    return once.mapInArrow(cut, schema).unionByName(met)
+
+
 def decoys(winners: DataFrame, candidates: DataFrame) -> DataFrame:
     """id (of a winner), sequence: a candidate of the same length, chosen by a hash of its id; winners of one length take the
     candidates of that length in turn, from the first again when there are too few. As many candidates of a length as winners have
