@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.descriptors import bound
+from ..functions.batches import columns, decimals
 
 #: Brief entries and the objective modules they point to, with points.
 FUNCTION_LINKS = [
@@ -107,7 +109,9 @@ def deductions(have: list[str], numeric: list = NUMERIC_FLAGS, levels: list = LE
     for module, flag, line, limit, centre in numeric:
         if flag in have:
             value = F.col(flag).cast("double") if centre is None else F.abs(F.col(flag) - centre)
-            cut = F.least(F.lit(MAX_DEDUCTION), F.greatest(F.lit(0.0), (value - line) / (2 * (limit - line))))
+            # As decimals: 2 * (0.7 - 0.6) in doubles is not 0.2, and a last bit decides which of two equal scores dominates.
+            width = float(2 * (Decimal(str(limit)) - Decimal(str(line))))
+            cut = F.least(F.lit(MAX_DEDUCTION), F.greatest(F.lit(0.0), (value - line) / width))
             per.setdefault(module, {}).setdefault(flag, []).append(F.when(value.isNotNull(), cut).otherwise(0.0))
     for module, flag, level, loss in levels:
         if flag in have:
@@ -140,20 +144,28 @@ def combined(scores: DataFrame) -> DataFrame:
 
 def combined_in_row(df: DataFrame, scores: Mapping[str, Column], weights: Mapping[str, Column]) -> DataFrame:
     """df with the columns of `combined` from one column for each module (after deductions; null: no score) and its weight: the same
-    arithmetic without a row for each module, so nothing is shuffled."""
-    zero, use = F.lit(0.0), {m: F.coalesce(weights[m], F.lit(0.0)) for m in scores}
-    has = {m: (use[m] > 0) & s.isNotNull() for m, s in scores.items()}
-    add = lambda each: reduce(lambda a, b: a + b, each)
-    weighed = add(F.when(has[m], use[m] * s).otherwise(zero) for m, s in scores.items())
-    weight = add(F.when(has[m], use[m]).otherwise(zero) for m in scores)
-    share = add(has[m].cast("int") for m in scores) / add((use[m] > 0).cast("int") for m in scores)
-    out = df.withColumns({
-        "final_score": F.when(weight > 0, F.round(F.least(F.lit(1.0), weighed / weight), 9)),
-        "evidence_coverage": F.round(share, 9),
-        "status": F.when(weight > 0, "ranked").otherwise("insufficient_evidence"),
-        "stability": F.when(has["stability"], scores["stability"]),
-    })
-    return bound(out)
+    arithmetic for whole batches without a row for each module, so nothing is shuffled."""
+    names = list(scores)
+    every = F.arrow_udf(lambda *given: _combined(names, given[: len(names)], given[len(names) :]), "final_score double, evidence_coverage double, status string, stability double").asNondeterministic()
+    out = df.withColumn("_all", every(*(c.cast("double") for c in (*scores.values(), *(weights[m] for m in names)))))
+    return out.select(*df.columns, *(F.col(f"_all.{c}").alias(c) for c in ("final_score", "evidence_coverage", "status", "stability")))
+
+
+def _combined(names: list[str], scores: tuple, weights: tuple):
+    """The columns of `combined` for a batch."""
+    weighed, weight, have, active, stable = 0.0, 0.0, 0, 0, None
+    for m, s, w in zip(names, scores, weights, strict=True):
+        use = w.fill_null(0.0).to_numpy(zero_copy_only=False)
+        has = (use > 0) & s.is_valid().to_numpy(zero_copy_only=False)
+        value = s.fill_null(0.0).to_numpy(zero_copy_only=False)
+        weighed, weight = weighed + np.where(has, use * value, 0.0), weight + np.where(has, use, 0.0)
+        have, active = have + has, active + (use > 0)
+        if m == "stability":
+            stable = np.where(has, value, np.nan)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        final, share = decimals(np.minimum(1.0, weighed / weight), 9), decimals(have / active, 9)
+    status = pa.array(np.where(weight > 0, "ranked", "insufficient_evidence"), pa.string())
+    return columns(final_score=np.where(weight > 0, final, np.nan), evidence_coverage=share, status=status, stability=np.full(len(final), np.nan) if stable is None else stable)
 
 
 def in_order(df: DataFrame, order: list[Column], stage: Callable[[DataFrame, str], DataFrame], weight: str | None = None, written: bool = False) -> DataFrame:
