@@ -172,11 +172,20 @@ def disulfide_category() -> Column:
     return F.when(n == 0, "none").when(n % 2 == 1, "flag").when(n == 2, "low").when(n == 4, "medium").otherwise("high")
 
 
-def window_max(scale: Mapping[str, float] = S.KYTE_DOOLITTLE, width: int = 5) -> Column:
+def window_max(scale: Mapping[str, float] = S.KYTE_DOOLITTLE, width: int = 5, seq: Column | str = SEQ) -> Column:
     """Highest mean over windows of `width` residues; of the whole sequence if it is shorter."""
-    values = profile(scale)
-    mean = lambda i: F.aggregate(F.slice(values, i, width), F.lit(0.0), lambda a, x: a + x) / width
-    return F.when(F.length(SEQ) < width, mean_of(scale)).otherwise(F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.length(SEQ) - width + 1, F.lit(1))), mean)))
+
+    def most(sequences: pa.Array) -> pa.Array:
+        r = B.Residues(sequences)
+        value = B.scale(scale, np.nan)[r.codes]
+        at = r.pairs(width - 1)
+        mean = sum((value[at + k] for k in range(width)), np.zeros(len(at))) / width
+        out = np.full(len(r.n), -np.inf)
+        np.maximum.at(out, r.row[at], mean)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return B.columns(r.null, m=np.where(r.n < width, r.add(np.nan_to_num(value)) / r.n, out)).field(0)
+
+    return F.arrow_udf(most, "double").asNondeterministic()(seq)
 
 
 @F.pandas_udf(T.DoubleType())
