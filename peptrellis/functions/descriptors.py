@@ -226,7 +226,7 @@ def moments(r: B.Residues, scale: Mapping[str, float], period: int = 18) -> np.n
     return np.sqrt(r.add(value * sines[turn]) ** 2 + r.add(value * cosines[turn]) ** 2) / r.n
 
 
-def _chem(sequences: pa.Array, ph: float, names: tuple[str, ...]) -> pa.StructArray:
+def chem_of(sequences: pa.Array, ph: float, names: tuple[str, ...]) -> pa.StructArray:
     """The named descriptors of a batch; doubles to nine decimals."""
     r = B.Residues(sequences)
     counts, out = r.counts(), {}
@@ -269,5 +269,5 @@ def physchem(df: DataFrame, ph: float = 7.4, only: tuple[str, ...] | None = None
     row's own loops over its residues run uncompiled in Spark's expressions."""
     names = tuple(only or _CHEM)
     # Nondeterministic to the optimizer: no condition on a descriptor is moved below, where all would be computed again.
-    chem = F.arrow_udf(lambda seq: _chem(seq, ph, names), ", ".join(f"{n} {_CHEM[n]}" for n in names)).asNondeterministic()
+    chem = F.arrow_udf(lambda seq: chem_of(seq, ph, names), ", ".join(f"{n} {_CHEM[n]}" for n in names)).asNondeterministic()
     return df.withColumn("_chem", chem(SEQ)).select(*df.columns, *(F.col(f"_chem.{n}").alias(n) for n in names))

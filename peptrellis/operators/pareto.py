@@ -1,7 +1,7 @@
 """Pareto layers: 1 for vectors that none dominates, then what only those dominate, to the last one; and counts of dominators.
 
 A vector's layer is 1 + the deepest layer of those that dominate it. Layers are counted within runs. A run of up to RUN_VECTORS rows is
-layered by one task, rows passing through it once. Larger runs are cut into blocks of an order in which a vector stands behind all
+layered by one task, rows passing through it once (where they lie, if they lie together). Larger runs are cut into blocks of an order in which a vector stands behind all
 that dominate it; a block is compared with each earlier one by tasks of their own and then chained in itself, so the number of jobs
 follows the number of blocks and not that of layers, and all large runs advance together.
 """
@@ -9,12 +9,13 @@ follows the number of blocks and not that of layers, and all large runs advance
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,8 @@ from .ranking import in_order
 Stage = Callable[[DataFrame, str], DataFrame]
 #: Rows of a run that one task layers at once, and vectors of a block of a larger run.
 RUN_VECTORS = 20_000
-#: Vectors that are compared with each other all at once.
-DENSE = 1024
+#: Vectors that are compared with all before them at once.
+DENSE = 256
 #: Vectors of a range in which dominators are counted.
 RANGE = 50_000
 
@@ -36,20 +37,6 @@ def _falling(vectors: np.ndarray) -> np.ndarray:
     return np.lexsort((*(-vectors.T[::-1]), -np.round(vectors.sum(axis=1), 9)))
 
 
-def _dense(v: np.ndarray) -> np.ndarray:
-    """Layers of distinct vectors by peeling fronts off the matrix of who dominates whom."""
-    over = (v[:, None, :] <= v[None, :, :]).all(axis=2)
-    np.fill_diagonal(over, False)
-    left, out, layer = over.sum(axis=1), np.zeros(len(v), np.int32), 0
-    while True:
-        front = np.flatnonzero((left == 0) & (out == 0))
-        if not len(front):
-            return out
-        layer += 1
-        out[front] = layer
-        left = left - over[:, front].sum(axis=1)
-
-
 def _plane(v: np.ndarray) -> np.ndarray:
     """Layers of distinct vectors of two entries: by falling entries, the longest chain that never rises in the second ends at each."""
     order = np.lexsort((-v[:, 1], -v[:, 0]))
@@ -63,26 +50,31 @@ def _plane(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fronts(v: np.ndarray) -> np.ndarray:
-    """Layers of distinct vectors in falling order: a vector's layer is the first without a dominator of it, and all before have one."""
-    held, sizes, out = [], [], np.zeros(len(v), np.int32)
-    for i, x in enumerate(v):
-        low, high = 0, len(held)
-        while low < high:
-            k = (low + high) // 2
-            # The latest of a front are nearest in the order and dominate soonest.
-            if (held[k][: sizes[k]] >= x).all(axis=1).any():
-                low = k + 1
-            else:
-                high = k
-        if low == len(held):
-            held.append(np.empty((4, v.shape[1])))
-            sizes.append(0)
-        if sizes[low] == len(held[low]):
-            held[low] = np.concatenate([held[low], np.empty_like(held[low])])
-        held[low][sizes[low]] = x
-        sizes[low] += 1
-        out[i] = low + 1
+def _over(ranks: np.ndarray) -> np.ndarray:
+    """Of each vector, in the order of falling sums of ranks, who dominates it: a bit for each vector, in words. Whoever dominates has
+    the greater sum."""
+    n, total = len(ranks), ranks.sum(axis=1, dtype=np.int64)
+    bits, each = np.zeros((n, -(-n // 64) * 8), np.uint8), np.ascontiguousarray(ranks.T)
+    for at in range(0, n, DENSE):
+        some, before = slice(at, at + DENSE), slice(0, min(n, at + DENSE))
+        over = total[None, before] > total[some, None]
+        for r in each:
+            over &= r[None, before] >= r[some, None]
+        packed = np.packbits(over, axis=1)
+        bits[some, : packed.shape[1]] = packed
+    return bits.view(np.uint64)
+
+
+def _peeled(over: np.ndarray) -> np.ndarray:
+    """Layers by peeling fronts: those that none of the rest dominates."""
+    out, left, layer = np.zeros(len(over), np.int32), np.arange(len(over)), 0
+    rest = np.ones(over.shape[1] * 64, bool)
+    while len(left):
+        layer += 1
+        kept = np.bitwise_or.reduce(over & np.packbits(rest).view(np.uint64), axis=1) != 0
+        out[left[~kept]] = layer
+        rest[left[~kept]] = False
+        over, left = over[kept], left[kept]
     return out
 
 
@@ -90,16 +82,15 @@ def layers_of(vectors: np.ndarray) -> np.ndarray:
     """Layers of vectors (higher is better); equal ones share theirs."""
     if not len(vectors):
         return np.zeros(0, np.int32)
-    v, back = np.unique(vectors, axis=0, return_inverse=True)
-    back = back.reshape(-1)
-    if v.shape[1] == 2:
-        return _plane(v)[back]
-    if len(v) <= DENSE:
-        return _dense(v)[back]
-    order = _falling(v)
-    layers = np.empty(len(v), np.int32)
-    layers[order] = _fronts(v[order])
-    return layers[back]
+    if vectors.shape[1] == 2:
+        v, back = np.unique(vectors, axis=0, return_inverse=True)
+        return _plane(v)[back.reshape(-1)]
+    # Places among the distinct values of each entry are compared instead of values: exact, and small.
+    ranks = np.column_stack([np.unique(c, return_inverse=True)[1].reshape(-1) for c in vectors.T]).astype(np.int16 if len(vectors) < 1 << 15 else np.int32)
+    order = np.argsort(-ranks.sum(axis=1, dtype=np.int64), kind="stable")
+    layers = np.empty(len(vectors), np.int32)
+    layers[order] = _peeled(_over(ranks[order]))
+    return layers
 
 
 def chained(vectors: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -130,12 +121,69 @@ def deepest_over(mine: np.ndarray, others: np.ndarray, layers: np.ndarray) -> np
     return out
 
 
+def _named(df: DataFrame, scores: list[str], by: str | None) -> tuple[DataFrame, list[str]]:
+    """df with _run and the scores that are compared, and their names."""
+    names = [f"_s{k}" for k in range(len(scores))]
+    full = df.withColumns({n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in zip(names, scores, strict=True)})
+    return full.withColumn("_run", F.lit(0).cast("long") if by is None else F.col(by).cast("long")), names
+
+
+def layers_in_place(df: DataFrame, scores: list[str], stage: Stage, by: str) -> DataFrame:
+    """pareto_layers of rows that mostly lie by run already: each piece of a run (rows that follow each other in a partition) is layered
+    where it lies and nothing is shuffled; runs in more than one piece or of more than RUN_VECTORS rows are then layered by
+    pareto_layers. df is read once; what comes back is written."""
+    full, names = _named(df, scores, by)
+    schema = T.StructType([*df.schema.fields, T.StructField("_run", T.LongType()), T.StructField("layer", T.IntegerType()), T.StructField("_piece", T.LongType())])
+    laid = stage(full.mapInArrow(_pieces(names, schema.names), schema), "laid")
+    per = laid.groupBy(F.col("_run").alias("_again")).agg(F.min("_piece").alias("a"), F.max("_piece").alias("b"), F.max(F.col("layer").isNull()).alias("c"))
+    again = stage(per.where("a <> b or c").select("_again"), "runs-again")
+    if again.isEmpty():
+        return laid.select(*df.columns, "layer")
+    same = F.col("_run").eqNullSafe(F.col("_again"))
+    rest = pareto_layers(laid.join(again, same, "left_semi").select(*df.columns), scores, stage, by)
+    return laid.join(again, same, "left_anti").select(*df.columns, "layer").unionByName(rest)
+
+
+def _pieces(names: list[str], out: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held = TaskContext.get().partitionId() << 33, None
+
+        def layered(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal piece
+            vectors = np.column_stack([t.column(n).to_numpy() for n in names])
+            layers, gone = np.zeros(len(vectors), np.int32), np.zeros(len(vectors), bool)
+            for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if last - first > RUN_VECTORS:
+                    gone[first:last] = True
+                else:
+                    layers[first:last] = layers_of(vectors[first:last])
+            pieces = piece + np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            piece += len(edges) - 1
+            done = t.append_column("layer", pa.array(layers, pa.int32(), mask=gone)).append_column("_piece", pa.array(pieces, pa.int64()))
+            yield from done.select(out).combine_chunks().to_batches()
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            column = t.column("_run")
+            # Null is a run too.
+            key, none = column.fill_null(0).to_numpy(), column.is_null().to_numpy()
+            starts = np.concatenate(([0], 1 + np.flatnonzero((key[1:] != key[:-1]) | (none[1:] != none[:-1]))))
+            # The last run may go on in the next batch, unless it is too large for one task anyway.
+            end = t.num_rows if t.num_rows - starts[-1] > RUN_VECTORS else starts[-1]
+            if end:
+                yield from layered(t.slice(0, end), np.append(starts[starts < end], end))
+            held = t.slice(end) if end < t.num_rows else None
+        if held is not None:
+            yield from layered(held, np.array([0, held.num_rows]))
+
+    return run
+
+
 def pareto_layers(df: DataFrame, scores: list[str], stage: Stage, by: str | None = None) -> DataFrame:
     """df with layer, within each value of `by` (all rows without it). A missing score counts as 0. Equal vectors share a layer. df is
     read once to count runs and once to layer them. stage(df, name) writes a table to shared storage and reads it back."""
-    names = [f"_s{k}" for k in range(len(scores))]
-    full = df.withColumns({n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in zip(names, scores, strict=True)})
-    full = full.withColumn("_run", F.lit(0).cast("long") if by is None else F.col(by).cast("long"))
+    full, names = _named(df, scores, by)
     large = full.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RUN_VECTORS).select(F.col("_run").alias("_large"))
     large = stage(large, "large-runs")
     schema = T.StructType([*full.schema.fields, T.StructField("layer", T.IntegerType())])

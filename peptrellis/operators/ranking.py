@@ -6,11 +6,10 @@ from collections.abc import Callable, Mapping
 from decimal import Decimal
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.batches import columns, decimals
+from ..functions.batches import decimals
 
 #: Brief entries and the objective modules they point to, with points.
 FUNCTION_LINKS = [
@@ -70,6 +69,8 @@ LEVEL_FLAGS = [
     ("synthesis_feasibility", "disulfide_category", "high", 0.4),
 ]
 MAX_DEDUCTION = 0.4
+#: Distinct values whose places are sent to all tasks; more are joined by a shuffle.
+SENT_VALUES = 100_000
 
 
 def brief_points(briefs: DataFrame, links: tuple = (FUNCTION_LINKS, CONTEXT_LINKS, PATHOGEN_LINK)) -> DataFrame:
@@ -142,41 +143,45 @@ def combined(scores: DataFrame) -> DataFrame:
     return per.select("id", final.alias("final_score"), F.round("evidence_coverage", 9).alias("evidence_coverage"), F.when(F.col("weight") > 0, "ranked").otherwise("insufficient_evidence").alias("status"), "stability")
 
 
-def combined_in_row(df: DataFrame, scores: Mapping[str, Column], weights: Mapping[str, Column]) -> DataFrame:
-    """df with the columns of `combined` from one column for each module (after deductions; null: no score) and its weight: the same
-    arithmetic for whole batches without a row for each module, so nothing is shuffled."""
-    names = list(scores)
-    every = F.arrow_udf(lambda *given: _combined(names, given[: len(names)], given[len(names) :]), "final_score double, evidence_coverage double, status string, stability double").asNondeterministic()
-    out = df.withColumn("_all", every(*(c.cast("double") for c in (*scores.values(), *(weights[m] for m in names)))))
-    return out.select(*df.columns, *(F.col(f"_all.{c}").alias(c) for c in ("final_score", "evidence_coverage", "status", "stability")))
-
-
-def _combined(names: list[str], scores: tuple, weights: tuple):
-    """The columns of `combined` for a batch."""
-    weighed, weight, have, active, stable = 0.0, 0.0, 0, 0, None
-    for m, s, w in zip(names, scores, weights, strict=True):
-        use = w.fill_null(0.0).to_numpy(zero_copy_only=False)
-        has = (use > 0) & s.is_valid().to_numpy(zero_copy_only=False)
-        value = s.fill_null(0.0).to_numpy(zero_copy_only=False)
-        weighed, weight = weighed + np.where(has, use * value, 0.0), weight + np.where(has, use, 0.0)
-        have, active = have + has, active + (use > 0)
-        if m == "stability":
-            stable = np.where(has, value, np.nan)
+def deducted(flags: Mapping[str, np.ndarray], numeric: list = NUMERIC_FLAGS, levels: list = LEVEL_FLAGS) -> dict[str, np.ndarray]:
+    """`deductions` for the flags of a batch (numeric ones as floats, NaN: missing; levels as strings), term by term the same."""
+    per: dict[str, dict[str, np.ndarray]] = {}
+    for module, flag, line, limit, centre in numeric:
+        if flag in flags:
+            value = flags[flag] if centre is None else np.abs(flags[flag] - centre)
+            width = float(2 * (Decimal(str(limit)) - Decimal(str(line))))
+            cut = np.where(np.isnan(value), 0.0, np.clip((value - line) / width, 0.0, MAX_DEDUCTION))
+            per.setdefault(module, {})[flag] = np.maximum(per.get(module, {}).get(flag, 0.0), cut)
+    for module, flag, level, loss in levels:
+        if flag in flags:
+            per.setdefault(module, {})[flag] = np.maximum(per.get(module, {}).get(flag, 0.0), np.where(flags[flag] == level, loss, 0.0))
+    return {m: np.minimum(1.0, sum(fs.values(), 0.0)) for m, fs in per.items()}
+
+
+def combined_batch(scores: Mapping[str, np.ndarray], weights: Mapping[str, float]) -> dict[str, np.ndarray]:
+    """The columns of `combined` for a batch, from the deducted scores (NaN: none) of each module of the brief: the same arithmetic without
+    a row for each module, so nothing is shuffled. tie is the stability that breaks ties, -1 without one; the status follows from
+    final_score, which only candidates without evidence lack."""
+    weighed, weight, have = 0.0, 0.0, 0
+    for m, s in scores.items():
+        has = ~np.isnan(s)
+        weighed, weight, have = weighed + np.where(has, weights[m] * s, 0.0), weight + np.where(has, weights[m], 0.0), have + has
     with np.errstate(divide="ignore", invalid="ignore"):
-        final, share = decimals(np.minimum(1.0, weighed / weight), 9), decimals(have / active, 9)
-    status = pa.array(np.where(weight > 0, "ranked", "insufficient_evidence"), pa.string())
-    return columns(final_score=np.where(weight > 0, final, np.nan), evidence_coverage=share, status=status, stability=np.full(len(final), np.nan) if stable is None else stable)
+        final = np.where(weight > 0, decimals(np.minimum(1.0, weighed / weight), 9), np.nan)
+    stable = decimals(scores["stability"], 9) if "stability" in scores else np.full(len(final), np.nan)
+    return {"final_score": final, "evidence_coverage": decimals(have / len(scores), 9), "tie": np.where(np.isnan(stable), -1.0, stable)}
 
 
-def in_order(df: DataFrame, order: list[Column], stage: Callable[[DataFrame, str], DataFrame], weight: str | None = None, written: bool = False) -> DataFrame:
-    """df with _before: the rows (or the sum of `weight`) that stand before each row in the order.
+def in_order(df: DataFrame, order: list[Column], stage: Callable[[DataFrame, str], DataFrame], weight: str | None = None, written: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns in `keep`) with _before: the rows (or the sum of `weight`) that stand before each row in the order.
 
     Ranges of the order are sorted by all tasks. A row's place is its place in its range plus what the ranges before it hold: one
     number for each range. Rows are written twice (once if df is written already), so that neither the order's bounds nor a lost task can
-    move a row between ranges.
+    move a row between ranges. The order should name columns: comparisons compute an expression anew each time.
     """
     rows = df if written else stage(df, "unordered")
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = placed if keep is None else placed.select(*keep, "_at")
     placed = stage(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "ordered")
     n = F.lit(1) if weight is None else F.col(weight)
     parts = placed.groupBy("_part").agg(F.sum(n).alias("_n"))
@@ -186,19 +191,20 @@ def in_order(df: DataFrame, order: list[Column], stage: Callable[[DataFrame, str
     return placed.withColumn("_inside", inside).join(F.broadcast(above), "_part").withColumn("_before", F.col("_above") + F.col("_inside")).drop("_part", "_at", "_above", "_inside")
 
 
-def global_rank(df: DataFrame, score: str, ties: list[Column], stage: Callable[[DataFrame, str], DataFrame], written: bool = False) -> DataFrame:
-    """df with rank: position from 1 by falling score, then ties. No task sees more than a range of the order, however scores lie."""
-    return in_order(df, [F.desc(score), *ties], stage, written=written).withColumn("rank", (F.col("_before") + 1).cast("long")).drop("_before")
+def global_rank(df: DataFrame, score: str, ties: list[Column], stage: Callable[[DataFrame, str], DataFrame], written: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns in `keep`) with rank: position from 1 by falling score, then ties. No task sees more than a range of the order, however scores lie."""
+    return in_order(df, [F.desc(score), *ties], stage, written=written, keep=keep).withColumn("rank", (F.col("_before") + 1).cast("long")).drop("_before")
 
 
 def avg_rank_percentile(df: DataFrame, value: str, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """df with percentile: 1 for the best, 0 for the worst, ties share their mean place, 0.5 alone; null without a value.
 
-    Counted over distinct values, so rows that tie never meet in one task.
+    Counted over distinct values, so rows that tie never meet in one task. Up to SENT_VALUES of them are counted and broadcast: a shuffle
+    would bring all rows that tie, and all without a value, together after all.
     """
     sizes = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     below = in_order(sizes, [F.col(value)], stage, "_n")
     whole = below.agg(F.max(F.col("_before") + F.col("_n")).alias("_all"))
     share = (F.col("_before") + (F.col("_n") - 1) / 2) / (F.col("_all") - 1)
     place = below.crossJoin(F.broadcast(whole)).select(value, F.when(F.col("_all") < 2, 0.5).otherwise(share).alias("percentile"))
-    return df.join(place, value, "left")
+    return df.join(F.broadcast(place) if below.count() <= SENT_VALUES else place, value, "left")

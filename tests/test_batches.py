@@ -53,3 +53,59 @@ def test_peptides_of_odd_texts(spark):
     texts = spark.createDataFrame([(1, "Ab cdé fß" + "k" * 20), (2, None), (3, "0 !"), (None, "acd")], "doc_id long, text string")
     got = [tuple(r) for r in Views(spark, DATA).tiled(texts, "doc_id").orderBy("id").collect()]
     assert got == [(1_000_000, "ACDFKKKKK"), (1_000_001, "K" * 9), (1_000_002, "KKKKKK")]
+
+
+@pytest.mark.parametrize("name", ["D3_rank_counts", "X7_results_view"])
+def test_counts_of_the_ranked_need_no_order(spark, name):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    for slow in ("Sort", "Window", "Join"):
+        assert slow not in plan, slow
+
+
+def test_a_batch_deducts_as_columns_do(spark):
+    import numpy as np
+
+    from peptrellis.operators.ranking import deducted, deductions
+
+    number = lambda m, low, high: (F.when(F.col("id") % m == 0, None).otherwise(low + F.col("id") * m % 1009 / 1008 * (high - low)))
+    flags = {"net_charge": number(7, -12, 16), "hydrophobic_moment": number(11, 0, 1.2), "aggregation": number(13, 0, 1), "solubility": number(17, 0, 1), "isoelectric_point": number(19, 6, 9)}
+    rows = spark.range(2000).select(*(c.alias(n) for n, c in flags.items()), F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), (F.col("id") % 3 + 1).cast("int")).alias("oxidation_risk"))
+    rows = rows.select("*", *(c.alias(f"lost_{m}") for m, c in deductions(rows.columns).items())).toPandas()
+    got = deducted({n: rows[n].to_numpy() for n in (*flags, "oxidation_risk")})
+    assert sorted(got) == ["safety", "stability"]
+    for m, x in got.items():
+        assert np.array_equal(x, rows[f"lost_{m}"].to_numpy()), m
+
+
+@pytest.mark.parametrize("most", [20_000, 50])
+def test_layers_where_runs_lie(spark, monkeypatch, most):
+    """Runs that lie together are not shuffled; runs in several pieces, or too large for a task, are layered whole all the same."""
+    import random
+
+    from peptrellis.operators import pareto
+    from peptrellis.sources.shared import stage
+
+    monkeypatch.setattr(pareto, "RUN_VECTORS", most)
+    rng = random.Random(3)
+    rows = [(i, run, rng.randrange(9) / 8, rng.randrange(9) / 8, rng.choice([None, 0.0, 0.5])) for i, run in enumerate([1] * 40 + [None] * 20 + [2] * 90 + [1] * 30 + [3] * 60)]
+    df = spark.createDataFrame(rows, "id long, run long, a double, b double, c double")
+    want = {r.id: r.layer for r in pareto.pareto_layers(df, ["a", "b", "c"], stage, by="run").collect()}
+    for n in (1, 4):
+        some = df.repartitionByRange(n, "id").sortWithinPartitions("id")
+        got = pareto.layers_in_place(some, ["a", "b", "c"], stage, by="run")
+        assert {r.id: r.layer for r in got.collect()} == want and got.columns == [*df.columns, "layer"]
+    if most == 20_000:
+        together = df.where("run >= 2").repartitionByRange(1, "id").sortWithinPartitions("id")
+        assert "Exchange" not in pareto.layers_in_place(together, ["a", "b", "c"], stage, by="run")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_percentiles_with_many_values_and_few(spark, monkeypatch):
+    from peptrellis.operators import ranking
+    from peptrellis.sources.shared import stage
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 7 / 7) for i in range(60)], "id long, x double")
+    few = ranking.avg_rank_percentile(df, "x", stage)
+    assert "Join LeftOuter" in (plan := few._jdf.queryExecution().optimizedPlan().toString()) and "broadcast" in plan
+    monkeypatch.setattr(ranking, "SENT_VALUES", 3)
+    many = ranking.avg_rank_percentile(df, "x", stage)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
