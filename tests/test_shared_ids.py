@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-HERE = ["C4_site_exposure_join", "H22_conjoint_triads"]
+HERE = ["C4_site_exposure_join", "H22_conjoint_triads", "H16_dpc"]
 TEXTS = [(4, "ACDEFGHIKLMNPQRSTVWY" * 3), (5, "mkv LLA aaaa 77 acdAAAAA"), (5, "MKVLLAGGRRST"), (5, "a"), (7, "AC"), (8, ""), (9, None), (-3, "ACDACDACDACDACDACDACDACDACDACDACDACD"), (11, "é, W"), (None, "ACDEF"), (None, "ACD")]
 
 
